@@ -34,8 +34,9 @@ def start_cleaning(
     return fan_out(articles, collection, topic, checkpoint, key=None, trigger=trigger)
 
 
-def _cleaned(records: DataFrame) -> DataFrame:
-    return parse_json(records, CLEANED_ARTICLE)
+def _cleaned(records: DataFrame, *fields: str) -> DataFrame:
+    """Cleaned articles with only the fields a job uses, so only those are parsed."""
+    return parse_json(records, CLEANED_ARTICLE, fields=fields)
 
 
 def start_trends(
@@ -46,7 +47,8 @@ def start_trends(
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    trends = stamp(keyword_trends(_cleaned(records), **options))
+    articles = _cleaned(records, "title", "category", "published", "keywords")
+    trends = stamp(keyword_trends(articles, **options))
     return fan_out(trends, collection, topic, checkpoint, trigger=trigger)
 
 
@@ -58,7 +60,8 @@ def start_activity(
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    activity = stamp(category_activity(_cleaned(records), **options))
+    articles = _cleaned(records, "category", "published")
+    activity = stamp(category_activity(articles, **options))
     return fan_out(activity, collection, topic, checkpoint, trigger=trigger)
 
 
@@ -77,7 +80,8 @@ def start_breaking(
 ) -> StreamingQuery:
     """The sketch lives for one micro-batch."""
     forget_after = delay if bounded_state else None
-    events = keyword_events(_cleaned(records), ["link"], forget_after=forget_after)
+    articles = _cleaned(records, "title", "category", "published", "keywords", "link")
+    events = keyword_events(articles, ["link"], forget_after=forget_after)
     titles = windowed_titles(events, duration, slide, None if bounded_state else delay)
 
     def alerts(batch: DataFrame) -> DataFrame:
@@ -96,5 +100,15 @@ def start_sentiment(
     trigger: dict | None = None,
     **lexicons,
 ) -> StreamingQuery:
-    sentiment = stamp(article_sentiment(_cleaned(records), **lexicons))
+    articles = _cleaned(
+        records,
+        "source_normalized",
+        "category",
+        "title",
+        "content",
+        "link",
+        "published",
+        "keywords",
+    )
+    sentiment = stamp(article_sentiment(articles, **lexicons))
     return fan_out(sentiment, collection, topic, checkpoint, trigger=trigger)
