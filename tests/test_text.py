@@ -1,0 +1,123 @@
+from collections import Counter
+
+import pytest
+import regex
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from newsflow.functions import text as t
+from newsflow.lexicons import (
+    NEGATIVE_WORDS,
+    NOISE_WORDS,
+    POSITIVE_WORDS,
+    STOP_WORDS,
+    TOPIC_TERMS,
+)
+from tests.helpers import one
+
+
+def chain(c):
+    return t.collapse_space(t.strip_breaks(t.strip_symbols(t.strip_tags(F.lower(c)))))
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [
+        ("<p>Hello</p> World", "hello world"),
+        ("a < b and c > d", "a d"),
+        ("a < b", "a b"),
+        ("café", "café"),
+        ("café!", "cafe !"),
+        ("hi \U0001f600 there", "hi there"),
+        ("a b", "a b"),
+        ("1 + 1 = $2", "1 1 2"),
+        ("a\r\n\tb", "a b"),
+        ("<a\nb>x", "x"),
+        ("", ""),
+        ("   ", ""),
+    ],
+)
+def test_clean_text(spark, raw, expected):
+    assert one(spark, raw, t.clean_text) == expected
+    assert one(spark, raw, chain) == expected
+
+
+def test_clean_text_is_the_chain_of_its_steps(spark):
+    alphabet = "ab<>< \t\n\r\x0b\x0c\x00$+ é́.,;&\U0001f600Z9"
+
+    @settings(max_examples=15, deadline=None)
+    @given(st.lists(st.text(alphabet, max_size=30), min_size=40, max_size=40))
+    def check(texts):
+        df = spark.createDataFrame([(x,) for x in texts], "v string")
+        v = F.col("v")
+        assert df.filter(~t.clean_text(v).eqNullSafe(chain(v))).isEmpty()
+
+    check()
+
+
+def test_long_runs_do_not_overflow_the_matcher(spark):
+    assert one(spark, "a" + "$" * 200_000 + "b", t.clean_text) == "a b"
+    assert one(spark, "a" + "<i>" * 50_000 + "b", t.clean_text) == "a b"
+
+
+def test_escape_text(spark):
+    assert one(spark, 'say "hi"\r\nnow', t.escape_text) == "say 'hi'  now"
+    assert one(spark, None, t.escape_text) == ""
+
+
+@pytest.mark.parametrize(
+    "raw, expected", [("", 0), ("  ", 0), ("a", 1), (" a  b\tc ", 3), ("\ta", 1)]
+)
+def test_word_count(spark, raw, expected):
+    assert one(spark, raw, t.word_count) == expected
+
+
+def test_tokenize(spark):
+    text = "A 12 ab abc 2024 a1b été x-ray"
+    assert one(spark, text, lambda c: t.tokenize(c, 3)) == ["abc", "a1b", "été", "ray"]
+    assert one(spark, text, lambda c: t.tokenize(c, 2)) == [
+        "ab", "abc", "a1b", "été", "ray",
+    ]
+    assert one(spark, "", lambda c: t.tokenize(c, 3)) == []
+    with pytest.raises(ValueError):
+        t.tokenize(F.col("v"), 0)
+
+
+def test_stop_words_keep_repeats(spark):
+    words = one(spark, "the war and the war", lambda c: t.drop_words(t.tokenize(c, 3)))
+    assert words == ["war", "war"]
+
+
+def test_term_statistics_match_a_counter(spark):
+    @settings(max_examples=10, deadline=None)
+    @given(
+        st.lists(
+            st.lists(st.sampled_from("abc abd bcd cde def efg fgh ghi hij ijk".split())),
+            min_size=20,
+            max_size=20,
+        )
+    )
+    def check(rows):
+        df = spark.createDataFrame([(r,) for r in rows], "v array<string>")
+        got = df.select("v", t.term_frequency(F.col("v")), t.top_terms(F.col("v"), 4)).collect()
+        for tokens, frequency, top in got:
+            counts = Counter(tokens)
+            assert frequency == dict(counts)
+            assert top == sorted(counts, key=lambda w: (-counts[w], w))[:4]
+
+    check()
+
+
+def test_lexicon_hits_count_repeats(spark):
+    hits = one(spark, "war war peace", lambda c: t.lexicon_hits(t.tokenize(c, 2), ("war",)))
+    assert hits == 2
+    assert one(spark, "war", lambda c: t.lexicon_hits(t.tokenize(c, 2), ())) == 0
+
+
+def test_list_sizes():
+    assert len(STOP_WORDS) == len(set(STOP_WORDS)) == 75
+    assert len(NOISE_WORDS) == len(set(NOISE_WORDS)) == 58
+    assert len(POSITIVE_WORDS) == len(set(POSITIVE_WORDS)) == 38
+    assert len(NEGATIVE_WORDS) == len(set(NEGATIVE_WORDS)) == 43
+    assert list(TOPIC_TERMS) == ["politics", "tech", "sports", "business", "science"]
+    assert all(regex.fullmatch(r"[a-z0-9 ]+\??", w) for ws in TOPIC_TERMS.values() for w in ws)
