@@ -1,9 +1,10 @@
 """Topic, collection and fan-out writers."""
 
-from newsflow.sinks.batch import append_topic, write_batch
+from newsflow.sinks.batch import Target, append_topic, write_batch
 from newsflow.sinks.stream import fan_out, run_available, write_collection, write_topic
 
 __all__ = [
+    "Target",
     "append_topic",
     "fan_out",
     "run_available",

@@ -1,0 +1,307 @@
+import json
+import os
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsflow.functions.times import to_utc_ntz
+from newsflow.operators.dedup import dedup_titles
+from newsflow.operators.parse import parse_json, to_json_value
+from newsflow.plans import breaking as breaking_plans
+from newsflow.plans import trends as trend_plans
+from newsflow.plans.articles import cleaned_articles
+from newsflow.plans.sentiment import article_sentiment
+from newsflow.schemas import (
+    ACTIVITY_COLUMNS,
+    ALERT_COLUMNS,
+    CLEANED_ARTICLE,
+    CLEANED_COLUMNS,
+    SENTIMENT_COLUMNS,
+    TREND_COLUMNS,
+)
+from newsflow.sinks import Target, append_topic, fan_out, run_available, write_batch
+from newsflow.sinks import write_collection, write_topic
+from newsflow.sources.topics import read_table_stream, read_topic
+from newsflow.streaming import jobs
+from tests.helpers import burst_articles, ts
+
+NOW = {"availableNow": True}
+
+
+class Folder:
+    """A topic made of text files, read one file per micro-batch."""
+
+    def __init__(self, spark, base):
+        self.spark, self.path, self.n = spark, base / "topic", 0
+        self.path.mkdir()
+
+    def add(self, records):
+        self.n += 1
+        lines = [r if isinstance(r, str) else json.dumps(r) for r in records]
+        file = self.path / f"{self.n:03}.txt"
+        file.write_text("\n".join(lines))
+        # Files are taken in the order of their times.
+        os.utime(file, (self.n, self.n))
+
+    def stream(self):
+        return read_topic(
+            self.spark, "text", {"maxFilesPerTrigger": "1"}, path=str(self.path)
+        )
+
+    def batch(self):
+        return self.spark.read.text(str(self.path))
+
+
+@pytest.fixture
+def topic(spark, tmp_path):
+    return Folder(spark, tmp_path)
+
+
+class Outputs:
+    def __init__(self, spark, base):
+        self.spark = spark
+        self.collection = Target("parquet", str(base / "collection"))
+        self.topic = Target("json", str(base / "out"))
+        self.checkpoint = str(base / "checkpoint")
+
+    def run(self, start, records, **options):
+        run_available(
+            start(
+                records, self.collection, self.topic, self.checkpoint, trigger=NOW, **options
+            )
+        )
+        return self.spark.read.parquet(self.collection.path)
+
+    def messages(self):
+        return self.spark.read.schema("key string, value string").json(self.topic.path)
+
+
+@pytest.fixture
+def outputs(spark, tmp_path):
+    return Outputs(spark, tmp_path)
+
+
+def raw(title, minute, second=0, content="", link=None):
+    at = ts("2024-01-01T10:00:00") + timedelta(minutes=minute, seconds=second)
+    return {
+        "source": "s",
+        "title": title,
+        "content": content,
+        "link": link or f"http://a/{title}",
+        "published": at.strftime("%a %b %d %H:%M:%S UTC %Y"),
+    }
+
+
+def cleaned(title, minute, keywords, category="tech", **extra):
+    at = ts("2024-01-01T10:00:00") + timedelta(minutes=minute)
+    return {
+        "title": title,
+        "published": at.strftime("%Y-%m-%dT%H:%M:%S.000Z"),
+        "keywords": keywords,
+        "category": category,
+        "link": f"http://a/{title}",
+        **extra,
+    }
+
+
+def rows(df, columns):
+    times = [f.name for f in df.schema if f.dataType.typeName() == "timestamp"]
+    out = df.withColumns({c: to_utc_ntz(F.col(c)) for c in times}).select(*columns)
+    return sorted(str(r.asDict()) for r in out.collect())
+
+
+def test_cleaning_equals_the_batch_plan(topic, outputs):
+    topic.add([dict(zip(("source", "title", "content", "link", "published"), a)) for a in burst_articles()])
+    topic.add(["not json", raw("dup title", 3), raw("other title", 3, content="<b>War</b>")])
+    topic.add([raw("later", 4), {"title": "no time"}])
+    got = outputs.run(jobs.start_cleaning, topic.stream())
+    want = cleaned_articles(topic.batch())
+    assert got.columns == [*CLEANED_COLUMNS, "batch_id"]
+    assert rows(got, CLEANED_COLUMNS) == rows(want, CLEANED_COLUMNS)
+    assert got.count() == 60
+    sent = parse_json(outputs.messages(), CLEANED_ARTICLE)
+    assert sent.filter("published IS NULL OR keywords IS NULL").isEmpty()
+    assert sent.count() == 60
+    assert outputs.messages().filter("key IS NOT NULL").isEmpty()
+
+
+def test_a_repeated_title_is_dropped_across_batches_and_restarts(topic, outputs):
+    topic.add([raw("a", 0), raw("b", 0)])
+    topic.add([raw("a", 0, 30, link="http://second"), raw("c", 1)])
+    assert outputs.run(jobs.start_cleaning, topic.stream()).count() == 3
+    topic.add([raw("b", 1, 30), raw("d", 1, 30)])
+    got = outputs.run(jobs.start_cleaning, topic.stream())
+    assert sorted(r.title for r in got.collect()) == ["a", "b", "c", "d"]
+    assert got.filter("title = 'a'").first().link == "http://a/a"
+
+
+def test_late_articles_are_dropped_two_batches_on(topic, outputs):
+    topic.add([raw("start", 10)])
+    topic.add([raw("late by one batch", 0)])
+    topic.add([raw("too late", 0), raw("in time", 9, 30)])
+    got = outputs.run(jobs.start_cleaning, topic.stream())
+    titles = {r.title for r in got.collect()}
+    assert "start" in titles and "in time" in titles
+    assert "too late" not in titles
+
+
+def test_a_longer_delay_keeps_them(topic, outputs):
+    topic.add([raw("start", 10)])
+    topic.add([raw("second", 0)])
+    topic.add([raw("third", 0)])
+    got = outputs.run(jobs.start_cleaning, topic.stream(), delay="1 hour")
+    assert got.count() == 3
+
+
+def test_bounded_title_state(topic, spark, tmp_path):
+    topic.add([raw("a", 0), raw("a", 0, 10), raw("b", 0)])
+    stream = parse_json(topic.stream(), CLEANED_ARTICLE, fields=["title", "published"])
+    timed = stream.withColumn("published_ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    kept = dedup_titles(timed, bounded_state=True)
+    target = Target("parquet", str(tmp_path / "kept"))
+    run_available(write_collection(kept, target, str(tmp_path / "cp"), NOW))
+    assert spark.read.parquet(target.path).count() == 2
+
+
+def keyword_batches():
+    """Rising keyword counts over an hour, in time order, three files."""
+    for part in range(3):
+        yield [
+            cleaned(f"t{minute}-{n}", minute, ["quake", "news", f"city{n % 2}"], "tech" if n % 2 else "other")
+            for minute in range(part * 20, part * 20 + 20)
+            for n in range(1 + minute // 10)
+        ]
+
+
+def closed(df, last_minute, delay):
+    limit = ts("2024-01-01T10:00:00") + timedelta(minutes=last_minute - delay)
+    return df.filter(to_utc_ntz(F.col("window_end")) <= F.lit(limit).cast("timestamp_ntz"))
+
+
+@pytest.mark.parametrize("bounded_state", [False, True])
+def test_trends_equal_the_batch_plan_on_closed_windows(topic, outputs, bounded_state):
+    for records in keyword_batches():
+        topic.add([*records, records[0]])
+    got = outputs.run(jobs.start_trends, topic.stream(), bounded_state=bounded_state)
+    batch = trend_plans.keyword_trends(parse_json(topic.batch(), CLEANED_ARTICLE))
+    want = closed(batch, 59, 5)
+    assert rows(got, TREND_COLUMNS) == rows(want, TREND_COLUMNS)
+    assert want.count() > 0 and batch.count() > want.count()
+    assert got.filter("created_at IS NULL").isEmpty()
+
+
+def test_trend_messages(topic, outputs):
+    for records in keyword_batches():
+        topic.add(records)
+    outputs.run(jobs.start_trends, topic.stream())
+    for message in outputs.messages().collect():
+        value = json.loads(message.value)
+        assert message.key == value["category"]
+        assert set(value) == {*TREND_COLUMNS, "created_at"}
+        assert value["window_end"].endswith("Z")
+
+
+def test_activity_equals_the_batch_plan_on_closed_windows(topic, outputs):
+    for records in keyword_batches():
+        topic.add(records)
+    got = outputs.run(jobs.start_activity, topic.stream())
+    batch = trend_plans.category_activity(parse_json(topic.batch(), CLEANED_ARTICLE))
+    assert rows(got, ACTIVITY_COLUMNS) == rows(closed(batch, 59, 10), ACTIVITY_COLUMNS)
+    assert {r.category for r in got.collect()} == {"tech"}
+
+
+@pytest.mark.parametrize("bounded_state", [False, True])
+def test_breaking_equals_the_batch_plan_on_closed_windows(topic, outputs, bounded_state):
+    for records in keyword_batches():
+        topic.add(records)
+    got = outputs.run(
+        jobs.start_breaking, topic.stream(), mode="exact", threshold=8, bounded_state=bounded_state
+    )
+    batch = breaking_plans.breaking_alerts(
+        parse_json(topic.batch(), CLEANED_ARTICLE), mode="exact", threshold=8
+    )
+    want = closed(batch, 59, 5)
+    assert rows(got, ALERT_COLUMNS) == rows(want, ALERT_COLUMNS)
+    assert want.count() > 0
+    value = json.loads(outputs.messages().first().value)
+    assert set(value) == {*ALERT_COLUMNS, "detected_at"}
+
+
+def test_the_sketch_starts_empty_with_each_micro_batch(topic, outputs):
+    for records in keyword_batches():
+        topic.add(records)
+    got = outputs.run(jobs.start_breaking, topic.stream(), threshold=1)
+    first = got.filter("keyword = 'quake'").groupBy("batch_id").agg(
+        F.min("approx_count").alias("approx"), F.min_by("exact_count", "approx_count").alias("exact")
+    )
+    assert first.count() > 1
+    assert first.filter("approx <> exact").isEmpty()
+
+
+def test_nothing_is_written_without_alerts(topic, outputs, tmp_path):
+    for records in keyword_batches():
+        topic.add(records)
+    run_available(
+        jobs.start_breaking(
+            topic.stream(), outputs.collection, outputs.topic, outputs.checkpoint,
+            threshold=10_000, trigger=NOW,
+        )
+    )
+    assert not (tmp_path / "collection").exists() and not (tmp_path / "out").exists()
+
+
+def test_sentiment_equals_the_batch_plan(topic, outputs):
+    topic.add([cleaned("great win", 0, ["great"], content="no war"), cleaned("plain", 1, [])])
+    topic.add([{"published": "2024-01-01T10:00:00Z"}, {"title": "no time"}, "junk"])
+    got = outputs.run(jobs.start_sentiment, topic.stream())
+    want = article_sentiment(parse_json(topic.batch(), CLEANED_ARTICLE))
+    assert rows(got, SENTIMENT_COLUMNS) == rows(want, SENTIMENT_COLUMNS)
+    bare = got.filter("title = ''").first()
+    assert (bare.category, bare.source_normalized, bare.sentiment) == ("other", "Unknown", "Neutral")
+    assert got.count() == 3
+
+
+def test_a_batch_written_twice_is_there_once(spark, tmp_path):
+    target = Target("parquet", str(tmp_path / "c"))
+    df = spark.range(5)
+    write_batch(df, target, 7)
+    write_batch(df, target, 7)
+    write_batch(df, target, 8)
+    assert spark.read.parquet(target.path).count() == 10
+
+
+def test_fan_out_prepares_once_per_batch(topic, spark, tmp_path):
+    topic.add([{"category": "a"}, {"category": "b"}])
+    calls = []
+
+    def prepare(batch):
+        calls.append(batch.count())
+        return batch.selectExpr("'k' AS category", "value")
+
+    out = Outputs(spark, tmp_path)
+    run_available(
+        fan_out(topic.stream(), out.collection, out.topic, out.checkpoint, prepare=prepare, trigger=NOW)
+    )
+    assert calls == [2]
+    assert {m.key for m in out.messages().collect()} == {"k"}
+
+
+def test_simple_sinks_and_topic_source(topic, spark, tmp_path):
+    topic.add([cleaned("a", 0, ["k"]), cleaned("b", 1, ["k"])])
+    articles = parse_json(topic.stream(), CLEANED_ARTICLE, fields=["title"])
+    first = Target("json", str(tmp_path / "t"))
+    run_available(write_topic(articles, first, str(tmp_path / "cp1"), NOW))
+    again = read_topic(spark, "json", path=first.path)
+    run_available(
+        write_collection(again, Target("parquet", str(tmp_path / "c")), str(tmp_path / "cp2"), NOW)
+    )
+    kept = spark.read.parquet(str(tmp_path / "c"))
+    assert sorted(json.loads(r.value)["title"] for r in kept.collect()) == ["a", "b"]
+
+
+def test_append_topic_and_table_stream(spark, tmp_path):
+    df = spark.createDataFrame([("tech", 1)], "category string, n int")
+    append_topic(to_json_value(df, key="category"), Target("parquet", str(tmp_path / "x")))
+    stream = read_table_stream(spark, str(tmp_path / "x"))
+    assert stream.isStreaming and stream.columns == ["key", "value"]
