@@ -167,13 +167,15 @@ def _windows(source: str, duration: int, slide: int) -> str:
     FROM {source}))"""
 
 
-def _trends(source: str, duration: int, slide: int, where: str = "true") -> str:
+def _trends(
+    source: str, duration: int, slide: int, where: str = "true", extra: str = ""
+) -> str:
     return f"""{_windows(source, duration, slide)}, tr AS (
   SELECT window_start, window_end, category, keyword,
     count(*) FILTER (published_ts >= window_end - INTERVAL '{slide} minutes') AS current_count,
     count(*) FILTER (published_ts < window_end - INTERVAL '{slide} minutes') AS previous_count
   FROM w GROUP BY ALL HAVING current_count >= 3)
-SELECT *, CASE WHEN trend_score >= 8 AND current_count >= 10 THEN 'BREAKING'
+SELECT {extra}*, CASE WHEN trend_score >= 8 AND current_count >= 10 THEN 'BREAKING'
   WHEN trend_score >= 4 AND current_count >= 5 THEN 'HOT'
   WHEN trend_score >= 1.5 THEN 'WARM' ELSE 'NORMAL' END AS trend_level
 FROM (SELECT *, current_count::DOUBLE / (previous_count + 1) AS trend_score FROM tr)
@@ -197,7 +199,8 @@ def _counts(source: str, duration: int, slide: int) -> str:
 
 
 def _bucket(key: str) -> str:
-    return f"('0x' || substr(md5(i || ':' || {key}), 1, 8))::BIGINT % 1000"
+    digits = f"substr(md5((i // 4) || ':' || {key}), (i % 4 * 8 + 1)::INTEGER, 8)"
+    return f"('0x' || {digits})::BIGINT % 1000"
 
 
 RUNNING = f"""rn AS (
@@ -299,7 +302,7 @@ QUALIFY row_number() OVER (PARTITION BY lower(trim(link)) ORDER BY page_id, spel
     "dedup_title": """SELECT doc_id,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS published_ts, text AS title
 FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
-    "word_counts": f"WITH {CLEAN} SELECT doc_id, {_word_count(TEXT)} AS word_count FROM cl",
+    "word_count": f"WITH {CLEAN} SELECT doc_id, {_word_count(TEXT)} AS word_count FROM cl",
     "tokens": f"""WITH {CLEAN}
 SELECT doc_id, array_to_string({_tokens(TEXT, 3)}, '|') AS tokens FROM cl""",
     "tokens_without_stop_words": f"""WITH {CLEAN}
@@ -315,7 +318,7 @@ FROM cv LEFT JOIN kw USING (id)""",
 SELECT doc_id, count(term)::INTEGER AS n_terms, max(n)::INTEGER AS top_count
 FROM cl LEFT JOIN tt USING (doc_id) GROUP BY doc_id""",
     "keywords": f"WITH {CATEGORISED} SELECT doc_id, keywords FROM ca",
-    "source_names": f"""WITH {CLEAN}
+    "source_norm": f"""WITH {CLEAN}
 SELECT doc_id, source, {_source_name('link', 'source')} AS source_normalized FROM cl""",
     "source_rules": f"""WITH p AS (
   SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]*)', 1) AS source,
@@ -362,11 +365,11 @@ SELECT window_start, window_end, category, keyword,
   CASE WHEN published_ts >= window_end - INTERVAL '120 minutes' THEN 'current'
     ELSE 'previous' END AS window_position, count(*) AS n
 FROM w GROUP BY ALL""",
-    "trends_of_events": f"WITH {EVENTS}, {_trends('ev', 20, 10)}",
+    "trends": f"WITH {EVENTS}, {_trends('ev', 20, 10)}",
     "trends_wide": f"WITH {EVENTS}, {_trends('ev', 240, 120)}",
-    "trends_in_two_stages": f"WITH {EVENTS}, {_trends('ev', 240, 120)}",
+    "trend_two_stage": f"WITH {EVENTS}, {_trends('ev', 240, 120)}",
     "article_trends": f"WITH {ARTICLES}, {KEYWORD_EVENTS}, {_trends('ke', 20, 10)}",
-    "activity_of_events": f"""WITH ev AS (
+    "category_activity": f"""WITH ev AS (
   SELECT ts AS published_ts, event_type AS category FROM events WHERE event_type <> 'error'),
 {_activity('ev')}""",
     "article_activity": f"""WITH {ARTICLES},
@@ -375,7 +378,7 @@ kn AS (SELECT published_ts, category FROM ca WHERE category <> 'other'),
     "burst_counts": f"""WITH {EVENTS}, {BURSTS}
 SELECT window_start, window_end, category, keyword, exact_count FROM bc""",
     "sketch_cells": f"WITH {TERMS} {_sketch('tt')}",
-    "sketch_estimates": f"""WITH {TERMS},
+    "sketch_estimate": f"""WITH {TERMS},
 bc AS (SELECT term AS keyword, sum(n)::BIGINT AS exact_count FROM tt GROUP BY term), {TABLE}
 SELECT keyword AS term, exact_count, approx_count FROM bc JOIN es USING (keyword)""",
     "sketch_merge": f"""WITH {CLEAN}, al AS (
@@ -408,6 +411,9 @@ SELECT title, {_word_count(TEXT)} AS word_count, coalesce(keywords, '') AS keywo
 FROM cl LEFT JOIN kw USING (title)""",
     "stream_trends": f"""WITH {EVENTS},
 {_trends('ev', 240, 120, 'window_end <= ' + LAST_WATERMARK.format(delay=5))}""",
+    "stream_trend_messages": f"""WITH {EVENTS},
+{_trends('ev', 240, 120, 'window_end <= ' + LAST_WATERMARK.format(delay=5), 'category AS key, ')}""",
+    "topic_roundtrip": f"WITH {ART} SELECT doc_id, source, title, content, link FROM art",
     "stream_activity": f"""WITH {EVENTS},
 {_activity('ev', 'window_end <= ' + LAST_WATERMARK.format(delay=10))}""",
     "stream_breaking": f"""WITH ev AS (

@@ -15,11 +15,13 @@ from newsflow.functions.text import (
     term_frequency,
     tokenize,
     top_terms,
-    word_count,
 )
+from newsflow.functions.text import word_count as count_words
 from newsflow.functions.times import to_utc_ntz
 from newsflow.lexicons import NEGATIVE_WORDS, POSITIVE_WORDS, TOPIC_TERMS
-from newsflow.operators import breaking, clean, dedup, enrich, parse, trends, windows
+from newsflow.operators import breaking, clean, dedup, enrich, parse, windows
+from newsflow.operators import trends as trend_operators
+from newsflow.operators.rows import explode_present
 from newsflow.operators.sentiment import add_sentiment
 from newsflow.plans import articles as article_plans
 from newsflow.plans import breaking as breaking_plans
@@ -27,7 +29,7 @@ from newsflow.plans import trends as trend_plans
 from newsflow.plans.sentiment import article_sentiment
 from newsflow.schemas import RAW_ARTICLE
 from newsflow.sinks.batch import Target
-from newsflow.sinks.stream import run_available
+from newsflow.sinks.stream import run_available, write_collection, write_topic
 from newsflow.sources.feeds import parse_feeds
 from newsflow.sources.tables import (
     article_view,
@@ -38,7 +40,7 @@ from newsflow.sources.tables import (
     spread,
     table,
 )
-from newsflow.sources.topics import read_table_stream
+from newsflow.sources.topics import read_table_stream, read_topic
 from newsflow.streaming import jobs
 
 # Words common in the test tables, whose text is invented.
@@ -214,7 +216,7 @@ def dedup_title(spark, sf):
 # --- enrichment --------------------------------------------------------------------
 
 
-def word_counts(spark, sf):
+def word_count(spark, sf):
     return enrich.add_word_count(_articles(spark, sf)).select("doc_id", "word_count")
 
 
@@ -233,7 +235,7 @@ def conversation_words(spark, sf):
     return _conversations(spark, sf).select(
         "conv_id",
         "turn",
-        word_count(text).alias("word_count"),
+        count_words(text).alias("word_count"),
         F.size(words).alias("n_tokens"),
         F.array_join(top_terms(words), "|").alias("keywords"),
     )
@@ -256,7 +258,7 @@ def keywords(spark, sf):
     return enrich.add_keywords(_articles(spark, sf)).select("doc_id", *_joined("keywords"))
 
 
-def source_names(spark, sf):
+def source_norm(spark, sf):
     named = enrich.add_source(_articles(spark, sf))
     return named.select("doc_id", "source", "source_normalized")
 
@@ -344,11 +346,11 @@ def window_positions(spark, sf):
 
 
 def counts_by_position(spark, sf):
-    counts = trends.counts_by_position(_events(spark, sf), **WIDE)
+    counts = trend_operators.counts_by_position(_events(spark, sf), **WIDE)
     return windows.flatten_window(counts, "category", "keyword", "window_position", "n")
 
 
-def trends_of_events(spark, sf):
+def trends(spark, sf):
     return trend_plans.trends_of_events(_events(spark, sf))
 
 
@@ -356,7 +358,7 @@ def trends_wide(spark, sf):
     return trend_plans.trends_of_events(_events(spark, sf), **WIDE)
 
 
-def trends_in_two_stages(spark, sf):
+def trend_two_stage(spark, sf):
     return trend_plans.trends_in_two_stages(_events(spark, sf), **WIDE)
 
 
@@ -366,9 +368,9 @@ def article_trends(spark, sf):
     return _utc(trend_plans.keyword_trends(articles), "window_start", "window_end")
 
 
-def activity_of_events(spark, sf):
+def category_activity(spark, sf):
     events = _events(spark, sf).select("published_ts", F.col("keyword").alias("category"))
-    known = trends.known_categories(events, excluded="error")
+    known = trend_operators.known_categories(events, excluded="error")
     return trend_plans.activity_of_events(known)
 
 
@@ -393,7 +395,7 @@ def sketch_cells(spark, sf):
     return breaking.build_sketch(terms, "term", "n")
 
 
-def sketch_estimates(spark, sf):
+def sketch_estimate(spark, sf):
     """Whole-table estimates of every term next to its exact count."""
     terms = enrich.explode_terms(enrich.add_tokens(_articles(spark, sf)), "doc_id")
     exact = terms.groupBy("term").agg(F.sum("n").alias("exact_count"))
@@ -406,9 +408,8 @@ def sketch_merge(spark, sf):
     articles = _articles(spark, sf)
 
     def part(column: str) -> DataFrame:
-        words = articles.select(tokenize(F.col(column), 3).alias("tokens"))
-        counts = words.select(F.explode("tokens").alias("term"), F.lit(1).alias("n"))
-        return breaking.build_sketch(counts, "term", "n")
+        terms = explode_present(articles.select(column), tokenize(F.col(column), 3), "term")
+        return breaking.build_sketch(terms.select("term", F.lit(1).alias("n")), "term", "n")
 
     return breaking.merge_sketches(part("title"), part("content"))
 
@@ -481,16 +482,17 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
-def _run(spark, start, records: DataFrame, **options) -> DataFrame:
-    """Run a job over all records there are now and read its collection back."""
+NOW = {"availableNow": True}
+
+
+def _run(spark, start, records: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Run a job over all records there are now; its collection and its messages."""
     base = _scratch(spark)
     collection = Target("parquet", f"{base}/collection")
     topic = Target("json", f"{base}/topic")
-    trigger = {"availableNow": True}
-    run_available(
-        start(records, collection, topic, f"{base}/checkpoint", trigger=trigger, **options)
-    )
-    return spark.read.parquet(collection.path).drop("batch_id")
+    run_available(start(records, collection, topic, f"{base}/checkpoint", trigger=NOW, **options))
+    messages = spark.read.schema("key string, value string").json(topic.path)
+    return spark.read.parquet(collection.path).drop("batch_id"), messages
 
 
 def _event_records(spark, sf) -> DataFrame:
@@ -513,31 +515,55 @@ def stream_cleaning(spark, sf):
     documents = read_table_stream(spark, sf, "documents.parquet")
     published = published_text(minute(F.col("doc_id")))
     fields = F.struct(F.col("text").alias("title"), published.alias("published"))
-    cleaned = _run(spark, jobs.start_cleaning, documents.select(F.to_json(fields).alias("value")))
+    records = documents.select(F.to_json(fields).alias("value"))
+    cleaned, _ = _run(spark, jobs.start_cleaning, records)
     return cleaned.select("title", "word_count", *_joined("keywords"), "category")
 
 
 def stream_trends(spark, sf):
-    out = _run(spark, jobs.start_trends, _event_records(spark, sf), **WIDE)
+    out, _ = _run(spark, jobs.start_trends, _event_records(spark, sf), **WIDE)
     return _utc(out.drop("created_at"), "window_start", "window_end")
 
 
 def stream_activity(spark, sf):
-    out = _run(spark, jobs.start_activity, _event_records(spark, sf))
+    out, _ = _run(spark, jobs.start_activity, _event_records(spark, sf))
     return _utc(out.drop("created_at"), "window_start", "window_end")
 
 
+def stream_trend_messages(spark, sf):
+    """What the trend job sends to its topic, unpacked again."""
+    _, messages = _run(spark, jobs.start_trends, _event_records(spark, sf), **WIDE)
+    schema = (
+        "window_start timestamp, window_end timestamp, category string, keyword string,"
+        " current_count bigint, previous_count bigint, trend_score double, trend_level string"
+    )
+    out = messages.select("key", F.from_json("value", schema).alias("v")).select("key", "v.*")
+    return _utc(out, "window_start", "window_end")
+
+
 def stream_breaking(spark, sf):
-    out = _run(
-        spark, jobs.start_breaking, _event_records(spark, sf), mode="exact", **BURSTS
-    ).drop("detected_at")
+    out, _ = _run(spark, jobs.start_breaking, _event_records(spark, sf), mode="exact", **BURSTS)
     joined = {c: F.array_join(c, "|") for c in ("sample_titles", "sample_links")}
-    return _utc(out.withColumns(joined), "window_start", "window_end")
+    return _utc(out.drop("detected_at").withColumns(joined), "window_start", "window_end")
 
 
 def stream_sentiment(spark, sf):
-    out = _run(spark, jobs.start_sentiment, _event_records(spark, sf)).drop("created_at")
-    return _utc(out.withColumn("keywords", F.array_join("keywords", "|")), "published")
+    out, _ = _run(spark, jobs.start_sentiment, _event_records(spark, sf))
+    joined = out.drop("created_at").withColumn("keywords", F.array_join("keywords", "|"))
+    return _utc(joined, "published")
+
+
+def topic_roundtrip(spark, sf):
+    """Documents to a topic, and from the topic to a collection."""
+    base = _scratch(spark)
+    topic = Target("json", f"{base}/topic")
+    articles = article_view(read_table_stream(spark, sf, "documents.parquet"))
+    sent = articles.select("doc_id", "source", "title", "content", "link")
+    run_available(write_topic(sent, topic, f"{base}/sending", NOW))
+    received = parse.parse_json(read_topic(spark, "json", path=topic.path), sent.schema)
+    collection = Target("parquet", f"{base}/collection")
+    run_available(write_collection(received, collection, f"{base}/receiving", NOW))
+    return spark.read.parquet(collection.path)
 
 
 QUERIES = {
@@ -559,14 +585,14 @@ QUERIES = {
         event_time,
         dedup_link,
         dedup_title,
-        word_counts,
+        word_count,
         tokens,
         tokens_without_stop_words,
         conversation_words,
         term_freq,
         term_freq_map,
         keywords,
-        source_names,
+        source_norm,
         source_rules,
         topic_flags,
         topic_scores,
@@ -579,15 +605,15 @@ QUERIES = {
         keyword_events,
         window_positions,
         counts_by_position,
-        trends_of_events,
+        trends,
         trends_wide,
-        trends_in_two_stages,
+        trend_two_stage,
         article_trends,
-        activity_of_events,
+        category_activity,
         article_activity,
         burst_counts,
         sketch_cells,
-        sketch_estimates,
+        sketch_estimate,
         sketch_merge,
         running_estimates,
         breaking_running,
@@ -597,8 +623,10 @@ QUERIES = {
         feed_items,
         stream_cleaning,
         stream_trends,
+        stream_trend_messages,
         stream_activity,
         stream_breaking,
         stream_sentiment,
+        topic_roundtrip,
     )
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsflow.functions.sketch import DEPTH, WIDTH, sketch_cells
+from newsflow.functions.sketch import DEPTH, WIDTH, place_keys
 from newsflow.functions.times import interval, seconds
 from newsflow.operators.windows import covering_starts
 
@@ -41,8 +41,8 @@ def build_sketch(
 ) -> DataFrame:
     """(sketch_row, bucket, cell). The partial aggregate leaves at most depth * width
     rows per task before the shuffle."""
-    placed = df.select(F.explode(sketch_cells(F.col(key), depth, width)).alias("at"), n)
-    return placed.groupBy("at.sketch_row", "at.bucket").agg(F.sum(n).alias("cell"))
+    placed = place_keys(df, key, [n], depth, width)
+    return placed.groupBy("sketch_row", "bucket").agg(F.sum(n).alias("cell"))
 
 
 def merge_sketches(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -67,9 +67,7 @@ def estimate(
     The copies of a row made for the sketch rows sit in one task, so the partial
     aggregate folds them back before the shuffle.
     """
-    placed = df.select(
-        *by, F.explode(sketch_cells(F.col(key), depth, width)).alias("at")
-    ).select(*by, "at.sketch_row", "at.bucket")
+    placed = place_keys(df, key, by, depth, width)
     cells = F.broadcast(sketch) if depth * width <= MAX_BROADCAST_CELLS else sketch
     found = placed.join(cells, ["sketch_row", "bucket"], "left")
     return found.groupBy(*by).agg(
@@ -93,12 +91,8 @@ def running_estimates(
     """
     cell = ["sketch_row", "bucket"]
     piece = cell + ["_chunk"]
-    placed = counts.select(
-        *ALERT_KEYS,
-        n,
-        F.date_trunc(chunk, "window_start").alias("_chunk"),
-        F.explode(sketch_cells(F.col("keyword"), depth, width)).alias("at"),
-    ).select(*ALERT_KEYS, n, "_chunk", "at.sketch_row", "at.bucket")
+    chunked = counts.withColumn("_chunk", F.date_trunc(chunk, "window_start"))
+    placed = place_keys(chunked, "keyword", [*ALERT_KEYS, n, "_chunk"], depth, width)
     earlier = (
         Window.partitionBy(*cell)
         .orderBy("_chunk")

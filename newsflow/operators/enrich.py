@@ -27,6 +27,7 @@ from newsflow.lexicons import (
     TOPIC_TERMS,
     TOPIC_THRESHOLDS,
 )
+from newsflow.operators.rows import explode_present
 
 
 def _text():
@@ -49,8 +50,8 @@ def add_term_frequency(df: DataFrame) -> DataFrame:
 
 def explode_terms(df: DataFrame, key: str) -> DataFrame:
     """(key, term, n): the term frequencies of ``tokens`` as rows."""
-    runs = df.select(key, F.explode(term_runs(F.col("tokens"))).alias("e"))
-    return runs.select(key, "e.term", (-F.col("e.rank")).alias("n"))
+    runs = explode_present(df, term_runs(F.col("tokens")), "_run")
+    return runs.select(key, "_run.term", (-F.col("_run.rank")).alias("n"))
 
 
 def add_keywords(

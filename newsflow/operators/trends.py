@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsflow.functions.levels import activity_level, trend_level, trend_score
 from newsflow.lexicons import NO_TOPIC, NOISE_WORDS
+from newsflow.operators.rows import explode_present
 from newsflow.operators.windows import flatten_window, window_positions
 
 KEYWORD_KEYS = ("category", "keyword")
@@ -11,7 +12,7 @@ KEYWORD_KEYS = ("category", "keyword")
 
 def explode_keywords(df: DataFrame) -> DataFrame:
     """One row per keyword, lower-cased and trimmed; rows without keywords vanish."""
-    exploded = df.withColumn("keyword", F.explode("keywords")).drop("keywords")
+    exploded = explode_present(df, F.col("keywords"), "keyword").drop("keywords")
     return exploded.withColumn("keyword", F.lower(F.trim("keyword")))
 
 

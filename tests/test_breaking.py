@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter, defaultdict
 from datetime import timedelta
 
@@ -26,15 +27,13 @@ def test_one_keyword_accumulates_over_windows(spark):
 
 def sketch_rows(rows, depth, width):
     """The running sketch, row by row."""
-    import hashlib
-
     table = defaultdict(int)
     out = {}
     for m, c, k, n in sorted(rows, key=lambda r: (r[0], r[1] or "", r[2])):
-        cells = [
-            (i, int(hashlib.md5(f"{i}:{k}".encode()).hexdigest()[:8], 16) % width)
-            for i in range(depth)
-        ]
+        cells = []
+        for i in range(depth):
+            digest = hashlib.md5(f"{i // 4}:{k}".encode()).hexdigest()
+            cells.append((i, int(digest[i % 4 * 8 : i % 4 * 8 + 8], 16) % width))
         for cell in cells:
             table[cell] += n
         out[(m, c, k)] = min(table[cell] for cell in cells)
@@ -52,11 +51,11 @@ MANY = [
 @pytest.mark.parametrize("chunk", ["minute", "hour", "day"])
 @pytest.mark.parametrize("width", [5, 1000])
 def test_running_estimates_equal_brute_force(spark, chunk, width):
-    got = b.running_estimates(counts_frame(spark, MANY), depth=3, width=width, chunk=chunk)
+    got = b.running_estimates(counts_frame(spark, MANY), depth=6, width=width, chunk=chunk)
     assert {
         ((r.window_start - START).seconds // 60, r.category, r.keyword): r.approx_count
         for r in got.collect()
-    } == sketch_rows(MANY, 3, width)
+    } == sketch_rows(MANY, 6, width)
 
 
 def test_estimates_never_fall_below_the_count(spark):
