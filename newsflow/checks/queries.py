@@ -6,6 +6,7 @@ give the same values.
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -485,12 +486,28 @@ def _scratch(spark: SparkSession) -> str:
 NOW = {"availableNow": True}
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """No more state partitions than cores for a query started here: each costs a task
+    and a commit per micro-batch, and their number is fixed for the query's life."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(min(int(before), cores)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _run(spark, start, records: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Run a job over all records there are now; its collection and its messages."""
     base = _scratch(spark)
     collection = Target("parquet", f"{base}/collection")
     topic = Target("json", f"{base}/topic")
-    run_available(start(records, collection, topic, f"{base}/checkpoint", trigger=NOW, **options))
+    with _state_partitions(spark):
+        query = start(records, collection, topic, f"{base}/checkpoint", trigger=NOW, **options)
+    run_available(query)
     messages = spark.read.schema("key string, value string").json(topic.path)
     return spark.read.parquet(collection.path).drop("batch_id"), messages
 

@@ -131,15 +131,15 @@ def smallest_values(rows: DataFrame, keys, k: int = 3) -> DataFrame:
     return ranked.filter(F.col("_n") <= k).drop("_n")
 
 
-def collect_evidence(values: DataFrame, k: int = 3) -> DataFrame:
-    """(alert keys, sample_titles, sample_links) of rows that hold a bounded number of
-    values per alert."""
+def collect_evidence(values: DataFrame, keys, k: int = 3) -> DataFrame:
+    """(keys, sample_titles, sample_links) of :func:`smallest_values`: at most ``k`` of
+    each kind per key, so the collected sets are bounded."""
 
     def sample(kind: str):
         values_of = F.collect_set(F.when(F.col("kind") == kind, F.col("val")))
         return F.slice(F.sort_array(values_of), 1, k)
 
-    return values.groupBy(*ALERT_KEYS).agg(
+    return values.groupBy(*keys).agg(
         sample("title").alias("sample_titles"), sample("link").alias("sample_links")
     )
 
@@ -170,5 +170,14 @@ def sample_evidence(
     slot = F.window(ts, f"{s} seconds")["start"].alias("slot")
     slotted = events.select(slot, "category", "keyword", "title", "link")
     in_alert = keep_keys(slotted, wanted, slot_keys)
-    values = smallest_values(in_alert, slot_keys, k)
-    return collect_evidence(join_on_keys(wanted, values, slot_keys, "left"), k)
+    samples = collect_evidence(smallest_values(in_alert, slot_keys, k), slot_keys, k)
+
+    def merged(column: str):
+        values = F.array_distinct(F.flatten(F.collect_list(column)))
+        return F.slice(F.sort_array(values), 1, k).alias(column)
+
+    return (
+        join_on_keys(wanted, samples, slot_keys, "left")
+        .groupBy(*ALERT_KEYS)
+        .agg(merged("sample_titles"), merged("sample_links"))
+    )

@@ -123,5 +123,5 @@ def alerts_of_windows(
         F.col("approx_count") >= threshold
     )
     in_alert = keep_keys(titles, alerts, ALERT_KEYS)
-    evidence = collect_evidence(smallest_values(in_alert, ALERT_KEYS))
+    evidence = collect_evidence(smallest_values(in_alert, ALERT_KEYS), ALERT_KEYS)
     return label_alerts(join_on_keys(alerts, evidence, ALERT_KEYS, "left"), duration)
