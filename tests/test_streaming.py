@@ -5,6 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from newsflow.checks.queries import _scratch
 from newsflow.functions.times import to_utc_ntz
 from newsflow.operators.dedup import dedup_titles
 from newsflow.operators.parse import parse_json, to_json_value
@@ -305,3 +306,25 @@ def test_append_topic_and_table_stream(spark, tmp_path):
     append_topic(to_json_value(df, key="category"), Target("parquet", str(tmp_path / "x")))
     stream = read_table_stream(spark, str(tmp_path / "x"))
     assert stream.isStreaming and stream.columns == ["key", "value"]
+
+
+def test_the_rocksdb_state_store_gives_the_same(topic, spark, outputs):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    for records in keyword_batches():
+        topic.add(records)
+    before = spark.conf.get(name)
+    spark.conf.set(
+        name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    try:
+        got = outputs.run(jobs.start_trends, topic.stream())
+    finally:
+        spark.conf.set(name, before)
+    batch = trend_plans.keyword_trends(parse_json(topic.batch(), CLEANED_ARTICLE))
+    assert rows(got, TREND_COLUMNS) == rows(closed(batch, 59, 5), TREND_COLUMNS)
+
+
+def test_scratch_folders_are_in_the_shared_one(spark):
+    first, second = _scratch(spark), _scratch(spark)
+    assert first != second
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir") + "/run-")
