@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsflow.functions.text import (
@@ -500,7 +501,40 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _run(spark, start, records: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+TREND_ROWS = (
+    "window_start timestamp, window_end timestamp, category string, keyword string,"
+    " current_count bigint, previous_count bigint, trend_score double, trend_level string"
+)
+ACTIVITY_ROWS = (
+    "window_start timestamp, window_end timestamp, category string, category_count bigint,"
+    " activity_level string"
+)
+ALERT_ROWS = (
+    "window_start timestamp, window_end timestamp, category string, keyword string,"
+    " exact_count bigint, approx_count bigint, sample_titles array<string>,"
+    " sample_links array<string>, status string"
+)
+SENTIMENT_ROWS = (
+    "published timestamp, source_normalized string, category string, title string, link string,"
+    " keywords array<string>, positive_count int, negative_count int, sentiment_score int,"
+    " sentiment string"
+)
+ARTICLE_ROWS = "title string, word_count int, keywords array<string>, category string"
+
+
+def _written(spark: SparkSession, target: Target, schema: str) -> DataFrame:
+    """Rows of a target; none where a job had nothing to write."""
+    empty = spark.createDataFrame([], schema)
+    try:
+        found = spark.read.schema(empty.schema).format(target.fmt).load(target.path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    return found.select(*empty.columns)
+
+
+def _run(spark, start, records: DataFrame, schema: str, **options) -> tuple[DataFrame, DataFrame]:
     """Run a job over all records there are now; its collection and its messages."""
     base = _scratch(spark)
     collection = Target("parquet", f"{base}/collection")
@@ -508,8 +542,8 @@ def _run(spark, start, records: DataFrame, **options) -> tuple[DataFrame, DataFr
     with _state_partitions(spark):
         query = start(records, collection, topic, f"{base}/checkpoint", trigger=NOW, **options)
     run_available(query)
-    messages = spark.read.schema("key string, value string").json(topic.path)
-    return spark.read.parquet(collection.path).drop("batch_id"), messages
+    messages = _written(spark, topic, "key string, value string")
+    return _written(spark, collection, schema), messages
 
 
 def _event_records(spark, sf) -> DataFrame:
@@ -533,41 +567,39 @@ def stream_cleaning(spark, sf):
     published = published_text(minute(F.col("doc_id")))
     fields = F.struct(F.col("text").alias("title"), published.alias("published"))
     records = documents.select(F.to_json(fields).alias("value"))
-    cleaned, _ = _run(spark, jobs.start_cleaning, records)
+    cleaned, _ = _run(spark, jobs.start_cleaning, records, ARTICLE_ROWS)
     return cleaned.select("title", "word_count", *_joined("keywords"), "category")
 
 
 def stream_trends(spark, sf):
-    out, _ = _run(spark, jobs.start_trends, _event_records(spark, sf), **WIDE)
-    return _utc(out.drop("created_at"), "window_start", "window_end")
+    out, _ = _run(spark, jobs.start_trends, _event_records(spark, sf), TREND_ROWS, **WIDE)
+    return _utc(out, "window_start", "window_end")
 
 
 def stream_activity(spark, sf):
-    out, _ = _run(spark, jobs.start_activity, _event_records(spark, sf))
-    return _utc(out.drop("created_at"), "window_start", "window_end")
+    out, _ = _run(spark, jobs.start_activity, _event_records(spark, sf), ACTIVITY_ROWS)
+    return _utc(out, "window_start", "window_end")
 
 
 def stream_trend_messages(spark, sf):
     """What the trend job sends to its topic, unpacked again."""
-    _, messages = _run(spark, jobs.start_trends, _event_records(spark, sf), **WIDE)
-    schema = (
-        "window_start timestamp, window_end timestamp, category string, keyword string,"
-        " current_count bigint, previous_count bigint, trend_score double, trend_level string"
-    )
-    out = messages.select("key", F.from_json("value", schema).alias("v")).select("key", "v.*")
+    records = _event_records(spark, sf)
+    _, messages = _run(spark, jobs.start_trends, records, TREND_ROWS, **WIDE)
+    out = messages.select("key", F.from_json("value", TREND_ROWS).alias("v"))
+    out = out.select("key", "v.*")
     return _utc(out, "window_start", "window_end")
 
 
 def stream_breaking(spark, sf):
-    out, _ = _run(spark, jobs.start_breaking, _event_records(spark, sf), mode="exact", **BURSTS)
+    records = _event_records(spark, sf)
+    out, _ = _run(spark, jobs.start_breaking, records, ALERT_ROWS, mode="exact", **BURSTS)
     joined = {c: F.array_join(c, "|") for c in ("sample_titles", "sample_links")}
-    return _utc(out.drop("detected_at").withColumns(joined), "window_start", "window_end")
+    return _utc(out.withColumns(joined), "window_start", "window_end")
 
 
 def stream_sentiment(spark, sf):
-    out, _ = _run(spark, jobs.start_sentiment, _event_records(spark, sf))
-    joined = out.drop("created_at").withColumn("keywords", F.array_join("keywords", "|"))
-    return _utc(joined, "published")
+    out, _ = _run(spark, jobs.start_sentiment, _event_records(spark, sf), SENTIMENT_ROWS)
+    return _utc(out.withColumn("keywords", F.array_join("keywords", "|")), "published")
 
 
 def topic_roundtrip(spark, sf):
