@@ -11,9 +11,20 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 EMPTY_RUNS = "array<struct<rank:int,term:string>>"
 
 
+def _split_after_tags(c: Column) -> tuple[Column, Column]:
+    """Text up to the last ``>``, which is all that can hold tags, and the rest.
+
+    Without the split each ``<`` that is never closed would be searched to the end of
+    the text: quadratic in a text full of them.
+    """
+    rest = F.substring_index(c, ">", -1)
+    return F.substr(c, F.lit(1), F.length(c) - F.length(rest)), rest
+
+
 def strip_tags(c: Column) -> Column:
     """Markup tags become a space; entities are left alone."""
-    return F.regexp_replace(c, TAG, " ")
+    tagged, rest = _split_after_tags(c)
+    return F.concat(F.regexp_replace(tagged, TAG, " "), rest)
 
 
 def strip_symbols(c: Column) -> Column:
@@ -34,7 +45,8 @@ def clean_text(c: Column) -> Column:
     """``collapse_space(strip_breaks(strip_symbols(strip_tags(lower(c)))))`` in two
     passes over the text: line breaks are symbols, and once symbols are spaces the only
     runs left to collapse are runs of spaces."""
-    spaced = F.regexp_replace(F.lower(c), f"{TAG}|{SYMBOL}", " ")
+    tagged, rest = _split_after_tags(F.lower(c))
+    spaced = F.concat(F.regexp_replace(tagged, f"{TAG}|{SYMBOL}", " "), strip_symbols(rest))
     return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 

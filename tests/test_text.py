@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -60,6 +61,14 @@ def test_long_runs_do_not_overflow_the_matcher(spark):
     assert one(spark, "a" + "<i>" * 50_000 + "b", t.clean_text) == "a b"
 
 
+def test_unclosed_tags_take_linear_time(spark):
+    started = time.monotonic()
+    assert one(spark, "x>" + "<a " * 300_000 + "b", t.clean_text) == "x " + "a " * 300_000 + "b"
+    assert one(spark, "<" * 1_000_000, t.strip_tags) == "<" * 1_000_000
+    assert one(spark, "<" * 1_000_000 + ">", t.strip_tags) == " "
+    assert time.monotonic() - started < 20
+
+
 def test_escape_text(spark):
     assert one(spark, 'say "hi"\r\nnow', t.escape_text) == "say 'hi'  now"
     assert one(spark, None, t.escape_text) == ""
