@@ -18,7 +18,7 @@ from newsflow.llm.common import mix, prefix_sums, span_hash
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Entries a worker keeps before it starts its store anew.
-STORE_LIMIT = 1_500_000
+STORE_LIMIT = 3_000_000
 
 
 @lru_cache(maxsize=1)
@@ -78,43 +78,72 @@ def _point_table() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.size = np.zeros(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate(
+                [self.data[: self.size], np.zeros(max(need, self.size // 2), self.data.dtype)]
+            )
+        self.data[self.size : need] = values
+        self.size = need
+
+
 class Store:
-    """Hash of a piece -> the ids it encodes to, or only how many there are."""
+    """Hash of a piece -> the ids it encodes to, or only how many there are. Sorted keys are
+    kept in a large and a small array, so that new ones cost little."""
 
     def __init__(self, encode, counts_only: bool = False):
         self.encode, self.counts_only = encode, counts_only
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.int32)
-
-    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        first = len(self.ids) + np.cumsum(counts) - counts
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, counts.astype(np.int32)])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        self.first, self.count, self.ids = Growing(np.int64), Growing(np.int32), Growing(np.int32)
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.levels = [empty, empty]
+
+    def __len__(self):
+        return self.count.size
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Entries for new ``keys`` (sorted); their numbers."""
+        slots = self.count.size + np.arange(len(keys))
+        self.first.extend(self.ids.size + np.cumsum(counts) - counts)
+        self.count.extend(counts)
+        self.ids.extend(ids)
+        large, small = self.levels
+        small = self._merged(small, (keys, slots))
+        if len(small[0]) > 65536 + len(large[0]) // 8:
+            large, small = self._merged(large, small), (small[0][:0], small[1][:0])
+        self.levels = [large, small]
+        return slots
+
+    @staticmethod
+    def _merged(a, b):
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
     def find(self, keys: np.ndarray, text_of) -> np.ndarray:
-        """Where each of the distinct, sorted ``keys`` is; ``text_of(places)`` gives the
+        """The number of each of the distinct, sorted ``keys``; ``text_of(places)`` gives the
         pieces at those places of ``keys`` that the store lacks."""
-        if len(self.keys) > STORE_LIMIT:
+        if len(self) > STORE_LIMIT:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not known.all():
-            missing = np.flatnonzero(~known)
+        slots = np.full(len(keys), -1, np.int64)
+        for known, numbers in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                slots[hit] = numbers[at[hit]]
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
             counts, ids = self.encode(text_of(missing))
-            self.add(keys[missing], counts, np.zeros(0, np.int32) if self.counts_only else ids)
-            at = np.searchsorted(self.keys, keys)
-        return at
+            slots[missing] = self.add(keys[missing], counts, ids[:0] if self.counts_only else ids)
+        return slots
 
 
 class ByteLevel:

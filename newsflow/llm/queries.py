@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newsflow.llm.token_counts import token_counts
+from newsflow.llm.token_files import token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,7 +20,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, BYTE_BPE).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts,)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), BYTE_BPE, end=2)
+
+
+QUERIES = {f.__name__: f for f in (op5_token_counts, op9_token_files)}
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}

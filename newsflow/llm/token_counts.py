@@ -28,7 +28,7 @@ def _counter(path: str) -> tuple[ByteLevel, Store]:
 def count_batch(texts: pa.Array, path: str, whole: np.ndarray) -> np.ndarray:
     """Tokens of each text; null has none."""
     model, store = _counter(path)
-    if not len(store.keys) and len(whole):
+    if not len(store) and len(whole):
         store.add(whole, np.ones(len(whole), np.int64), np.zeros(0, np.int32))
     data, offsets = buffers(texts)
     out = np.zeros(len(texts), np.int64)
@@ -38,7 +38,7 @@ def count_batch(texts: pa.Array, path: str, whole: np.ndarray) -> np.ndarray:
             break
         points, at = code_points(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         place, n = apply(points, at, store)
-        sums = np.append(0, np.cumsum(store.count[place]))
+        sums = np.append(0, np.cumsum(store.count.data[place]))
         ends = np.cumsum(n)
         out[i:j] = sums[ends] - sums[ends - n]
     rows = np.flatnonzero(special)
