@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from newsflow.llm.decontaminate import decontaminate
 from newsflow.llm.token_counts import token_counts
 from newsflow.llm.token_files import token_files
 
@@ -20,11 +21,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, BYTE_BPE).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), BYTE_BPE, end=2)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_decontaminate, op9_token_files)}
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
