@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newsflow.llm.decontaminate import decontaminate
+from newsflow.llm.fingerprints import neighbour_likeness
 from newsflow.llm.token_counts import token_counts
 from newsflow.llm.token_files import token_files
 
@@ -29,11 +30,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), BYTE_BPE, end=2)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_decontaminate, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_decontaminate, op7_fingerprints, op9_token_files)}
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
