@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsflow.llm.chat import format_chats, read_back, text_part
 from newsflow.llm.decontaminate import decontaminate
 from newsflow.llm.fingerprints import neighbour_likeness
+from newsflow.llm.html import main_text
 from newsflow.llm.quality import quality
 from newsflow.llm.token_counts import token_counts
 from newsflow.llm.token_files import token_files
@@ -52,6 +53,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), BYTE_BPE, end=2)
 
@@ -60,9 +66,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op5_token_counts, op6_decontaminate, op7_fingerprints, op9_token_files, op10_quality,
-)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op5_token_counts,
+        op6_decontaminate,
+        op7_fingerprints,
+        op8_main_text,
+        op9_token_files,
+        op10_quality,
+    )
+}
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
