@@ -9,11 +9,13 @@ from newsflow.llm.chat import format_chats, read_back, text_part
 from newsflow.llm.decontaminate import decontaminate
 from newsflow.llm.fingerprints import neighbour_likeness
 from newsflow.llm.html import main_text
+from newsflow.llm.pieces import decode, encode
 from newsflow.llm.quality import quality
 from newsflow.llm.token_counts import token_counts
 from newsflow.llm.token_files import token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(messages))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode(encode(docs, PIECE_BPE), PIECE_BPE)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        "ids_crc32",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, BYTE_BPE).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -70,6 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op4_sentencepiece,
         op5_token_counts,
         op6_decontaminate,
         op7_fingerprints,
