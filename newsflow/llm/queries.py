@@ -9,6 +9,7 @@ from newsflow.llm.chat import format_chats, read_back, text_part
 from newsflow.llm.decontaminate import decontaminate
 from newsflow.llm.fingerprints import neighbour_likeness
 from newsflow.llm.html import main_text
+from newsflow.llm.near_dedup import near_duplicate_classes
 from newsflow.llm.pieces import decode, encode
 from newsflow.llm.quality import quality
 from newsflow.llm.token_counts import token_counts
@@ -38,6 +39,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(messages))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and whether the document is the one of its class that stays."""
+    found = near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = decode(encode(docs, PIECE_BPE), PIECE_BPE)
@@ -84,6 +91,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op3_near_dedup,
         op4_sentencepiece,
         op5_token_counts,
         op6_decontaminate,
