@@ -12,6 +12,7 @@ from newsflow.llm.html import main_text
 from newsflow.llm.near_dedup import near_duplicate_classes
 from newsflow.llm.pieces import decode, encode
 from newsflow.llm.quality import quality
+from newsflow.llm.suffix_dedup import suffix_dedup
 from newsflow.llm.token_counts import token_counts
 from newsflow.llm.token_files import token_files
 
@@ -39,6 +40,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(messages))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and whether the document is the one of its class that stays."""
     found = near_duplicate_classes(table(spark, sf_dir, "documents"))
@@ -91,6 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op2_suffix_dedup,
         op3_near_dedup,
         op4_sentencepiece,
         op5_token_counts,
@@ -104,6 +111,34 @@ QUERIES = {
 
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), s AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
+        ), first AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k
+        ), hit AS (SELECT s.doc_id, s.i FROM s JOIN first USING (k) WHERE least < s.doc_id
+        ), run AS (
+            SELECT doc_id, i, coalesce(i > lag(i) OVER w + 50, true) AS fresh
+            FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), numbered AS (
+            SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM run
+        ), span AS (
+            SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, n
+        ), gap AS (
+            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_
+            FROM (SELECT doc_id, a, b FROM span
+                  UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d)
+        ), kept AS (
+            SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a, b) AS k
+            FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+        ), total AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM span GROUP BY doc_id)
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes,
+            CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+            sha256(unhex(k)) AS kept_sha256
+        FROM d LEFT JOIN total USING (doc_id) JOIN kept USING (doc_id)
+    """,
     "op1_chat_format": r"""
         WITH m AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
