@@ -224,7 +224,7 @@ def encode(
     rest = [c for c in docs.columns if c.lower() not in (to.lower(), "n_tokens", "ids_crc32")]
     hidden = free_name(docs, "text_encoded")
     source = docs.select(*[quoted(c) for c in rest], quoted(text).alias(hidden))
-    schema = T.StructType([*source.schema.fields[:-1]]).add(to, "array<int>")
+    schema = T.StructType([*source.schema.fields[:-1]]).add(to, T.ArrayType(T.IntegerType()))
     schema = schema.add("n_tokens", "long").add("ids_crc32", "long")
 
     def run(batches):
