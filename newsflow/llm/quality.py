@@ -106,22 +106,23 @@ def fit_nnpu(
     positive: np.ndarray,
     unlabelled: np.ndarray,
     prior: float,
-    hidden: int = 24,
-    epochs: int = 25,
+    hidden: int = 12,
+    steps: int = 1200,
     batch: int = 512,
     rate: float = 3e-3,
-    decay: float = 1e-4,
+    decay: float = 3e-3,
     seed: int = 7,
+    used: np.ndarray | None = None,
 ) -> Model:
     """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss. Where
-    the estimated negative risk of a batch falls below zero, the step raises it instead."""
+    the estimated negative risk of a batch falls below zero, the step raises it instead.
+    ``used`` tells which features the columns are."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    used = np.flatnonzero(both.std(0) > 1e-4)
-    positive, unlabelled, both = positive[:, used], unlabelled[:, used], both[:, used]
-    mean = both.mean(0)
-    scale = 1 / (both.std(0) + 0.01)
-    del both
+    n, m = len(positive), len(unlabelled)
+    mean = (positive.sum(0) + unlabelled.sum(0)) / (n + m)
+    spread = (np.square(positive - mean).sum(0) + np.square(unlabelled - mean).sum(0)) / (n + m)
+    scale = 1 / (np.sqrt(spread) + 0.01)
+    used = np.arange(positive.shape[1]) if used is None else used
     p, u = (positive - mean) * scale, (unlabelled - mean) * scale
     params = [
         rng.normal(0, np.sqrt(2 / p.shape[1]), (p.shape[1], hidden)).astype(np.float32),
@@ -131,32 +132,27 @@ def fit_nnpu(
     ]
     first = [np.zeros_like(a) for a in params]
     second = [np.zeros_like(a) for a in params]
-    steps = max(1, len(u) // batch)
-    t = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(u))
-        for s in range(steps):
-            xu = u[order[s * batch : (s + 1) * batch]]
-            xp = p[rng.integers(0, len(p), min(batch, len(p)))]
-            x = np.concatenate([xp, xu])
-            z = x @ params[0] + params[1]
-            h = np.maximum(z, 0)
-            out = h @ params[2] + params[3][0]
-            out_p, out_u = out[: len(xp)], out[len(xp) :]
-            negative = np.logaddexp(0, out_u).mean() - prior * np.logaddexp(0, out_p).mean()
-            # derivatives of the mean losses: of being called negative, then positive
-            gp, gu = _sigmoid(out_p) / len(xp), _sigmoid(out_u) / len(xu)
-            if negative >= 0:
-                grad = np.concatenate([prior * ((_sigmoid(out_p) - 1) / len(xp) - gp), gu])
-            else:
-                grad = np.concatenate([prior * gp, -gu])
-            dh = grad[:, None] * params[2] * (z > 0)
-            grads = [x.T @ dh + decay * params[0], dh.sum(0), h.T @ grad + decay * params[2], grad.sum()[None]]
-            t += 1
-            for a, g, m, v in zip(params, grads, first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    for t in range(1, steps + 1):
+        xu = u[rng.integers(0, len(u), min(batch, len(u)))]
+        xp = p[rng.integers(0, len(p), min(batch, len(p)))]
+        x = np.concatenate([xp, xu])
+        z = x @ params[0] + params[1]
+        h = np.maximum(z, 0)
+        out = h @ params[2] + params[3][0]
+        out_p, out_u = out[: len(xp)], out[len(xp) :]
+        negative = np.logaddexp(0, out_u).mean() - prior * np.logaddexp(0, out_p).mean()
+        # derivatives of the mean losses: of being called negative, then positive
+        gp, gu = _sigmoid(out_p) / len(xp), _sigmoid(out_u) / len(xu)
+        if negative >= 0:
+            grad = np.concatenate([prior * ((_sigmoid(out_p) - 1) / len(xp) - gp), gu])
+        else:
+            grad = np.concatenate([prior * gp, -gu])
+        dh = grad[:, None] * params[2] * (z > 0)
+        grads = [x.T @ dh + decay * params[0], dh.sum(0), h.T @ grad + decay * params[2], grad.sum()[None]]
+        for a, g, m, v in zip(params, grads, first, second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(used, mean, scale, *params[:3], float(params[3][0]), prior)
 
 
@@ -165,9 +161,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, limit: int) -> np.ndarray:
-    """Features of the ``limit`` rows with the smallest hash, worked out by the workers."""
-    chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(limit).select("text")
+_HASH_RANGE = 1 << 31
+
+
+def _chosen(ids: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` ids with the smallest hash. A share of the hash range that holds a few
+    more is cut out first, so that only about as many ids as are wanted meet in one place."""
+    total = ids.count()
+    share = min(1.0, (limit + 6 * limit**0.5 + 50) / max(total, 1))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(_HASH_RANGE))
+    near = ids.select("doc_id", place.alias("place")).where(F.col("place") < share * _HASH_RANGE)
+    return near.distinct().orderBy("place", "doc_id").limit(limit).select("doc_id")
+
+
+def _sample(texts: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Features, in halves of the usual width, of the texts of a bounded list of ids."""
 
     def run(batches):
         for batch in batches:
@@ -176,9 +184,15 @@ def _sample(rows: DataFrame, limit: int) -> np.ndarray:
                     [pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["x"]
                 )
 
-    got = chosen.mapInArrow(run, "x binary").toArrow().column(0)
-    data, _ = buffers(got)
-    return data.view("<f2").reshape(-1, WIDTH).astype(np.float32)
+    found = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    data, _ = buffers(found.mapInArrow(run, "x binary").toArrow().column(0))
+    return data.view("<f2").reshape(-1, WIDTH)
+
+
+def _varying(x: np.ndarray) -> np.ndarray:
+    """Features that are not all but constant; works column block by column block."""
+    parts = [x[:, k : k + 64].astype(np.float32).std(0) for k in range(0, x.shape[1], 64)]
+    return np.concatenate(parts) > 1e-4
 
 
 def train(
@@ -198,18 +212,13 @@ def train(
         return None
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.where(~held_out(F.col("doc_id")))
-    good = (
-        known.where("quality = 1")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
-        .limit(positives)
-    )
-    p = _sample(texts.join(F.broadcast(good), "doc_id", "left_semi"), positives)
-    u = _sample(texts, unlabelled)
+    p = _sample(texts, _chosen(known.where("quality = 1").select("doc_id"), positives))
+    u = _sample(texts, _chosen(texts.select("doc_id").where("doc_id is not null"), unlabelled))
     if not len(p) or not len(u):
         return None
-    return fit_nnpu(p, u, float(share), **settings)
+    used = np.flatnonzero(_varying(p) | _varying(u))
+    p, u = p[:, used].astype(np.float32), u[:, used].astype(np.float32)
+    return fit_nnpu(p, u, float(share), used=used, **settings)
 
 
 def score_quality(
