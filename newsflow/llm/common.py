@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Elements that a vectorised step holds at once; a single longer text is held whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -44,6 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark.sparkContext, "_newsflow_shared", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = Path(tempfile.mkdtemp(prefix="newsflow-")).as_uri()
         spark.sparkContext._newsflow_shared = folder

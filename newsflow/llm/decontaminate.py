@@ -32,6 +32,8 @@ from newsflow.llm.common import (
 WINDOW = 10
 #: Bytes of benchmark text that are searched for at once.
 BLOCK_BYTES = 4 << 20
+#: Bytes of training text in a shard, or one longer text.
+SHARD_BYTES = 1 << 22
 #: Every so many suffix positions are kept.
 SAMPLE = 8
 
@@ -261,7 +263,7 @@ def find(hashes: np.ndarray, counts: np.ndarray, w: Windows):
 def scan(texts: pa.Array, blocks: list[tuple[list[str], Windows]]):
     """Per text: words, hit words, the items found, and the byte spans to remove."""
     data, offsets = buffers(texts)
-    for i, j in chunks(offsets, 1 << 23):
+    for i, j in chunks(offsets, SHARD_BYTES):
         part = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
         starts, ends, hashes, counts = words(part, at)

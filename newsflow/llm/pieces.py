@@ -26,6 +26,8 @@ from newsflow.llm.pretokens import Store, look_up
 
 MARK = "▁"
 _TABLE_BITS = 22
+#: Pairs of pieces whose merging a worker remembers.
+FITS_LIMIT = 200_000
 
 
 class Pieces:
@@ -113,7 +115,7 @@ class Pieces:
         key = left, right
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > FITS_LIMIT:
                 self._fits.clear()
             found = self.merge(left + right) == ([left, right] if left else [right])
             self._fits[key] = found

@@ -18,7 +18,7 @@ from newsflow.llm.common import mix, prefix_sums, span_hash
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Entries a worker keeps before it starts its store anew.
-STORE_LIMIT = 3_000_000
+STORE_LIMIT = 1_200_000
 
 
 @lru_cache(maxsize=1)
