@@ -3,8 +3,12 @@
 from newsflow.checks.queries import (
     BURST_THRESHOLD,
     EVENT_ZONES,
+    FREQUENT_BONUS,
     FREQUENT_NEGATIVE,
     FREQUENT_POSITIVE,
+    FREQUENT_TERMS,
+    RUNNING_THRESHOLD,
+    TABLE_THRESHOLD,
 )
 from newsflow.lexicons import (
     NEGATIVE_WORDS,
@@ -12,6 +16,7 @@ from newsflow.lexicons import (
     POSITIVE_WORDS,
     STOP_WORDS,
     TOPIC_TERMS,
+    TOPIC_THRESHOLDS,
 )
 
 ORIGIN = "TIMESTAMP '1970-01-01 00:00:00'"
@@ -24,6 +29,10 @@ def _in(words) -> str:
 # --- text --------------------------------------------------------------------------
 
 
+# What the XML reader takes off either end of a text: all up to the space.
+_SPACES = " || ".join(f"chr({n})" for n in range(1, 33))
+
+
 def _tags(c: str) -> str:
     return rf"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
 
@@ -203,20 +212,28 @@ def _bucket(key: str) -> str:
     return f"('0x' || {digits})::BIGINT % 1000"
 
 
-RUNNING = f"""rn AS (
+def _running(reset: str = "0") -> str:
+    """rn: estimates after each row's own add, from a sketch for each ``reset``."""
+    return f"""rn AS (
   SELECT window_start, category, keyword, min(so_far)::BIGINT AS approx_count
   FROM (
-    SELECT *, sum(exact_count) OVER (PARTITION BY i, b
+    SELECT *, sum(exact_count) OVER (PARTITION BY {reset}, i, b
       ORDER BY window_start, category, keyword ROWS UNBOUNDED PRECEDING) AS so_far
     FROM (SELECT *, {_bucket('keyword')} AS b FROM bc, range(5) r(i)))
   GROUP BY window_start, category, keyword)"""
 
-# Estimates of every keyword from the sketch of all of bc.
-TABLE = f"""pl AS (SELECT keyword, exact_count, i, {_bucket('keyword')} AS b FROM bc, range(5) r(i)),
-ce AS (SELECT i, b, sum(exact_count) AS cell FROM pl GROUP BY i, b),
+
+def _table(reset: str = "0") -> str:
+    """es: estimates of every keyword from the sketch of all of bc in one ``reset``."""
+    return f"""pl AS (
+  SELECT {reset} AS z, keyword, exact_count, i, {_bucket('keyword')} AS b FROM bc, range(5) r(i)),
+ce AS (SELECT z, i, b, sum(exact_count) AS cell FROM pl GROUP BY z, i, b),
 es AS (
-  SELECT keyword, min(cell)::BIGINT AS approx_count FROM pl JOIN ce USING (i, b)
-  GROUP BY keyword)"""
+  SELECT z, keyword, min(cell)::BIGINT AS approx_count FROM pl JOIN ce USING (z, i, b)
+  GROUP BY z, keyword)"""
+
+
+RUNNING, TABLE = _running(), _table()
 
 ALERT = """window_start, window_end, category, keyword, exact_count, approx_count,
   sample_titles, sample_links, 'BREAKING' AS status"""
@@ -258,6 +275,31 @@ def _zone_offset() -> str:
     return f"CASE event_type {cases} END"
 
 
+def _frequent_category() -> str:
+    def score(topic: str) -> str:
+        hit = f"regexp_matches(lower({TEXT}), '{'|'.join(FREQUENT_TERMS[topic])}')"
+        word, points = FREQUENT_BONUS.get(topic, ("", 0))
+        return f"(CASE WHEN {hit} THEN 3 ELSE 0 END + {points} * list_contains(kws, '{word}')::INT)"
+
+    names = list(FREQUENT_TERMS)
+    cases = " ".join(
+        f"WHEN {t} >= {TOPIC_THRESHOLDS[t]} AND {t} >= greatest({', '.join([*names[n + 1:], '0'])})"
+        f" THEN '{t}'"
+        for n, t in enumerate(names)
+    )
+    return f"""WITH {CATEGORISED}
+SELECT doc_id, CASE {cases} ELSE 'other' END AS category
+FROM (SELECT doc_id, {', '.join(f'{score(t)} AS {t}' for t in names)} FROM ca)"""
+
+
+FEED_ROWS = f"""{ART}, feed AS (
+  SELECT source, 'No. ' || doc_id AS title, trim(title || chr(10) || content, {_SPACES}) AS content,
+    link, published_ts FROM art
+  UNION ALL
+  SELECT source, 'Again ' || doc_id, trim(title || chr(10) || content, {_SPACES}), upper(link),
+    published_ts + INTERVAL 1 SECOND FROM art)"""
+FEED_TIME = "strftime(published_ts, '%a %b %d %H:%M:%S UTC %Y') AS published"
+
 ORACLES = {
     "json_parse": """SELECT CASE WHEN role = 'user' THEN role END AS source,
   CASE WHEN role = 'user' THEN text END AS title,
@@ -273,7 +315,8 @@ FROM conversations""",
 FROM conversations""",
     "json_roundtrip": f"WITH {ART} SELECT source, title, content, link FROM art",
     "keyed_json": f"""WITH {ART} SELECT source AS key, to_json(struct_pack(
-  doc_id := doc_id, source := source, link := link, title := title))::VARCHAR AS value
+  doc_id := doc_id, source := source, link := link, title := title, content := content))::VARCHAR
+  AS value
 FROM art""",
     "escape_raw": f"""WITH {ART} SELECT doc_id,
   translate(source, '"' || chr(10) || chr(13), '''  ') AS source,
@@ -315,7 +358,7 @@ SELECT conv_id, turn, {_word_count('lower(text)')} AS word_count,
 FROM cv LEFT JOIN kw USING (id)""",
     "term_freq": f"WITH {TERMS} SELECT doc_id, term, n::INTEGER AS n FROM tt",
     "term_freq_map": f"""WITH {TERMS}
-SELECT doc_id, count(term)::INTEGER AS n_terms, max(n)::INTEGER AS top_count
+SELECT doc_id, coalesce(string_agg(term || ':' || n, '|' ORDER BY term), '') AS term_freq
 FROM cl LEFT JOIN tt USING (doc_id) GROUP BY doc_id""",
     "keywords": f"WITH {CATEGORISED} SELECT doc_id, keywords FROM ca",
     "source_norm": f"""WITH {CLEAN}
@@ -339,6 +382,7 @@ FROM ca""",
     "category": f"WITH {CLEAN} SELECT doc_id, {_first_topic(_topic_hit)} AS category FROM cl",
     "category_whole_words": f"""WITH {CLEAN}
 SELECT doc_id, {_first_topic(_whole_hit)} AS category FROM cl""",
+    "category_frequent": _frequent_category(),
     "cleaned_articles": f"""WITH {ARTICLES}
 SELECT source, title, content, link, published_ts AS published, word_count, keywords,
   source_normalized, category
@@ -369,6 +413,11 @@ FROM w GROUP BY ALL""",
     "trends_wide": f"WITH {EVENTS}, {_trends('ev', 240, 120)}",
     "trend_two_stage": f"WITH {EVENTS}, {_trends('ev', 240, 120)}",
     "article_trends": f"WITH {ARTICLES}, {KEYWORD_EVENTS}, {_trends('ke', 20, 10)}",
+    "article_trends_wide": f"WITH {ARTICLES}, {KEYWORD_EVENTS}, {_trends('ke', 240, 120)}",
+    "term_trends": f"""WITH {CLEAN}, tk AS (
+  SELECT published_ts, 'all' AS category,
+    unnest(list_distinct({_tokens(TEXT, 3, STOP_WORDS)})) AS keyword FROM cl),
+{_trends('tk', 240, 120)}""",
     "category_activity": f"""WITH ev AS (
   SELECT ts AS published_ts, event_type AS category FROM events WHERE event_type <> 'error'),
 {_activity('ev')}""",
@@ -388,21 +437,30 @@ SELECT keyword AS term, exact_count, approx_count FROM bc JOIN es USING (keyword
     "running_estimates": f"""WITH {EVENTS}, {BURSTS}, {RUNNING}
 SELECT window_start, category, keyword, exact_count, approx_count
 FROM bc JOIN rn USING (window_start, category, keyword)""",
-    "breaking_running": f"""WITH {EVENTS}, {BURSTS}, {RUNNING}
+    "breaking_running": f"""WITH {EVENTS}, {BURSTS}, {_running('window_start')}
 SELECT {ALERT} FROM bc JOIN rn USING (window_start, category, keyword)
-WHERE approx_count >= {BURST_THRESHOLD}""",
-    "breaking_table": f"""WITH {EVENTS}, {BURSTS}, {TABLE}
-SELECT {ALERT} FROM bc JOIN es USING (keyword) WHERE approx_count >= {BURST_THRESHOLD}""",
+WHERE approx_count >= {RUNNING_THRESHOLD}""",
+    "breaking_table": f"""WITH {EVENTS}, {BURSTS}, {_table("date_trunc('day', window_start)")},
+ex AS (SELECT bc.*, date_trunc('day', window_start) AS z FROM bc)
+SELECT {ALERT} FROM ex JOIN es USING (keyword, z) WHERE approx_count >= {TABLE_THRESHOLD}""",
     "breaking_exact": f"""WITH {EVENTS}, {BURSTS},
 ex AS (SELECT *, exact_count AS approx_count FROM bc)
 SELECT {ALERT} FROM ex WHERE approx_count >= {BURST_THRESHOLD}""",
     "article_breaking": f"""WITH {ARTICLES}, {KEYWORD_EVENTS}, {_counts('ke', 5, 1)},
-ex AS (SELECT *, exact_count AS approx_count FROM bc)
-SELECT {ALERT} FROM ex WHERE approx_count >= 2""",
-    "feed_items": rf"""WITH {ART} SELECT source, 'No. ' || doc_id AS title,
-  trim(regexp_replace(title, '[^\p{{L}}\p{{P}} ]', '', 'g')) AS content, link,
-  strftime(published_ts, '%a %b %d %H:%M:%S UTC %Y') AS published
-FROM art""",
+{_running('window_start')}
+SELECT {ALERT} FROM bc JOIN rn USING (window_start, category, keyword)
+WHERE approx_count >= 2""",
+    "feed_items": f"WITH {FEED_ROWS} SELECT source, title, content, link, {FEED_TIME} FROM feed",
+    "feed_to_raw": f"""WITH {FEED_ROWS}, f AS (
+  SELECT translate(source, '"' || chr(10) || chr(13), '''  ') AS source,
+    translate(title, '"' || chr(10) || chr(13), '''  ') AS title,
+    translate(content, '"' || chr(10) || chr(13), '''  ') AS content, link, {FEED_TIME} FROM feed),
+one AS (
+  SELECT * FROM f QUALIFY row_number() OVER (
+    PARTITION BY lower(trim(link)) ORDER BY published, title, content, source) = 1)
+SELECT to_json(struct_pack(source := source, title := title, content := content, link := link,
+  published := published))::VARCHAR AS value
+FROM one""",
     "stream_cleaning": f"""WITH cl AS (
   SELECT DISTINCT {_clean('text')} AS title, '' AS content FROM documents),
 {_top_keywords('cl', 'title', _tokens(TEXT, 3, STOP_WORDS))}
@@ -416,6 +474,15 @@ FROM cl LEFT JOIN kw USING (title)""",
     "topic_roundtrip": f"WITH {ART} SELECT doc_id, source, title, content, link FROM art",
     "stream_activity": f"""WITH {EVENTS},
 {_activity('ev', 'window_end <= ' + LAST_WATERMARK.format(delay=10))}""",
+    "stream_late": f"""WITH {EVENTS}, mark AS (
+  SELECT max(ts) FILTER (event_id % 3 = 0) - INTERVAL '10 minutes' AS first_mark FROM events),
+{_windows('ev', 20, 5)}
+SELECT window_start, window_end, category, count(*) AS category_count,
+  CASE WHEN count(*) >= 5 THEN 'SPIKE' WHEN count(*) >= 3 THEN 'ACTIVE' ELSE 'NORMAL' END
+    AS activity_level
+FROM w, mark WHERE window_end <= {LAST_WATERMARK.format(delay=10)}
+  AND (event_id % 3 < 2 OR window_end > first_mark)
+GROUP BY window_start, window_end, category""",
     "stream_breaking": f"""WITH ev AS (
   SELECT ts AS published_ts, event_type AS keyword,
     ((props->>'$.k')::INTEGER % 4)::VARCHAR AS category,
@@ -423,6 +490,14 @@ FROM cl LEFT JOIN kw USING (title)""",
   FROM events), {BURSTS}, ex AS (SELECT *, exact_count AS approx_count FROM bc)
 SELECT {ALERT} FROM ex
 WHERE approx_count >= 15 AND window_end <= {LAST_WATERMARK.format(delay=5)}""",
+    "stream_breaking_running": f"""WITH ev AS (
+  SELECT ts AS published_ts, event_type AS keyword,
+    ((props->>'$.k')::INTEGER % 4)::VARCHAR AS category,
+    'event ' || event_id AS title, 'http://events.example.com/' || (props->>'$.k') AS link
+  FROM events), {BURSTS}, {_running('window_start')}
+SELECT {ALERT} FROM bc JOIN rn USING (window_start, category, keyword)
+WHERE approx_count >= {RUNNING_THRESHOLD}
+  AND window_end <= {LAST_WATERMARK.format(delay=5)}""",
     "stream_sentiment": f"""WITH ev AS (
   SELECT date_trunc('millisecond', ts) AS published, 'Unknown' AS source_normalized,
     ((props->>'$.k')::INTEGER % 4)::VARCHAR AS category, 'event ' || event_id AS title,

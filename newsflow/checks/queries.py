@@ -6,18 +6,11 @@ give the same values.
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.functions.text import (
-    drop_words,
-    lexicon_hits,
-    term_frequency,
-    tokenize,
-    top_terms,
-)
+from newsflow.functions.text import drop_words, lexicon_hits, tokenize, top_terms
 from newsflow.functions.text import word_count as count_words
 from newsflow.functions.times import to_utc_ntz
 from newsflow.lexicons import NEGATIVE_WORDS, POSITIVE_WORDS, TOPIC_TERMS
@@ -32,6 +25,7 @@ from newsflow.plans.sentiment import article_sentiment
 from newsflow.schemas import RAW_ARTICLE
 from newsflow.sinks.batch import Target
 from newsflow.sinks.stream import run_available, write_collection, write_topic
+from newsflow.plans.feeds import feed_records
 from newsflow.sources.feeds import parse_feeds
 from newsflow.sources.tables import (
     article_view,
@@ -39,7 +33,6 @@ from newsflow.sources.tables import (
     minute,
     published_text,
     raw_records,
-    spread,
     table,
 )
 from newsflow.sources.topics import read_table_stream, read_topic
@@ -49,6 +42,16 @@ from newsflow.streaming import jobs
 FREQUENT_POSITIVE = ("the", "and", "les", "los", "und")
 FREQUENT_NEGATIVE = ("with", "that", "que", "der", "des")
 
+# The same as topic terms, and keywords that earn a topic its bonus point.
+FREQUENT_TERMS = {
+    "politics": ("und", "der"),
+    "tech": ("les", "des"),
+    "sports": ("onder", "ofthe"),
+    "business": ("que", "los"),
+    "science": ("thent",),
+}
+FREQUENT_BONUS = {"politics": ("und", 1), "tech": ("les", 1)}
+
 # Zone written for each event type; the unknown one makes its times invalid.
 EVENT_ZONES = {"click": "UTC", "view": "PST", "purchase": "CET", "signup": "GMT"}
 UNKNOWN_ZONE = "nowhere"
@@ -56,10 +59,11 @@ UNKNOWN_ZONE = "nowhere"
 WIDE = {"duration": "4 hours", "slide": "2 hours", "recent": "2 hours"}
 BURSTS = {"duration": "1 day", "slide": "6 hours"}
 BURST_THRESHOLD = 15
+RUNNING_THRESHOLD, TABLE_THRESHOLD = 40, 280
 
 
 def _documents(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def _articles(spark, sf) -> DataFrame:
@@ -74,7 +78,7 @@ def _pages(spark, sf) -> DataFrame:
 
 
 def _conversations(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "conversations"))
+    return table(spark, sf, "conversations")
 
 
 def _events(spark, sf) -> DataFrame:
@@ -137,7 +141,8 @@ def json_roundtrip(spark, sf):
 
 def keyed_json(spark, sf):
     rows = article_view(_documents(spark, sf))
-    return parse.to_json_value(rows, ["doc_id", "source", "link", "title"], key="source")
+    columns = ["doc_id", "source", "link", "title", "content"]
+    return parse.to_json_value(rows, columns, key="source")
 
 
 def escape_raw(spark, sf):
@@ -249,11 +254,11 @@ def term_freq(spark, sf):
 
 def term_freq_map(spark, sf):
     counted = enrich.add_term_frequency(enrich.add_tokens(_articles(spark, sf)))
-    return counted.select(
-        "doc_id",
-        F.size("term_freq").alias("n_terms"),
-        F.array_max(F.map_values("term_freq")).alias("top_count"),
+    entries = F.transform(
+        F.sort_array(F.map_entries("term_freq")),
+        lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")),
     )
+    return counted.select("doc_id", F.array_join(entries, "|").alias("term_freq"))
 
 
 def keywords(spark, sf):
@@ -295,6 +300,12 @@ def category_whole_words(spark, sf):
     return enrich.add_category(keyed, word_boundary=True).select("doc_id", "category")
 
 
+def category_frequent(spark, sf):
+    """Categories by words common in the tables, so that every topic wins somewhere."""
+    keyed = enrich.add_keywords(_articles(spark, sf))
+    return enrich.add_category(keyed, FREQUENT_TERMS, FREQUENT_BONUS).select("doc_id", "category")
+
+
 def cleaned_articles(spark, sf):
     """Raw JSON records to written articles."""
     articles = article_plans.cleaned_articles(raw_records(_documents(spark, sf)))
@@ -367,7 +378,23 @@ def trend_two_stage(spark, sf):
 def article_trends(spark, sf):
     """Raw JSON records to keyword trends: the whole batch path."""
     articles = article_plans.cleaned_articles(raw_records(_documents(spark, sf)))
-    return _utc(trend_plans.keyword_trends(articles), "window_start", "window_end")
+    found = trend_plans.keyword_trends(articles, unique_titles=True)
+    return _utc(found, "window_start", "window_end")
+
+
+def article_trends_wide(spark, sf):
+    """The same over hours, in which the invented words come back: several levels occur."""
+    articles = article_plans.cleaned_articles(raw_records(_documents(spark, sf)))
+    found = trend_plans.keyword_trends(articles, unique_titles=True, **WIDE)
+    return _utc(found, "window_start", "window_end")
+
+
+def term_trends(spark, sf):
+    """Trends of every term of every article: those of the first hours are all new."""
+    terms = F.array_distinct("tokens")
+    found = explode_present(enrich.add_tokens(_articles(spark, sf)), terms, "keyword")
+    events = found.select("published_ts", F.lit("all").alias("category"), "keyword")
+    return trend_plans.trends_of_events(events, **WIDE)
 
 
 def category_activity(spark, sf):
@@ -402,7 +429,7 @@ def sketch_estimate(spark, sf):
     terms = enrich.explode_terms(enrich.add_tokens(_articles(spark, sf)), "doc_id")
     exact = terms.groupBy("term").agg(F.sum("n").alias("exact_count"))
     sketch = breaking.build_sketch(exact, "term", "exact_count")
-    return breaking.estimate(exact, sketch, ("term", "exact_count"), "term")
+    return breaking.estimate(exact, sketch, "term")
 
 
 def sketch_merge(spark, sf):
@@ -420,30 +447,34 @@ def running_estimates(spark, sf):
     return breaking.running_estimates(_burst_counts(spark, sf))
 
 
-def _alerts(spark, sf, mode: str) -> DataFrame:
+def _alerts(spark, sf, mode: str, threshold: int, reset: str | None = None) -> DataFrame:
     alerts = breaking_plans.alerts_of_events(
-        _titled_events(spark, sf), mode, BURST_THRESHOLD, **BURSTS
+        _titled_events(spark, sf), mode, threshold, reset=reset, **BURSTS
     )
     joined = {c: F.array_join(c, "|") for c in ("sample_titles", "sample_links")}
     return alerts.withColumns(joined)
 
 
 def breaking_running(spark, sf):
-    return _alerts(spark, sf, "running")
+    """A sketch for every window: a keyword's estimate grows over the categories."""
+    return _alerts(spark, sf, "running", RUNNING_THRESHOLD, "window")
 
 
 def breaking_table(spark, sf):
-    return _alerts(spark, sf, "table")
+    """A sketch for every day."""
+    return _alerts(spark, sf, "table", TABLE_THRESHOLD, "day")
 
 
 def breaking_exact(spark, sf):
-    return _alerts(spark, sf, "exact")
+    return _alerts(spark, sf, "exact", BURST_THRESHOLD)
 
 
 def article_breaking(spark, sf):
     """Raw JSON records to alerts, with a threshold the test tables can reach."""
     articles = article_plans.cleaned_articles(raw_records(_documents(spark, sf)))
-    alerts = breaking_plans.breaking_alerts(articles, mode="exact", threshold=2)
+    alerts = breaking_plans.breaking_alerts(
+        articles, unique_titles=True, threshold=2, reset="window"
+    )
     joined = {c: F.array_join(c, "|") for c in ("sample_titles", "sample_links")}
     return _utc(alerts.withColumns(joined), "window_start", "window_end")
 
@@ -451,56 +482,88 @@ def article_breaking(spark, sf):
 # --- feeds -------------------------------------------------------------------------
 
 
-def feed_items(spark, sf):
-    """Every document as a feed with one item."""
+def _element(name: str, value):
+    text = value
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
 
-    def element(name: str, value):
-        text = F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-        return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
 
+def _feed(source, items, dialect: str):
+    """A feed of one source in one of three dialects."""
+    title = _element("title", source)
+    if dialect == "rss":
+        head, tail = "<rss version='2.0'><channel>", "</channel></rss>"
+        return F.concat(F.lit(head), title, items, F.lit(tail))
+    if dialect == "rdf":
+        head = (
+            "<rdf:RDF xmlns='http://purl.org/rss/1.0/' xmlns:dc='http://purl.org/dc/elements/1.1/'"
+            " xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#'><channel>"
+        )
+        return F.concat(F.lit(head), title, F.lit("</channel>"), items, F.lit("</rdf:RDF>"))
+    head = "<feed xmlns='http://www.w3.org/2005/Atom'>"
+    return F.concat(F.lit(head), title, items, F.lit("</feed>"))
+
+
+def _item(title, content, link, ts, dialect: str):
+    if dialect == "atom":
+        href = F.replace(link, F.lit("&"), F.lit("&amp;"))
+        parts = [
+            _element("title", title),
+            F.concat(F.lit('<link rel="alternate" href="'), href, F.lit('"/>')),
+            _element("summary", content),
+            _element("published", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        ]
+        return F.concat(F.lit("<entry>"), *parts, F.lit("</entry>"))
+    if dialect == "rdf":
+        when = _element("dc:date", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    else:
+        when = _element("pubDate", F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss 'GMT'"))
+    parts = [_element("title", title), _element("description", content), _element("link", link)]
+    return F.concat(F.lit("<item>"), *parts, when, F.lit("</item>"))
+
+
+def _feeds(spark, sf) -> DataFrame:
+    """Every document as a feed of two items with one link, in three dialects by turns."""
     articles = article_view(_documents(spark, sf))
-    pub = F.date_format("published_ts", "EEE, d MMM yyyy HH:mm:ss 'GMT'")
-    xml = F.concat(
-        F.lit("<channel>"),
-        element("title", F.col("source")),
-        F.lit("<item>"),
-        element("title", F.concat(F.lit("No. "), "doc_id")),
-        element("description", F.trim(F.regexp_replace("title", r"[^\p{L}\p{P} ]", ""))),
-        element("link", F.col("link")),
-        element("pubDate", pub),
-        F.lit("</item></channel>"),
-    )
-    return parse_feeds(articles.select(xml.alias("xml")))
+    text = F.concat("title", F.lit("\n"), "content")
+    xml = F.lit(None).cast("string")
+    for n, dialect in enumerate(("rss", "rdf", "atom")):
+        fields = (text, F.col("link"), F.col("published_ts"), dialect)
+        first = _item(F.concat(F.lit("No. "), "doc_id"), *fields)
+        later = (text, F.upper("link"), F.col("published_ts") + F.expr("INTERVAL 1 SECOND"), dialect)
+        again = _item(F.concat(F.lit("Again "), "doc_id"), *later)
+        feed = _feed(F.col("source"), F.concat(first, again), dialect)
+        xml = F.when(F.col("doc_id") % 3 == n, feed).otherwise(xml)
+    return articles.select(xml.alias("xml"))
+
+
+def feed_items(spark, sf):
+    """Both items of every feed, with whole texts."""
+    return parse_feeds(_feeds(spark, sf))
+
+
+def feed_to_raw(spark, sf):
+    """Feeds to raw records: items escaped, one per link."""
+    return feed_records(_feeds(spark, sf))
 
 
 # --- streams -----------------------------------------------------------------------
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one the session names; a local one only where it
-    names none."""
+    """A new folder in the shared one that the session names. A local folder will do, where
+    none is named, only if all tasks run in this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="newsflow-")
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="newsflow-")
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 NOW = {"availableNow": True}
 
-
-@contextmanager
-def _state_partitions(spark: SparkSession):
-    """No more state partitions than cores for a query started here: each costs a task
-    and a commit per micro-batch, and their number is fixed for the query's life."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    spark.conf.set(name, str(min(int(before), cores)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 TREND_ROWS = (
     "window_start timestamp, window_end timestamp, category string, keyword string,"
     " current_count bigint, previous_count bigint, trend_score double, trend_level string"
@@ -539,16 +602,17 @@ def _run(spark, start, records: DataFrame, schema: str, **options) -> tuple[Data
     base = _scratch(spark)
     collection = Target("parquet", f"{base}/collection")
     topic = Target("json", f"{base}/topic")
-    with _state_partitions(spark):
-        query = start(records, collection, topic, f"{base}/checkpoint", trigger=NOW, **options)
-    run_available(query)
+    run_available(
+        start(records, collection, topic, f"{base}/checkpoint", trigger=NOW, **options)
+    )
     messages = _written(spark, topic, "key string, value string")
     return _written(spark, collection, schema), messages
 
 
-def _event_records(spark, sf) -> DataFrame:
+def _event_records(spark, sf, events: DataFrame | None = None) -> DataFrame:
     """Streaming cleaned-article records: one per event, its type as only keyword."""
-    events = read_table_stream(spark, sf, "events.parquet")
+    if events is None:
+        events = read_table_stream(spark, sf, "events.parquet")
     k = F.get_json_object("props", "$.k")
     fields = F.struct(
         F.concat(F.lit("event "), "event_id").alias("title"),
@@ -567,13 +631,17 @@ def stream_cleaning(spark, sf):
     published = published_text(minute(F.col("doc_id")))
     fields = F.struct(F.col("text").alias("title"), published.alias("published"))
     records = documents.select(F.to_json(fields).alias("value"))
-    cleaned, _ = _run(spark, jobs.start_cleaning, records, ARTICLE_ROWS)
+    cleaned, _ = _run(
+        spark, jobs.start_cleaning, records, ARTICLE_ROWS, bounded_state=False, split=4
+    )
     return cleaned.select("title", "word_count", *_joined("keywords"), "category")
 
 
 def stream_trends(spark, sf):
-    out, _ = _run(spark, jobs.start_trends, _event_records(spark, sf), TREND_ROWS, **WIDE)
-    return _utc(out, "window_start", "window_end")
+    rows = f"window struct<start: timestamp, end: timestamp>, {TREND_ROWS.split(', ', 2)[2]}"
+    records = _event_records(spark, sf)
+    out, _ = _run(spark, jobs.start_trends, records, rows, bounded_state=False, **WIDE)
+    return _utc(windows.flatten_window(out, out.columns[1:]), "window_start", "window_end")
 
 
 def stream_activity(spark, sf):
@@ -584,19 +652,48 @@ def stream_activity(spark, sf):
 def stream_trend_messages(spark, sf):
     """What the trend job sends to its topic, unpacked again."""
     records = _event_records(spark, sf)
-    _, messages = _run(spark, jobs.start_trends, records, TREND_ROWS, **WIDE)
+    _, messages = _run(
+        spark, jobs.start_trends, records, TREND_ROWS, bounded_state=False, **WIDE
+    )
     out = messages.select("key", F.from_json("value", TREND_ROWS).alias("v"))
     out = out.select("key", "v.*")
     return _utc(out, "window_start", "window_end")
 
 
-def stream_breaking(spark, sf):
+def stream_late(spark, sf):
+    """Activity of a table that comes in three parts, all over the same time. A row is late
+    for a micro-batch if the one before last has closed its windows: the second part still
+    counts, of the third only rows of windows that the first leaves open."""
+    base = _scratch(spark)
+    events = table(spark, sf, "events")
+    for n in range(3):
+        # one file each, so that a part is a micro-batch
+        part = events.where(F.col("event_id") % 3 == n)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/late.parquet")
+    once = {"maxFilesPerTrigger": "1"}
+    records = _event_records(spark, sf, read_table_stream(spark, base, "late.parquet", once))
+    out, _ = _run(spark, jobs.start_activity, records, ACTIVITY_ROWS)
+    return _utc(out, "window_start", "window_end")
+
+
+def _stream_alerts(spark, sf, **options) -> DataFrame:
     records = _event_records(spark, sf)
-    out, _ = _run(spark, jobs.start_breaking, records, ALERT_ROWS, mode="exact", **BURSTS)
+    out, _ = _run(
+        spark, jobs.start_breaking, records, ALERT_ROWS, bounded_state=False, **options, **BURSTS
+    )
     joined = {c: F.array_join(c, "|") for c in ("sample_titles", "sample_links")}
     return _utc(out.withColumns(joined), "window_start", "window_end")
 
 
+def stream_breaking(spark, sf):
+    return _stream_alerts(spark, sf, mode="exact")
+
+
+def stream_breaking_running(spark, sf):
+    """A sketch for every window, so that micro-batches do not matter."""
+    return _stream_alerts(spark, sf, threshold=RUNNING_THRESHOLD, reset="window")
+
+
 def stream_sentiment(spark, sf):
     out, _ = _run(spark, jobs.start_sentiment, _event_records(spark, sf), SENTIMENT_ROWS)
     return _utc(out.withColumn("keywords", F.array_join("keywords", "|")), "published")
@@ -647,6 +744,7 @@ QUERIES = {
         topic_scores,
         category,
         category_whole_words,
+        category_frequent,
         cleaned_articles,
         sentiment,
         sentiment_frequent,
@@ -658,6 +756,8 @@ QUERIES = {
         trends_wide,
         trend_two_stage,
         article_trends,
+        article_trends_wide,
+        term_trends,
         category_activity,
         article_activity,
         burst_counts,
@@ -670,11 +770,14 @@ QUERIES = {
         breaking_exact,
         article_breaking,
         feed_items,
+        feed_to_raw,
         stream_cleaning,
         stream_trends,
         stream_trend_messages,
         stream_activity,
+        stream_late,
         stream_breaking,
+        stream_breaking_running,
         stream_sentiment,
         topic_roundtrip,
     )

@@ -45,3 +45,14 @@ def place_keys(
         ]
     )
     return hashed.select(*columns, F.inline(cells))
+
+
+def add_buckets(df: DataFrame, key: str, names, width: int = WIDTH) -> DataFrame:
+    """``df`` with the bucket of ``key`` in each sketch row, as columns ``names``."""
+    digests = [f"_digest{n}" for n in range((len(names) - 1) // _ROWS_PER_DIGEST + 1)]
+    hashed = df.withColumns({name: _digest(F.col(key), n) for n, name in enumerate(digests)})
+    buckets = {
+        name: sketch_bucket(F.col(digests[row // _ROWS_PER_DIGEST]), row, width)
+        for row, name in enumerate(names)
+    }
+    return hashed.withColumns(buckets).drop(*digests)

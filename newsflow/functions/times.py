@@ -15,9 +15,17 @@ def seconds(duration: str) -> int:
     return int(match[1]) * _UNITS[match[2]]
 
 
-def interval(n: int) -> Column:
-    """Day-time interval of ``n`` seconds."""
-    return F.expr(f"INTERVAL '{n}' SECOND")
+def shift(c: Column, n: int) -> Column:
+    """``n`` seconds of elapsed time after (or, below zero, before) a time, with or without
+    a zone. The days of an interval would be added as calendar days of the session's zone,
+    so it is added in parts shorter than a day."""
+    part = 12 * 3600
+    sign, rest = (1, n) if n >= 0 else (-1, -n)
+    while rest:
+        step = min(rest, part)
+        c = c + F.expr(f"INTERVAL '{sign * step}' SECOND")
+        rest -= step
+    return c
 
 
 def parse_published(c: Column) -> Column:
@@ -32,11 +40,13 @@ def parse_published(c: Column) -> Column:
 
 
 def parse_feed_date(c: Column) -> Column:
-    """RSS ``Mon, 01 Jan 2024 10:00:00 GMT`` to TIMESTAMP, null when it does not parse."""
+    """RSS ``Mon, 01 Jan 2024 10:00:00 GMT`` or ISO-8601 (Atom, RDF) to TIMESTAMP, null when
+    it does not parse."""
     body = F.regexp_replace(F.trim(c), r"^\w{3},\s*", "")
     return F.coalesce(
         F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss z")),
         F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")),
+        F.try_to_timestamp(F.when(body.rlike(r"^\d{4}-"), body)),
     )
 
 
@@ -45,11 +55,6 @@ def parse_iso(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
-def to_instant(c: Column) -> Column:
-    """Zone-free time read as UTC to TIMESTAMP, whatever the session zone is."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
-
-
 def to_utc_ntz(c: Column) -> Column:
     """TIMESTAMP to its UTC wall-clock time, whatever the session zone is."""
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))

@@ -61,19 +61,6 @@ def topic_score(
     return score + F.when(F.array_contains(keywords, word), points).otherwise(0)
 
 
-def topic_scores(
-    text: Column,
-    keywords: Column,
-    terms=TOPIC_TERMS,
-    bonus=TOPIC_BONUS_KEYWORDS,
-    word_boundary: bool = False,
-) -> dict[str, Column]:
-    return {
-        topic: topic_score(topic_flag(text, words, word_boundary), keywords, bonus.get(topic))
-        for topic, words in terms.items()
-    }
-
-
 def choose_category(
     scores: dict[str, Column], thresholds=TOPIC_THRESHOLDS, default: str = NO_TOPIC
 ) -> Column:

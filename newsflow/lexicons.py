@@ -4,77 +4,85 @@ Fixed values: results depend on every entry, so they are stated here as they
 must be. All of them are defaults of parameters; pass your own to replace them.
 """
 
-STOP_WORDS = tuple(
-    """
-    a about after an and are as at be been before being but by can could did do does
-    done down else for from he her his i if in into is it its just may me might more
-    most must my no not of on or our out over she should than that the their them then
-    these they this those to too up very was we were will with would yes you your
-    """.split()
+# Fixed values.
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "for", "to", "of", "in", "on", "at", "by", "from", "with", "as",
+    "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its",
+    "they", "them", "their", "you", "your", "we", "our", "he", "she", "his", "her", "i", "me", "my",
+    "not", "no", "yes", "do", "does", "did", "done", "can", "could", "will", "would", "should", "may", "might", "must",
+    "about", "into", "over", "after", "before", "more", "most", "up", "down", "out", "just", "than", "too", "very",
 )
 
-NOISE_WORDS = tuple(
-    """
-    according after amid announcement around article before best better claims confirmed
-    day days during following hours image images latest less many media minutes month
-    months more most new news official over report reported reports said say says several
-    sources statement stories story time today tomorrow top under update updates video
-    videos week weeks while worst year years yesterday
-    """.split()
+# Fixed values.
+NOISE_WORDS = (
+    "top", "better", "best", "worst",
+    "said", "says", "say",
+    "new", "latest", "update", "updates",
+    "report", "reports", "reported", "according",
+    "confirmed", "announcement", "official",
+    "statement", "claims", "sources",
+    "today", "yesterday", "tomorrow",
+    "week", "weeks", "month", "months", "year", "years",
+    "time", "day", "days", "hours", "minutes",
+    "amid", "after", "before", "during", "while",
+    "following", "around", "over", "under",
+    "more", "most", "less", "many", "several",
+    "news", "media", "article", "story", "stories",
+    "video", "videos", "image", "images",
 )
 
-POSITIVE_WORDS = tuple(
-    """
-    agreement aid approval benefit benefits best boost breakthrough bullish celebrate deal
-    good great growth hope improve improved improvement peace positive profit profits
-    progress record recovery relief resolved safe safer solution stability stable strong
-    success support win winning wins
-    """.split()
+# Fixed values.
+POSITIVE_WORDS = (
+    "good", "great", "positive", "success", "win", "wins", "winning", "growth", "improve", "improved", "improvement",
+    "benefit", "benefits", "hope", "peace", "stable", "stability", "agreement", "deal", "recovery", "support",
+    "boost", "strong", "record", "best", "profit", "profits", "safe", "safer", "resolved", "solution", "progress",
+    "breakthrough", "aid", "relief", "approval", "celebrate", "bullish",
 )
 
-NEGATIVE_WORDS = tuple(
-    """
-    accident arrest attack bad bearish bomb collapse conflict crash crisis dead deaths
-    disaster down drop drought earthquake emergency fear fire flood fraud inflation injured
-    killed layoff loss losses negative outage protest recession riot sanction scandal
-    shutdown strike terror threat violence war worse worst
-    """.split()
+# Fixed values.
+NEGATIVE_WORDS = (
+    "bad", "worse", "worst", "negative", "loss", "losses", "down", "drop", "crash", "collapse", "recession", "inflation",
+    "war", "attack", "bomb", "strike", "killed", "dead", "deaths", "injured", "violence", "protest", "riot", "terror",
+    "earthquake", "disaster", "emergency", "crisis", "fear", "threat", "sanction", "conflict", "shutdown", "layoff",
+    "fraud", "scandal", "arrest", "accident", "outage", "fire", "flood", "drought", "bearish",
 )
 
-# Topic -> terms, in priority order. A term matches as a substring; "s?" marks an
-# optional plural letter.
+# Topic -> terms, in priority order. A term matches as a substring; "s?" marks
+# an optional plural letter.
 TOPIC_TERMS = {
     "politics": (
-        "airstrike", "ceasefire", "diplomacy", "election", "embargo", "gaza", "government",
-        "israel", "military", "minister", "missile", "parliament", "president", "sanctions?",
-        "senate", "ukraine", "war",
+        "election", "president", "government", "parliament", "minister", "senate",
+        "war", "ceasefire", "gaza", "israel", "ukraine", "diplomacy",
+        "sanctions?", "embargo", "airstrike", "missile", "military",
     ),
     "tech": (
-        "5g", "ai", "app", "apple", "artificial intelligence", "broadband", "chip", "cloud",
-        "cybersecurity", "google", "hardware", "microsoft", "mobile", "openai", "platform",
-        "software", "streaming", "subscription", "telecom",
+        "ai", "artificial intelligence", "openai", "google", "apple", "microsoft",
+        "software", "hardware", "chip", "cloud", "streaming", "platform",
+        "telecom", "mobile", "broadband", "5g", "cybersecurity", "app", "subscription",
     ),
     "sports": (
-        "boxing", "coach", "cricket", "football", "goal", "knockout", "league", "match", "mma",
-        "nba", "nfl", "retired", "soccer", "tennis", "tournament", "ufc",
+        "match", "league", "tournament", "goal",
+        "football", "soccer", "nba", "nfl", "tennis", "cricket",
+        "boxing", "ufc", "mma", "coach", "retired", "knockout",
     ),
     "business": (
-        "acquisition", "bank", "deal", "earnings", "inflation", "ipo", "market", "merger",
-        "pricing", "revenue", "shares?", "stocks?", "subscription",
+        "market", "stocks?", "shares?", "inflation", "bank",
+        "deal", "acquisition", "merger", "ipo", "earnings",
+        "pricing", "revenue", "subscription",
     ),
     "science": (
-        "biology", "climate", "genome", "health", "medical", "nasa", "physics", "research",
-        "space", "study", "vaccine",
+        "research", "study", "nasa", "space", "climate",
+        "physics", "biology", "medical", "health", "vaccine", "genome",
     ),
 }
 
-# Points for a topic hit, points for a bonus keyword, and the score a topic needs.
+# Points for a topic hit, points for a bonus keyword, and the score a topic needs.
 TOPIC_HIT_SCORE = 3
 TOPIC_BONUS_KEYWORDS = {"politics": ("war", 1), "tech": ("ai", 1)}
 TOPIC_THRESHOLDS = {"politics": 3, "tech": 2, "sports": 2, "business": 2, "science": 2}
 NO_TOPIC = "other"
 
-# (text in the link, source name), first match wins.
+# Fixed values: (text in the link, source name), first match wins.
 SOURCE_RULES = (
     ("ft.com", "Financial Times"),
     ("wired.com", "Wired"),

@@ -2,16 +2,12 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsflow.functions.sketch import DEPTH, WIDTH, place_keys
-from newsflow.functions.times import interval, seconds
-from newsflow.operators.windows import covering_starts
+from newsflow.functions.sketch import DEPTH, WIDTH, add_buckets, place_keys
+from newsflow.functions.times import seconds, shift
 
 # A sketch has at most depth * width cells; above this many it is not broadcast.
 MAX_BROADCAST_CELLS = 1_000_000
 
-# Hash values a set of keys is reduced to before it is broadcast: at most this many rows.
-PREFILTER_BUCKETS = 1 << 17
-
 ALERT_KEYS = ("window_start", "category", "keyword")
 
 
@@ -19,30 +15,29 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame
     """Join on keys that may be null; keeps the left copy of the keys."""
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = left.alias("l").join(right.alias("r"), same, how)
-    if how == "left_semi":
-        return joined
     return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
 
 
-def keep_keys(rows: DataFrame, wanted: DataFrame, keys) -> DataFrame:
-    """Rows whose (nullable) keys occur in ``wanted``, which may be of any size.
-
-    The keys' hash buckets go first, as a broadcast of bounded size: what the exact join
-    then has to shuffle is close to what it keeps.
-    """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(PREFILTER_BUCKETS)).cast("int").alias("_bucket")
-    buckets = wanted.select(bucket).distinct()
-    likely = rows.select("*", bucket).join(F.broadcast(buckets), "_bucket", "left_semi")
-    return join_on_keys(likely.drop("_bucket"), wanted.select(*keys), keys, "left_semi")
+def reset_key(reset: str | None):
+    """What a sketch starts anew for: every ``window``, or every unit of time (``hour``,
+    ``day``, ...) that windows start in. None: it never does."""
+    if reset is None:
+        return F.lit(0)
+    return F.col("window_start") if reset == "window" else F.date_trunc(reset, "window_start")
 
 
 def build_sketch(
-    df: DataFrame, key: str = "keyword", n: str = "n", depth: int = DEPTH, width: int = WIDTH
+    df: DataFrame,
+    key: str = "keyword",
+    n: str = "n",
+    depth: int = DEPTH,
+    width: int = WIDTH,
+    by=(),
 ) -> DataFrame:
-    """(sketch_row, bucket, cell). The partial aggregate leaves at most depth * width
-    rows per task before the shuffle."""
-    placed = place_keys(df, key, [n], depth, width)
-    return placed.groupBy("sketch_row", "bucket").agg(F.sum(n).alias("cell"))
+    """(by, sketch_row, bucket, cell). The partial aggregate leaves at most depth * width
+    rows per task and ``by`` before the shuffle."""
+    placed = place_keys(df, key, [*by, n], depth, width)
+    return placed.groupBy(*by, "sketch_row", "bucket").agg(F.sum(n).alias("cell"))
 
 
 def merge_sketches(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -56,23 +51,30 @@ def merge_sketches(first: DataFrame, *others: DataFrame) -> DataFrame:
 def estimate(
     df: DataFrame,
     sketch: DataFrame,
-    by=("keyword",),
     key: str = "keyword",
     depth: int = DEPTH,
     width: int = WIDTH,
+    by=(),
 ) -> DataFrame:
-    """(by, approx_count) for each distinct ``by``, which must hold ``key``; 0 for a key
-    that meets an empty cell.
+    """``df`` with ``approx_count``: the smallest of the cells its key meets, 0 for a key
+    that meets an empty one.
 
-    The copies of a row made for the sketch rows sit in one task, so the partial
-    aggregate folds them back before the shuffle.
+    Each sketch row is a lookup of its own in the row, so nothing is multiplied or folded.
+    One sketch is broadcast, up to a size that depends on its parameters alone; sketches
+    by ``by`` grow with the data, and how they are joined is left to the optimizer.
     """
-    placed = place_keys(df, key, by, depth, width)
-    cells = F.broadcast(sketch) if depth * width <= MAX_BROADCAST_CELLS else sketch
-    found = placed.join(cells, ["sketch_row", "bucket"], "left")
-    return found.groupBy(*by).agg(
-        F.min(F.coalesce("cell", F.lit(0).cast("bigint"))).alias("approx_count")
-    )
+    buckets, cells = [f"_b{r}" for r in range(depth)], [f"_c{r}" for r in range(depth)]
+    out = add_buckets(df, key, buckets, width)
+    for row, (bucket, cell) in enumerate(zip(buckets, cells)):
+        part = sketch.filter(F.col("sketch_row") == row).select(
+            *by, F.col("bucket").alias(bucket), F.col("cell").alias(cell)
+        )
+        if not by and depth * width <= MAX_BROADCAST_CELLS:
+            part = F.broadcast(part)
+        out = out.join(part, [*by, bucket], "left")
+    found = [F.coalesce(c, F.lit(0).cast("bigint")) for c in cells]
+    least = F.least(*found) if depth > 1 else found[0]
+    return out.select(*df.columns, least.alias("approx_count"))
 
 
 def running_estimates(
@@ -81,18 +83,23 @@ def running_estimates(
     depth: int = DEPTH,
     width: int = WIDTH,
     chunk: str = "hour",
+    reset: str | None = None,
 ) -> DataFrame:
     """Adds ``approx_count``: the sketch estimate of the row's keyword after all rows up
-    to and including it have been added, in (window_start, category, keyword) order.
+    to and including it have been added, in (window_start, category, keyword) order. The
+    sketch is empty again at each new :func:`reset_key`; without one, a long history fills
+    it and estimates say little.
 
     The estimate is a running sum per sketch cell. One cell may see a large share of
     the rows, so each cell is cut into ``chunk``-long pieces of time: the pieces' totals
     are aggregated and summed up first, and each piece then starts from its offset.
     """
-    cell = ["sketch_row", "bucket"]
+    cell = ["_reset", "sketch_row", "bucket"]
     piece = cell + ["_chunk"]
-    chunked = counts.withColumn("_chunk", F.date_trunc(chunk, "window_start"))
-    placed = place_keys(chunked, "keyword", [*ALERT_KEYS, n, "_chunk"], depth, width)
+    chunked = counts.withColumns(
+        {"_chunk": F.date_trunc(chunk, "window_start"), "_reset": reset_key(reset)}
+    )
+    placed = place_keys(chunked, "keyword", [*ALERT_KEYS, n, "_chunk", "_reset"], depth, width)
     earlier = (
         Window.partitionBy(*cell)
         .orderBy("_chunk")
@@ -114,20 +121,33 @@ def running_estimates(
     return running.groupBy(*ALERT_KEYS, n).agg(F.min("_running").alias("approx_count"))
 
 
-def smallest_values(rows: DataFrame, keys, k: int = 3) -> DataFrame:
-    """(keys, kind, val): the ``k`` smallest distinct titles and links per ``keys``.
+def tally(rows: DataFrame, keys, n: str | None = None) -> DataFrame:
+    """(keys, kind, val, n): how often each title and each link (``kind``) occurs per key.
 
-    Batch only. Copies are folded before the first shuffle and each map task sends at
-    most ``k`` values per key into the second, so a hot key stays small.
+    One pass for counts and evidence: a key's rows are spread by their titles and links, and
+    copies are folded before the shuffle, so a hot key stays in no one place.
     """
     values = F.stack(F.lit(2), F.lit("title"), F.col("title"), F.lit("link"), F.col("link"))
-    distinct = (
-        rows.select(*keys, values.alias("kind", "val"))
-        .filter(F.col("val").isNotNull())
-        .distinct()
+    counted = rows.select(
+        *keys, values.alias("kind", "val"), (F.col(n) if n else F.lit(1)).alias("n")
     )
-    by_value = Window.partitionBy(*keys, "kind").orderBy("val")
-    ranked = distinct.withColumn("_n", F.row_number().over(by_value))
+    return counted.groupBy(*keys, "kind", "val").agg(F.sum("n").alias("n"))
+
+
+def totals(tallied: DataFrame, keys, name: str = "n") -> DataFrame:
+    """(keys, ``name``): rows per key; each has one title, which may be null."""
+    # not a filter, which would be moved below the tally and keep its shuffle from being shared
+    of_title = F.when(F.col("kind") == "title", F.col("n")).otherwise(F.lit(0))
+    return tallied.groupBy(*keys).agg(F.sum(of_title).alias(name))
+
+
+def smallest_values(tallied: DataFrame, keys, k: int = 3) -> DataFrame:
+    """(keys, kind, val): the ``k`` smallest distinct titles and links per key. Each map
+    task sends at most ``k`` values per key into the shuffle; a null value ranks last."""
+    by_value = Window.partitionBy(*keys, "kind").orderBy(F.col("val").asc_nulls_last())
+    # all tallied rows; asking for their count keeps the tally the same as for the totals
+    counted = tallied.filter(F.col("n") > 0).select(*keys, "kind", "val")
+    ranked = counted.withColumn("_n", F.row_number().over(by_value))
     return ranked.filter(F.col("_n") <= k).drop("_n")
 
 
@@ -144,37 +164,20 @@ def collect_evidence(values: DataFrame, keys, k: int = 3) -> DataFrame:
     )
 
 
-def sample_evidence(
-    events: DataFrame,
-    alerts: DataFrame,
-    duration: str,
-    slide: str,
-    k: int = 3,
-    ts: str = "published_ts",
+def window_evidence(
+    values: DataFrame, alerts: DataFrame, duration: str, slide: str, k: int = 3
 ) -> DataFrame:
     """(alert keys, sample_titles, sample_links): the ``k`` smallest distinct titles and
-    links of each alert's window. Batch only.
-
-    Only events of alerting slots are kept, and each slot is cut to its ``k`` smallest
-    values, which is exact: the ``k`` smallest of a window are among those of its slots.
-    """
+    links of each alert's window, from the ``k`` smallest of its slots."""
     d, s = seconds(duration), seconds(slide)
-    if d % s:
-        raise ValueError("the window must be a whole number of slides")
     slot_keys = ["slot", "category", "keyword"]
-    last = F.col("window_start") + interval(d - s)
-    wanted = alerts.select(
-        *ALERT_KEYS,
-        F.explode(F.sequence("window_start", last, interval(s))).alias("slot"),
-    )
-    slot = F.window(ts, f"{s} seconds")["start"].alias("slot")
-    slotted = events.select(slot, "category", "keyword", "title", "link")
-    in_alert = keep_keys(slotted, wanted, slot_keys)
-    samples = collect_evidence(smallest_values(in_alert, slot_keys, k), slot_keys, k)
+    slots = F.array(*[shift(F.col("window_start"), ahead) for ahead in range(0, d, s)])
+    wanted = alerts.select(*ALERT_KEYS, F.explode(slots).alias("slot"))
+    samples = collect_evidence(values, slot_keys, k)
 
     def merged(column: str):
-        values = F.array_distinct(F.flatten(F.collect_list(column)))
-        return F.slice(F.sort_array(values), 1, k).alias(column)
+        found = F.array_distinct(F.flatten(F.collect_list(column)))
+        return F.slice(F.sort_array(found), 1, k).alias(column)
 
     return (
         join_on_keys(wanted, samples, slot_keys, "left")

@@ -27,23 +27,46 @@ def dedup_titles(
     ts: str = "published_ts",
     delay: str = "1 minute",
     order_by=None,
-    bounded_state: bool = False,
+    bounded_state: bool | None = None,
+    split: int = 1,
 ) -> DataFrame:
     """One row per title; empty titles count as one title.
 
-    Streams set a watermark first and so lose rows older than ``delay``. Their state
-    holds every title ever seen unless ``bounded_state``, which forgets a title once
-    the watermark has passed it.
+    Streams set a watermark first and so lose rows older than ``delay``. Their caller says
+    what the state may hold: every title ever seen, or, with ``bounded_state``, only titles
+    the watermark has not passed. With ``split`` above 1 the copies of a title are first
+    reduced in that many places by their link, so that a title (or the blank one) with very
+    many copies does not meet in one task; each title is then kept twice.
+
+    Batch input orders copies by ``order_by`` (time and link) and then by a hash of all other
+    columns, which stay out of the shuffle unless the caller uses them.
     """
     if df.isStreaming:
+        state = _state(bounded_state)
         marked = df.withWatermark(ts, delay)
-        if bounded_state:
-            return marked.dropDuplicatesWithinWatermark(["title"])
-        return marked.dropDuplicates(["title"])
-    return _keep_first(df, ["title"], order_by or (ts, "link"))
+        if split > 1:
+            place = F.pmod(F.xxhash64("link", ts), F.lit(split))
+            marked = state(marked.withColumn("_place", place), ["title", "_place"]).drop("_place")
+        return state(marked, ["title"])
+    first = list(order_by or (ts, "link"))
+    others = [c for c in df.columns if c not in (*first, "title")]
+    if not others:
+        return _keep_first(df, ["title"], first)
+    tied = df.withColumn("_tie", F.xxhash64(*others))
+    return _keep_first(tied, ["title"], [*first, "_tie"]).drop("_tie")
+
+
+def _state(bounded: bool | None):
+    """How a stream drops repeats; the choice has no default, as one of the two never
+    forgets and the other keeps a repeat that comes late."""
+    if bounded is None:
+        raise ValueError("streams need bounded_state=True or bounded_state=False")
+    if bounded:
+        return lambda df, keys: df.dropDuplicatesWithinWatermark(keys)
+    return lambda df, keys: df.dropDuplicates(keys)
 
 
-def dedup_events(df: DataFrame, bounded_state: bool = False) -> DataFrame:
+def dedup_events(df: DataFrame, bounded_state: bool | None = None) -> DataFrame:
     """One keyword event per (title, category, keyword), the earliest.
 
     Batch input is aggregated rather than ranked: the partial aggregate shrinks repeats
@@ -51,9 +74,7 @@ def dedup_events(df: DataFrame, bounded_state: bool = False) -> DataFrame:
     """
     keys = ["title", "category", "keyword"]
     if df.isStreaming:
-        if bounded_state:
-            return df.dropDuplicatesWithinWatermark(keys)
-        return df.dropDuplicates(keys)
+        return _state(bounded_state)(df, keys)
     kept = [c for c in df.columns if c not in keys]
     if kept == ["published_ts"]:
         return df.groupBy(*keys).agg(F.min("published_ts").alias("published_ts"))

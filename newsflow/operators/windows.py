@@ -8,7 +8,7 @@ large shuffle carries each (slot, key) once instead of once per window. Streams
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsflow.functions.times import interval, seconds
+from newsflow.functions.times import seconds, shift
 
 
 def _window(ts: str, duration: int, slide: int):
@@ -26,8 +26,8 @@ def slot_counts(df: DataFrame, keys, slide: str, ts: str = "published_ts") -> Da
 
 
 def covering_starts(slot, duration: int, slide: int):
-    """Starts of the windows that cover a slot, as an array."""
-    return F.sequence(slot - interval(duration - slide), slot, interval(slide))
+    """Starts of the windows that cover a slot, the latest first."""
+    return F.array(*[shift(slot, -back) for back in range(0, duration, slide)])
 
 
 def sliding_counts(
@@ -43,14 +43,19 @@ def sliding_counts(
     if df.isStreaming or d % s:
         counts = df.groupBy(_window(ts, d, s), *keys).agg(F.count(F.lit(1)).alias(name))
         return flatten_window(counts, keys, name)
-    slots = slot_counts(df, keys, slide, ts)
+    return windows_of_slots(slot_counts(df, keys, slide, ts), keys, d, s, name)
+
+
+def windows_of_slots(slots: DataFrame, keys, duration: int, slide: int, name: str) -> DataFrame:
+    """(window_start, window_end, keys, ``name``) of (slot, keys, n)."""
     starts = slots.select(
-        F.explode(covering_starts(F.col("slot"), d, s)).alias("window_start"), *keys, "n"
+        F.explode(covering_starts(F.col("slot"), duration, slide)).alias("window_start"),
+        *keys,
+        "n",
     )
     counts = starts.groupBy("window_start", *keys).agg(F.sum("n").alias(name))
-    return counts.select(
-        "window_start", (F.col("window_start") + interval(d)).alias("window_end"), *keys, name
-    )
+    end = shift(F.col("window_start"), duration).alias("window_end")
+    return counts.select("window_start", end, *keys, name)
 
 
 def flatten_window(df: DataFrame, *columns) -> DataFrame:
@@ -69,7 +74,7 @@ def window_positions(
     """Each event once per covering ``window``, with ``window_position``: ``current`` in
     the last ``recent`` part of the window, else ``previous``."""
     windowed = df.withColumn("window", _window(ts, seconds(duration), seconds(slide)))
-    boundary = F.col("window.end") - interval(seconds(recent))
+    boundary = shift(F.col("window.end"), -seconds(recent))
     return windowed.withColumn(
         "window_position", F.when(F.col(ts) >= boundary, "current").otherwise("previous")
     )
@@ -94,9 +99,9 @@ def position_counts(
         )
         return flatten_window(counts, keys, "current_count", "previous_count")
     slots = slot_counts(df, keys, slide, ts)
-    # Latest window first, so the position is the slot's place within the window.
+    # The latest window comes first, so the position is the slot's place within the window.
     placed = slots.select(
-        F.posexplode(F.reverse(covering_starts(F.col("slot"), d, s))).alias(
+        F.posexplode(covering_starts(F.col("slot"), d, s)).alias(
             "_place", "window_start"
         ),
         *keys,
@@ -109,7 +114,7 @@ def position_counts(
     )
     return counts.select(
         "window_start",
-        (F.col("window_start") + interval(d)).alias("window_end"),
+        shift(F.col("window_start"), d).alias("window_end"),
         *keys,
         "current_count",
         "previous_count",

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from newsflow.functions.sketch import DEPTH, WIDTH
-from newsflow.functions.times import interval, seconds
+from newsflow.functions.times import seconds, shift
 from newsflow.lexicons import NOISE_WORDS
 from newsflow.operators.breaking import (
     ALERT_KEYS,
@@ -11,13 +11,15 @@ from newsflow.operators.breaking import (
     collect_evidence,
     estimate,
     join_on_keys,
-    keep_keys,
+    reset_key,
     running_estimates,
-    sample_evidence,
     smallest_values,
+    tally,
+    totals,
+    window_evidence,
 )
 from newsflow.operators.trends import KEYWORD_KEYS
-from newsflow.operators.windows import flatten_window, sliding_counts
+from newsflow.operators.windows import flatten_window, sliding_counts, windows_of_slots
 from newsflow.plans.trends import keyword_events, with_delay
 from newsflow.schemas import ALERT_COLUMNS
 
@@ -39,7 +41,11 @@ def burst_counts(
 
 
 def estimated_counts(
-    counts: DataFrame, mode: str = "running", depth: int = DEPTH, width: int = WIDTH
+    counts: DataFrame,
+    mode: str = "running",
+    depth: int = DEPTH,
+    width: int = WIDTH,
+    reset: str | None = None,
 ) -> DataFrame:
     """Adds ``approx_count`` to (window_start, category, keyword, exact_count).
 
@@ -47,22 +53,28 @@ def estimated_counts(
                  windows and categories of a keyword
     ``table``    estimate from the sketch of all rows
     ``exact``    the exact count itself
+
+    With ``reset`` there is a sketch for every window (``window``) or unit of time (``day``).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if mode == "exact":
         return counts.withColumn("approx_count", F.col("exact_count"))
     if mode == "running":
-        return running_estimates(counts, "exact_count", depth, width)
-    sketch = build_sketch(counts, "keyword", "exact_count", depth, width)
-    return estimate(counts, sketch, counts.columns, "keyword", depth, width)
+        return running_estimates(counts, "exact_count", depth, width, reset=reset)
+    if reset is None:
+        sketch = build_sketch(counts, "keyword", "exact_count", depth, width)
+        return estimate(counts, sketch, "keyword", depth, width)
+    keyed, by = counts.withColumn("_reset", reset_key(reset)), ["_reset"]
+    sketch = build_sketch(keyed, "keyword", "exact_count", depth, width, by)
+    return estimate(keyed, sketch, "keyword", depth, width, by).drop("_reset")
 
 
 def label_alerts(alerts: DataFrame, duration: str) -> DataFrame:
     """Alert columns; an alert whose titles or links are all null has empty samples."""
     empty = F.array().cast("array<string>")
     added = {c: F.coalesce(c, empty) for c in ("sample_titles", "sample_links")}
-    added["window_end"] = F.col("window_start") + interval(seconds(duration))
+    added["window_end"] = shift(F.col("window_start"), seconds(duration))
     added["status"] = F.lit("BREAKING")
     return alerts.withColumns(added).select(*ALERT_COLUMNS)
 
@@ -75,19 +87,34 @@ def alerts_of_events(
     slide: str = "1 minute",
     depth: int = DEPTH,
     width: int = WIDTH,
+    reset: str | None = None,
 ) -> DataFrame:
-    """Alert rows of batch (title, category, keyword, published_ts, link) events."""
-    counts = burst_counts(events, duration, slide).select(*ALERT_KEYS, "exact_count")
-    alerts = estimated_counts(counts, mode, depth, width).filter(
+    """Alert rows of batch (title, category, keyword, published_ts, link) events.
+
+    Events are read and shuffled once, folded per slot, title and link; counts and evidence
+    are both made of that. The window must be a whole number of slides.
+    """
+    d, s = seconds(duration), seconds(slide)
+    if d % s:
+        raise ValueError("the window must be a whole number of slides")
+    slot_keys = ["slot", *KEYWORD_KEYS]
+    slot = F.window("published_ts", f"{s} seconds")["start"].alias("slot")
+    slotted = tally(events.select(slot, *KEYWORD_KEYS, "title", "link"), slot_keys)
+    windowed = windows_of_slots(totals(slotted, slot_keys), KEYWORD_KEYS, d, s, "exact_count")
+    counts = windowed.select(*ALERT_KEYS, "exact_count")
+    alerts = estimated_counts(counts, mode, depth, width, reset).filter(
         F.col("approx_count") >= threshold
     )
-    evidence = sample_evidence(events, alerts, duration, slide)
+    evidence = window_evidence(smallest_values(slotted, slot_keys), alerts, duration, slide)
     return label_alerts(join_on_keys(alerts, evidence, ALERT_KEYS, "left"), duration)
 
 
-def breaking_alerts(articles: DataFrame, noise_words=NOISE_WORDS, **options) -> DataFrame:
+def breaking_alerts(
+    articles: DataFrame, noise_words=NOISE_WORDS, unique_titles: bool = False, **options
+) -> DataFrame:
     """Breaking keywords of cleaned articles."""
-    return alerts_of_events(keyword_events(articles, ["link"], noise_words), **options)
+    events = keyword_events(articles, ["link"], noise_words, unique_titles=unique_titles)
+    return alerts_of_events(events, **options)
 
 
 def windowed_titles(
@@ -115,13 +142,14 @@ def alerts_of_windows(
     duration: str = "5 minutes",
     depth: int = DEPTH,
     width: int = WIDTH,
+    reset: str | None = None,
 ) -> DataFrame:
     """Alert rows of one micro-batch of :func:`windowed_titles`; the sketch starts empty
-    with each micro-batch."""
-    counts = titles.groupBy(*ALERT_KEYS).agg(F.sum("n").alias("exact_count"))
-    alerts = estimated_counts(counts, mode, depth, width).filter(
+    with each micro-batch, and with ``reset`` more often."""
+    tallied = tally(titles, ALERT_KEYS, "n")
+    counts = totals(tallied, ALERT_KEYS, "exact_count")
+    alerts = estimated_counts(counts, mode, depth, width, reset).filter(
         F.col("approx_count") >= threshold
     )
-    in_alert = keep_keys(titles, alerts, ALERT_KEYS)
-    evidence = collect_evidence(smallest_values(in_alert, ALERT_KEYS), ALERT_KEYS)
+    evidence = collect_evidence(smallest_values(tallied, ALERT_KEYS), ALERT_KEYS)
     return label_alerts(join_on_keys(alerts, evidence, ALERT_KEYS, "left"), duration)

@@ -28,18 +28,27 @@ def with_delay(events: DataFrame, delay: str | None) -> DataFrame:
 
 
 def keyword_events(
-    articles: DataFrame, extra=(), noise_words=NOISE_WORDS, forget_after: str | None = None
+    articles: DataFrame,
+    extra=(),
+    noise_words=NOISE_WORDS,
+    bounded_state: bool | None = None,
+    delay: str = "5 minutes",
+    unique_titles: bool = False,
 ) -> DataFrame:
     """(title, category, keyword, published_ts, *extra), one row per first three.
 
-    On streams the dedup state holds every key ever seen, unless ``forget_after`` sets a
-    watermark ahead of it.
+    Streams say what the state of that may hold: every key ever seen, or, with
+    ``bounded_state``, those within the watermark, which ``delay`` then sets ahead of it.
+    Batch articles whose titles are unique and whose keywords differ within the row, as the
+    clean plan writes them, need no de-duplication: ``unique_titles`` leaves it out.
     """
     narrow = parse_event_time(articles).select(
         "published_ts", "title", "category", *extra, "keywords"
     )
     events = filter_keywords(explode_keywords(narrow), noise_words)
-    return dedup_events(with_delay(events, forget_after), forget_after is not None)
+    if unique_titles and not events.isStreaming:
+        return events
+    return dedup_events(with_delay(events, delay if bounded_state else None), bounded_state)
 
 
 def trends_of_events(
@@ -73,14 +82,14 @@ def keyword_trends(
     articles: DataFrame,
     noise_words=NOISE_WORDS,
     delay: str = "5 minutes",
-    bounded_state: bool = False,
+    bounded_state: bool | None = None,
+    unique_titles: bool = False,
     **windows,
 ) -> DataFrame:
-    """Trending keywords of cleaned articles."""
-    if bounded_state:
-        events = keyword_events(articles, (), noise_words, forget_after=delay)
-        return trends_of_events(events, delay=None, **windows)
-    return trends_of_events(keyword_events(articles, (), noise_words), delay=delay, **windows)
+    """Trending keywords of cleaned articles; the options are those of
+    :func:`keyword_events` and :func:`trends_of_events`."""
+    events = keyword_events(articles, (), noise_words, bounded_state, delay, unique_titles)
+    return trends_of_events(events, delay=None if bounded_state else delay, **windows)
 
 
 def activity_of_events(

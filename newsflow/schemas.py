@@ -37,23 +37,40 @@ CLEANED_ARTICLE = T.StructType(
     ]
 )
 
-# One <channel> of an RSS 2.0 file, read with rowTag="channel".
-FEED_CHANNEL = T.StructType(
+# Items of RSS 2.0 (``pubDate``) and RDF (``date``) feeds, entries of Atom ones.
+FEED_ITEM = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField(name, T.StringType())
+            for name in ("title", "description", "link", "pubDate", "date")
+        ]
+    )
+)
+FEED_LINK = T.StructType([T.StructField(name, T.StringType()) for name in ("_href", "_rel")])
+FEED_ENTRY = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("title", T.StringType()),
+            T.StructField("summary", T.StringType()),
+            T.StructField("content", T.StringType()),
+            T.StructField("link", T.ArrayType(FEED_LINK)),
+            T.StructField("published", T.StringType()),
+            T.StructField("updated", T.StringType()),
+        ]
+    )
+)
+
+# What stands below the root: a channel with or beside its items, or entries. A lone
+# <channel> has its title and items there itself.
+FEED = T.StructType(
     [
-        T.StructField("title", T.StringType()),
         T.StructField(
-            "item",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("title", T.StringType()),
-                        T.StructField("description", T.StringType()),
-                        T.StructField("link", T.StringType()),
-                        T.StructField("pubDate", T.StringType()),
-                    ]
-                )
-            ),
+            "channel",
+            T.StructType([T.StructField("title", T.StringType()), T.StructField("item", FEED_ITEM)]),
         ),
+        T.StructField("item", FEED_ITEM),
+        T.StructField("title", T.StringType()),
+        T.StructField("entry", FEED_ENTRY),
     ]
 )
 

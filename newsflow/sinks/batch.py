@@ -16,22 +16,19 @@ class Target:
     options: dict[str, str] = field(default_factory=dict)
 
 
-def write_batch(df: DataFrame, target: Target, batch_id: int) -> None:
+def write_batch(df: DataFrame, target: Target, query: str, batch_id: int) -> None:
     """Write one micro-batch so that writing it again after a failure adds nothing.
 
-    Files go to a folder of their own per batch, replaced as a whole. Other formats
-    are appended to: delivery is then at least once unless their options name a key to
-    upsert on.
+    Files go to a folder of their own per streaming query and batch, replaced as a whole;
+    the folders read back as the columns ``query`` and ``batch_id``. A query's id lives in
+    its checkpoint: runs with other checkpoints write elsewhere, whatever their batch ids.
+    Other formats are appended to: delivery is then at least once unless their options name
+    a key to upsert on.
     """
     writer = df.write.format(target.fmt).options(**target.options)
     if target.fmt in FILE_FORMATS:
-        writer.mode("overwrite").save(f"{target.path}/batch_id={batch_id}")
+        writer.mode("overwrite").save(f"{target.path}/query={query}/batch_id={batch_id}")
     elif target.path is not None:
         writer.mode("append").save(target.path)
     else:
         writer.mode("append").save()
-
-
-def append_topic(df: DataFrame, target: Target) -> None:
-    """Append key/value rows to a topic, outside any stream."""
-    df.write.format(target.fmt).options(**target.options).mode("append").save(target.path)

@@ -40,24 +40,30 @@ def fan_out(
     checkpoint: str,
     key: str | None = "category",
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    stored: Callable[[DataFrame], DataFrame] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch to a collection and, as JSON keyed by ``key``, to a topic.
 
-    ``prepare`` turns the batch into the rows to write. The rows are computed once for
-    both sinks; nothing is written when there are none.
+    ``prepare`` turns the batch into the rows to write, ``stored`` those into the shape the
+    collection keeps. The rows are computed once for both sinks; nothing is written when
+    there are none.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        rows = prepare(batch).persist() if prepare else batch
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        cached = [batch.persist()]
         try:
+            rows = batch
+            if prepare:
+                rows = prepare(batch).persist()
+                cached.append(rows)
             if not rows.isEmpty():
-                write_batch(rows, collection, batch_id)
-                write_batch(to_json_value(rows, key=key), topic, batch_id)
+                write_batch(stored(rows) if stored else rows, collection, query, batch_id)
+                write_batch(to_json_value(rows, key=key), topic, query, batch_id)
         finally:
-            rows.unpersist()
-            batch.unpersist()
+            for df in cached:
+                df.unpersist()
 
     return _start(df.writeStream.foreachBatch(write), checkpoint, trigger)
 

@@ -9,14 +9,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows that sit in fewer partitions than there are cores, ahead of
-    row-local text work. A table with more splits than cores is left as it is, so this
-    shuffles small inputs only."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def minute(n: Column) -> Column:
     """The ``n``-th minute of the article timeline, without a zone."""
     start = F.lit(FIRST_MINUTE).cast("timestamp_ntz")

@@ -25,27 +25,37 @@ def read_topic(
     return reader.load(path) if path is not None else reader.load()
 
 
-def _kafka_options(servers: str, topic: str, offsets: str) -> dict[str, str]:
+def _kafka_options(servers: str, topic: str, offsets: str, options) -> dict[str, str]:
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": offsets,
-    }
+    } | (options or {})
 
 
-def read_raw_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Raw article records from the first one kept."""
-    return read_topic(spark, "kafka", _kafka_options(servers, topic, "earliest"))
+def read_raw_topic(
+    spark: SparkSession, servers: str, topic: str, options: dict[str, str] | None = None
+) -> DataFrame:
+    """Raw article records from the first one kept. ``options`` adds to or replaces the
+    source's settings; without ``maxOffsetsPerTrigger`` the first micro-batch is all of the
+    topic."""
+    return read_topic(spark, "kafka", _kafka_options(servers, topic, "earliest", options))
 
 
-def read_cleaned_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+def read_cleaned_topic(
+    spark: SparkSession, servers: str, topic: str, options: dict[str, str] | None = None
+) -> DataFrame:
     """Cleaned article records from now on; history is skipped on the first start."""
-    return read_topic(spark, "kafka", _kafka_options(servers, topic, "latest"))
+    return read_topic(spark, "kafka", _kafka_options(servers, topic, "latest", options))
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
-    """Parquet files in ``folder`` whose name matches, as a stream, with the schema they
-    have now."""
-    option = {"pathGlobFilter": name}
-    schema = spark.read.options(**option).parquet(folder).schema
-    return spark.readStream.schema(schema).options(**option).parquet(folder)
+def read_table_stream(
+    spark: SparkSession, folder: str, name: str, options: dict[str, str] | None = None
+) -> DataFrame:
+    """The Parquet table ``name`` in ``folder``, one file or a folder of parts, as a stream
+    with the schema it has now. ``options`` may limit a micro-batch (``maxFilesPerTrigger``,
+    ``maxBytesPerTrigger``)."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    # a stream's plain path must be a folder; a pattern may match either
+    pattern = f"{folder}/{name[:-1]}[{name[-1]}]"
+    return spark.readStream.schema(schema).options(**(options or {})).parquet(pattern)

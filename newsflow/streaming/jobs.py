@@ -8,6 +8,7 @@ is append: a window appears once, after the watermark has passed its end.
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsflow.functions.times import to_utc_ntz
 from newsflow.operators.parse import parse_json
 from newsflow.operators.trends import stamp
 from newsflow.plans.articles import cleaned_articles
@@ -25,12 +26,14 @@ def start_cleaning(
     topic: Target,
     checkpoint: str,
     delay: str = "1 minute",
-    bounded_state: bool = False,
+    *,
+    bounded_state: bool,
+    split: int = 1,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Raw records to the collection of cleaned articles and the cleaned topic, which
     carries no key. One query feeds both, so articles are de-duplicated once."""
-    articles = cleaned_articles(records, delay, bounded_state)
+    articles = cleaned_articles(records, delay, bounded_state, split)
     return fan_out(articles, collection, topic, checkpoint, key=None, trigger=trigger)
 
 
@@ -39,17 +42,27 @@ def _cleaned(records: DataFrame, *fields: str) -> DataFrame:
     return parse_json(records, CLEANED_ARTICLE, fields=fields)
 
 
+def nested_window(rows: DataFrame) -> DataFrame:
+    """``window`` (start, end) in place of the two columns, at the front."""
+    ends = ("window_start", "window_end")
+    window = F.struct(F.col(ends[0]).alias("start"), F.col(ends[1]).alias("end"))
+    return rows.select(window.alias("window"), *[c for c in rows.columns if c not in ends])
+
+
 def start_trends(
     records: DataFrame,
     collection: Target,
     topic: Target,
     checkpoint: str,
+    *,
+    bounded_state: bool,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
+    """The collection keeps the window as one column, the messages its two ends."""
     articles = _cleaned(records, "title", "category", "published", "keywords")
-    trends = stamp(keyword_trends(articles, **options))
-    return fan_out(trends, collection, topic, checkpoint, trigger=trigger)
+    trends = stamp(keyword_trends(articles, bounded_state=bounded_state, **options))
+    return fan_out(trends, collection, topic, checkpoint, stored=nested_window, trigger=trigger)
 
 
 def start_activity(
@@ -75,19 +88,21 @@ def start_breaking(
     duration: str = "5 minutes",
     slide: str = "1 minute",
     delay: str = "5 minutes",
-    bounded_state: bool = False,
+    *,
+    bounded_state: bool,
+    reset: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """The sketch lives for one micro-batch."""
-    forget_after = delay if bounded_state else None
+    """The sketch lives for one micro-batch, or with ``reset`` shorter. Titles and links of
+    open windows are state: once per window that covers an event."""
     articles = _cleaned(records, "title", "category", "published", "keywords", "link")
-    events = keyword_events(articles, ["link"], forget_after=forget_after)
+    events = keyword_events(articles, ["link"], bounded_state=bounded_state, delay=delay)
     titles = windowed_titles(events, duration, slide, None if bounded_state else delay)
 
     def alerts(batch: DataFrame) -> DataFrame:
-        found = alerts_of_windows(batch, mode, threshold, duration)
-        detected = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-        return found.withColumn("detected_at", detected)
+        found = alerts_of_windows(batch, mode, threshold, duration, reset=reset)
+        now = to_utc_ntz(F.current_timestamp())
+        return found.withColumn("detected_at", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
     return fan_out(titles, collection, topic, checkpoint, prepare=alerts, trigger=trigger)
 

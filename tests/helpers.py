@@ -28,7 +28,7 @@ def final_plan_text(df) -> str:
     return plan_text(df).split("== Initial Plan ==")[0]
 
 
-# The scripted bursts: (source, count, seconds apart, title, content).
+# The scripted bursts: (source, count, seconds apart, title, content).
 BURSTS = (
     (
         "Injected World News",

@@ -64,7 +64,7 @@ def test_estimates_never_fall_below_the_count(spark):
     )
     sketch = b.build_sketch(df, depth=3, width=50).cache()
     assert sketch.count() <= 150
-    both = df.join(b.estimate(df, sketch, depth=3, width=50), "keyword")
+    both = b.estimate(df, sketch, depth=3, width=50)
     assert both.count() == 500
     assert both.filter("approx_count < n").isEmpty()
     assert not both.filter("approx_count > n").isEmpty()
@@ -82,10 +82,38 @@ def test_merged_sketches_are_the_sketch_of_the_union(spark):
     assert merged == {tuple(r) for r in b.build_sketch(df).collect()}
 
 
-def test_keep_keys_matches_nulls_and_nothing_else(spark):
-    rows = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
-    wanted = spark.createDataFrame([("a",), (None,)], "k string")
-    assert {r.v for r in b.keep_keys(rows, wanted, ["k"]).collect()} == {1, 2}
+@pytest.mark.parametrize("reset", ["window", "hour", "day"])
+def test_sketches_start_anew(spark, reset):
+    got = b.running_estimates(counts_frame(spark, MANY), depth=6, width=20, reset=reset)
+    unit = {"window": 1, "hour": 60, "day": 1440}[reset]
+    want = {}
+    for part in {m // unit for m, *_ in MANY}:
+        want |= sketch_rows([r for r in MANY if r[0] // unit == part], 6, 20)
+    assert {
+        ((r.window_start - START).seconds // 60, r.category, r.keyword): r.approx_count
+        for r in got.collect()
+    } == want
+
+
+def test_a_finished_sketch_per_window(spark):
+    counts = counts_frame(spark, MANY)
+    got = plans.estimated_counts(counts, "table", reset="window")
+    total = defaultdict(int)
+    for m, _, k, n in MANY:
+        total[m, k] += n
+    rows = got.collect()
+    assert len(rows) == len(MANY)
+    for r in rows:
+        assert r.approx_count == total[(r.window_start - START).seconds // 60, r.keyword]
+
+
+def test_lookups_need_no_shuffle_and_no_copies(spark):
+    df = spark.range(1000).selectExpr("concat('k', id) AS keyword", "id AS n")
+    rows = [(row, 1, 2) for row in range(5)]
+    sketch = spark.createDataFrame(rows, "sketch_row int, bucket bigint, cell bigint")
+    plan = final_plan_text(b.estimate(df, sketch))
+    assert "Generate" not in plan and "hashpartitioning" not in plan
+    assert plan.count("BroadcastHashJoin") == 5
 
 
 def hot_events(spark, n=3000):
@@ -170,10 +198,22 @@ def test_modes_are_checked(spark):
     with pytest.raises(ValueError):
         plans.estimated_counts(counts_frame(spark, MANY), "other")
     with pytest.raises(ValueError):
-        b.sample_evidence(hot_events(spark), counts_frame(spark, MANY), "5 minutes", "2 minutes")
-
-
-def test_evidence_is_cut_below_the_shuffle(spark):
-    plan = final_plan_text(plans.alerts_of_events(hot_events(spark), mode="exact"))
+        plans.alerts_of_events(hot_events(spark), duration="5 minutes", slide="2 minutes")
+
+
+def test_evidence_is_cut_below_the_shuffle(spark, tmp_path):
+    hot_events(spark).write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = final_plan_text(plans.alerts_of_events(events, mode="exact"))
+    finally:
+        spark.conf.set(name, before)
     assert "row_number(), 3, Partial" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+    # events are read once and leave their task folded by title and link
+    assert plan.count("FileScan") == 1
+    first = plan[: plan.index("FileScan")].rindex("Exchange hashpartitioning")
+    assert "val#" in plan[first : plan.index("\n", first)]

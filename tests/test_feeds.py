@@ -1,5 +1,10 @@
+import json
+
+import pytest
+
 from newsflow.operators.dedup import dedup_links
 from newsflow.operators.parse import parse_published_time
+from newsflow.plans.feeds import feed_records
 from newsflow.sources.feeds import parse_feeds, read_feed_files
 from tests.helpers import ts
 
@@ -38,3 +43,37 @@ def test_items_go_on_as_raw_articles(spark):
     timed = parse_published_time(items)
     assert {r.published_ts for r in timed.collect()} == {ts("2024-01-01T10:00:00")}
     assert dedup_links(timed).count() == 2
+
+
+RDF = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"
+ xmlns:dc="http://purl.org/dc/elements/1.1/">
+<channel rdf:about="http://w"><title>World News</title><link>http://w</link></channel>
+<item rdf:about="http://w/1"><title>One &amp; two</title><link>http://w/1</link>
+<description>&lt;p&gt;Hi&lt;/p&gt;</description><dc:date>2024-01-01T11:00:00+01:00</dc:date></item>
+<item rdf:about="http://w/2"><title>No text</title><link>http://w/2</link>
+<dc:date>2024-01-01T10:00:00Z</dc:date></item>
+<item><title>No link</title><description>x</description></item></rdf:RDF>"""
+
+ATOM = """<?xml version="1.0" encoding="utf-8"?>
+<feed xmlns="http://www.w3.org/2005/Atom"><title type="text">World News</title>
+<link href="http://w"/>
+<entry><title>One &amp; two</title><link rel="self" href="http://w/self"/>
+<link rel="alternate" href="http://w/1"/><summary type="html">&lt;p&gt;Hi&lt;/p&gt;</summary>
+<published>2024-01-01T10:00:00Z</published><updated>2024-02-01T10:00:00Z</updated></entry>
+<entry><title>No text</title><link href="http://w/2"/><updated>2024-01-01T10:00:00Z</updated></entry>
+<entry><title>No link</title><content>x</content><updated>soon</updated></entry></feed>"""
+
+
+@pytest.mark.parametrize("feed", [FEED, RDF, ATOM], ids=["rss", "rdf", "atom"])
+def test_dialects_give_the_same_items(spark, tmp_path, feed):
+    (tmp_path / "feed.xml").write_text(feed)
+    assert {tuple(r) for r in read_feed_files(spark, str(tmp_path)).collect()} == EXPECTED
+
+
+def test_feeds_to_raw_records(spark):
+    quoted = FEED.replace("One", 'A "quoted"\nline')
+    df = spark.createDataFrame([(quoted,), (ATOM,), (None,), ("<junk",)], "xml string")
+    got = sorted(json.loads(r.value)["title"] for r in feed_records(df).collect())
+    # one record per link, the smallest by time and title; none without a link
+    assert got == ["A 'quoted' line & two", "No text"]

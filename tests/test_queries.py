@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as registry
 import check
+from newsflow.checks.oracles import ORACLES
+from newsflow.checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,17 +13,25 @@ def connection(sf_dir):
     return check.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_sql(spark, connection, sf_dir, name):
     same, notes = check.compare(spark, connection, name, sf_dir)
     assert same, notes
 
 
-def test_every_query_has_sql():
-    assert set(registry.oracle_sql()) == set(registry.queries())
+def test_every_query_of_the_library_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows_and_a_schema(spark, sf_dir):
     df = registry.entry(spark)
     assert df.columns[:4] == ["window_start", "window_end", "category", "keyword"]
-    assert df.count() >= 0
+    levels = {r.trend_level for r in df.collect()}
+    assert len(levels) >= 2
+
+
+def test_rare_outcomes_occur_in_the_rows_that_sql_checks(spark, sf_dir):
+    levels = {r.trend_level for r in QUERIES["term_trends"](spark, sf_dir).collect()}
+    assert levels == {"BREAKING", "HOT", "WARM", "NORMAL"}
+    categories = {r.category for r in QUERIES["category_frequent"](spark, sf_dir).collect()}
+    assert {"politics", "tech", "sports", "business"} <= categories

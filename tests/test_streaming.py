@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from newsflow.checks.queries import _scratch
 from newsflow.functions.times import to_utc_ntz
-from newsflow.operators.dedup import dedup_titles
-from newsflow.operators.parse import parse_json, to_json_value
+from newsflow.operators.dedup import dedup_links, dedup_titles
+from newsflow.operators.parse import parse_json
 from newsflow.plans import breaking as breaking_plans
 from newsflow.plans import trends as trend_plans
 from newsflow.plans.articles import cleaned_articles
@@ -21,9 +21,14 @@ from newsflow.schemas import (
     SENTIMENT_COLUMNS,
     TREND_COLUMNS,
 )
-from newsflow.sinks import Target, append_topic, fan_out, run_available, write_batch
+from newsflow.sinks import Target, fan_out, run_available, write_batch
 from newsflow.sinks import write_collection, write_topic
-from newsflow.sources.topics import read_table_stream, read_topic
+from newsflow.sources.topics import (
+    read_cleaned_topic,
+    read_raw_topic,
+    read_table_stream,
+    read_topic,
+)
 from newsflow.streaming import jobs
 from tests.helpers import burst_articles, ts
 
@@ -116,9 +121,9 @@ def test_cleaning_equals_the_batch_plan(topic, outputs):
     topic.add([dict(zip(("source", "title", "content", "link", "published"), a)) for a in burst_articles()])
     topic.add(["not json", raw("dup title", 3), raw("other title", 3, content="<b>War</b>")])
     topic.add([raw("later", 4), {"title": "no time"}])
-    got = outputs.run(jobs.start_cleaning, topic.stream())
+    got = outputs.run(jobs.start_cleaning, topic.stream(), bounded_state=False)
     want = cleaned_articles(topic.batch())
-    assert got.columns == [*CLEANED_COLUMNS, "batch_id"]
+    assert got.columns == [*CLEANED_COLUMNS, "query", "batch_id"]
     assert rows(got, CLEANED_COLUMNS) == rows(want, CLEANED_COLUMNS)
     assert got.count() == 60
     sent = parse_json(outputs.messages(), CLEANED_ARTICLE)
@@ -130,9 +135,9 @@ def test_cleaning_equals_the_batch_plan(topic, outputs):
 def test_a_repeated_title_is_dropped_across_batches_and_restarts(topic, outputs):
     topic.add([raw("a", 0), raw("b", 0)])
     topic.add([raw("a", 0, 30, link="http://second"), raw("c", 1)])
-    assert outputs.run(jobs.start_cleaning, topic.stream()).count() == 3
+    assert outputs.run(jobs.start_cleaning, topic.stream(), bounded_state=False).count() == 3
     topic.add([raw("b", 1, 30), raw("d", 1, 30)])
-    got = outputs.run(jobs.start_cleaning, topic.stream())
+    got = outputs.run(jobs.start_cleaning, topic.stream(), bounded_state=False)
     assert sorted(r.title for r in got.collect()) == ["a", "b", "c", "d"]
     assert got.filter("title = 'a'").first().link == "http://a/a"
 
@@ -141,7 +146,7 @@ def test_late_articles_are_dropped_two_batches_on(topic, outputs):
     topic.add([raw("start", 10)])
     topic.add([raw("late by one batch", 0)])
     topic.add([raw("too late", 0), raw("in time", 9, 30)])
-    got = outputs.run(jobs.start_cleaning, topic.stream())
+    got = outputs.run(jobs.start_cleaning, topic.stream(), bounded_state=False)
     titles = {r.title for r in got.collect()}
     assert "start" in titles and "in time" in titles
     assert "too late" not in titles
@@ -151,7 +156,9 @@ def test_a_longer_delay_keeps_them(topic, outputs):
     topic.add([raw("start", 10)])
     topic.add([raw("second", 0)])
     topic.add([raw("third", 0)])
-    got = outputs.run(jobs.start_cleaning, topic.stream(), delay="1 hour")
+    got = outputs.run(
+        jobs.start_cleaning, topic.stream(), delay="1 hour", bounded_state=False
+    )
     assert got.count() == 3
 
 
@@ -165,6 +172,15 @@ def test_bounded_title_state(topic, spark, tmp_path):
     assert spark.read.parquet(target.path).count() == 2
 
 
+def flat(stored):
+    """Stored trend rows with the two ends of the window as columns."""
+    return stored.select(
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        *[c for c in stored.columns if c != "window"],
+    )
+
+
 def keyword_batches():
     """Rising keyword counts over an hour, in time order, three files."""
     for part in range(3):
@@ -184,7 +200,7 @@ def closed(df, last_minute, delay):
 def test_trends_equal_the_batch_plan_on_closed_windows(topic, outputs, bounded_state):
     for records in keyword_batches():
         topic.add([*records, records[0]])
-    got = outputs.run(jobs.start_trends, topic.stream(), bounded_state=bounded_state)
+    got = flat(outputs.run(jobs.start_trends, topic.stream(), bounded_state=bounded_state))
     batch = trend_plans.keyword_trends(parse_json(topic.batch(), CLEANED_ARTICLE))
     want = closed(batch, 59, 5)
     assert rows(got, TREND_COLUMNS) == rows(want, TREND_COLUMNS)
@@ -195,7 +211,7 @@ def test_trends_equal_the_batch_plan_on_closed_windows(topic, outputs, bounded_s
 def test_trend_messages(topic, outputs):
     for records in keyword_batches():
         topic.add(records)
-    outputs.run(jobs.start_trends, topic.stream())
+    outputs.run(jobs.start_trends, topic.stream(), bounded_state=False)
     for message in outputs.messages().collect():
         value = json.loads(message.value)
         assert message.key == value["category"]
@@ -232,7 +248,7 @@ def test_breaking_equals_the_batch_plan_on_closed_windows(topic, outputs, bounde
 def test_the_sketch_starts_empty_with_each_micro_batch(topic, outputs):
     for records in keyword_batches():
         topic.add(records)
-    got = outputs.run(jobs.start_breaking, topic.stream(), threshold=1)
+    got = outputs.run(jobs.start_breaking, topic.stream(), threshold=1, bounded_state=False)
     first = got.filter("keyword = 'quake'").groupBy("batch_id").agg(
         F.min("approx_count").alias("approx"), F.min_by("exact_count", "approx_count").alias("exact")
     )
@@ -246,7 +262,7 @@ def test_nothing_is_written_without_alerts(topic, outputs, tmp_path):
     run_available(
         jobs.start_breaking(
             topic.stream(), outputs.collection, outputs.topic, outputs.checkpoint,
-            threshold=10_000, trigger=NOW,
+            threshold=10_000, bounded_state=True, trigger=NOW,
         )
     )
     assert not (tmp_path / "collection").exists() and not (tmp_path / "out").exists()
@@ -266,10 +282,76 @@ def test_sentiment_equals_the_batch_plan(topic, outputs):
 def test_a_batch_written_twice_is_there_once(spark, tmp_path):
     target = Target("parquet", str(tmp_path / "c"))
     df = spark.range(5)
-    write_batch(df, target, 7)
-    write_batch(df, target, 7)
-    write_batch(df, target, 8)
+    write_batch(df, target, "q", 7)
+    write_batch(df, target, "q", 7)
+    write_batch(df, target, "q", 8)
     assert spark.read.parquet(target.path).count() == 10
+    write_batch(df, target, "p", 7)
+    assert spark.read.parquet(target.path).count() == 15
+
+
+def test_two_checkpoints_share_a_target(topic, spark, tmp_path):
+    """Batch ids start at 0 for both; neither run replaces the other's rows."""
+    topic.add([raw(f"t{n}", 0) for n in range(5)])
+    target, out = Target("parquet", str(tmp_path / "c")), Target("json", str(tmp_path / "t"))
+    for run in range(2):
+        run_available(
+            jobs.start_cleaning(
+                topic.stream(), target, out, str(tmp_path / f"cp{run}"), bounded_state=False, trigger=NOW
+            )
+        )
+    kept = spark.read.parquet(target.path)
+    assert kept.count() == 10 and kept.select("query").distinct().count() == 2
+    assert {r.batch_id for r in kept.select("batch_id").collect()} == {0}
+    assert spark.read.schema("value string").json(out.path).count() == 10
+
+
+def test_streams_must_say_what_state_they_keep(topic):
+    stream = parse_json(topic.stream(), CLEANED_ARTICLE, fields=["title", "published", "keywords", "category"])
+    timed = stream.withColumn("published_ts", F.to_timestamp("published"))
+    with pytest.raises(ValueError):
+        dedup_titles(timed)
+    with pytest.raises(ValueError):
+        trend_plans.keyword_trends(stream)
+
+
+def test_split_title_state_drops_the_same_rows(topic, outputs):
+    topic.add([raw("a", 0), raw("", 0), *[raw("a", 0, n, link=f"http://{n}") for n in range(20)]])
+    topic.add([raw("a", 0, 30, link="http://second"), raw("", 1, link="http://blank"), raw("c", 1)])
+    got = outputs.run(jobs.start_cleaning, topic.stream(), bounded_state=False, split=8)
+    assert sorted(r.title for r in got.collect()) == ["", "a", "c"]
+
+
+def test_repeated_links_are_dropped_across_batches(topic, spark, tmp_path):
+    topic.add([{"title": "a", "link": "http://X "}, {"title": "b", "link": " "}, {"title": "c"}])
+    topic.add([{"title": "d", "link": "http://x"}, {"title": "e", "link": "http://y"}])
+    links = dedup_links(parse_json(topic.stream(), CLEANED_ARTICLE, fields=["title", "link"]))
+    target = Target("parquet", str(tmp_path / "kept"))
+    run_available(write_collection(links, target, str(tmp_path / "cp"), NOW))
+    assert sorted(r.title for r in spark.read.parquet(target.path).collect()) == ["a", "e"]
+
+
+def test_a_cached_batch_is_freed_when_preparing_fails(topic, spark, outputs):
+    topic.add([{"category": "a"}])
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+
+    def prepare(batch):
+        raise RuntimeError("no")
+
+    query = fan_out(
+        topic.stream(), outputs.collection, outputs.topic, outputs.checkpoint, prepare=prepare, trigger=NOW
+    )
+    with pytest.raises(Exception, match="no"):
+        run_available(query)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_burst_state_and_times_in_utc(topic, outputs):
+    for records in keyword_batches():
+        topic.add(records)
+    got = outputs.run(jobs.start_breaking, topic.stream(), threshold=1, bounded_state=False, reset="window")
+    row = got.first()
+    assert row.detected_at.endswith("Z") and len(row.detected_at) == len("2024-01-01T10:00:00.000000Z")
 
 
 def test_fan_out_prepares_once_per_batch(topic, spark, tmp_path):
@@ -301,11 +383,59 @@ def test_simple_sinks_and_topic_source(topic, spark, tmp_path):
     assert sorted(json.loads(r.value)["title"] for r in kept.collect()) == ["a", "b"]
 
 
-def test_append_topic_and_table_stream(spark, tmp_path):
-    df = spark.createDataFrame([("tech", 1)], "category string, n int")
-    append_topic(to_json_value(df, key="category"), Target("parquet", str(tmp_path / "x")))
-    stream = read_table_stream(spark, str(tmp_path / "x"))
-    assert stream.isStreaming and stream.columns == ["key", "value"]
+def test_a_table_in_parts_is_read_as_a_stream(spark, tmp_path):
+    table = spark.range(40).selectExpr("id AS event_id", "id % 4 AS part")
+    table.repartition(4).write.parquet(str(tmp_path / "parts.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("part-*.parquet")
+    file.rename(tmp_path / "file.parquet")
+    for name, batches in (("parts.parquet", 4), ("file.parquet", 1)):
+        stream = read_table_stream(spark, str(tmp_path), name, {"maxFilesPerTrigger": "1"})
+        assert stream.isStreaming and stream.columns == ["event_id", "part"]
+        target = Target("parquet", str(tmp_path / f"out-{name}"))
+        query = write_collection(stream, target, str(tmp_path / f"cp-{name}"), NOW)
+        run_available(query)
+        assert len([p for p in query.recentProgress if p.numInputRows]) == batches
+        assert spark.read.parquet(target.path).count() == 40
+
+
+class Reader:
+    """Notes what a source is asked for."""
+
+    def __init__(self):
+        self.asked = {}
+
+    @property
+    def readStream(self):
+        return self
+
+    def format(self, fmt):
+        self.asked["format"] = fmt
+        return self
+
+    def options(self, **options):
+        self.asked |= options
+        return self
+
+    def load(self):
+        return self.asked
+
+
+def test_topic_options_reach_the_source():
+    limits = {"maxOffsetsPerTrigger": "10000", "minPartitions": "64", "failOnDataLoss": "false"}
+    raw_topic = read_raw_topic(Reader(), "h:9092", "raw", limits)
+    assert raw_topic == {
+        "format": "kafka",
+        "kafka.bootstrap.servers": "h:9092",
+        "subscribe": "raw",
+        "startingOffsets": "earliest",
+        **limits,
+    }
+    secure = {"kafka.security.protocol": "SSL", "startingOffsets": "earliest"}
+    cleaned_topic = read_cleaned_topic(Reader(), "h:9092", "cleaned", secure)
+    assert cleaned_topic["kafka.security.protocol"] == "SSL"
+    assert cleaned_topic["startingOffsets"] == "earliest"
+    assert read_cleaned_topic(Reader(), "h", "t")["startingOffsets"] == "latest"
 
 
 def test_the_rocksdb_state_store_gives_the_same(topic, spark, outputs):
@@ -317,7 +447,7 @@ def test_the_rocksdb_state_store_gives_the_same(topic, spark, outputs):
         name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
     try:
-        got = outputs.run(jobs.start_trends, topic.stream())
+        got = flat(outputs.run(jobs.start_trends, topic.stream(), bounded_state=False))
     finally:
         spark.conf.set(name, before)
     batch = trend_plans.keyword_trends(parse_json(topic.batch(), CLEANED_ARTICLE))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsflow.operators import trends, windows
+from newsflow.plans import breaking as breaking_plans
 from newsflow.plans import trends as plans
 from tests.helpers import ts
 
@@ -118,3 +119,40 @@ def test_keyword_explode_and_filter(spark):
 def test_unknown_categories_are_dropped(spark):
     df = spark.createDataFrame([("tech",), ("other",), (None,)], "category string")
     assert [r.category for r in trends.known_categories(df).collect()] == ["tech"]
+
+
+CLOCK_CHANGES = ("2024-03-10 12:00:00", "2024-11-03 12:00:00")
+
+
+@pytest.mark.parametrize("around", CLOCK_CHANGES)
+@pytest.mark.parametrize(
+    "duration, slide", [("1 day", "6 hours"), ("3 days", "1 day"), ("20 minutes", "10 minutes")]
+)
+def test_windows_are_elapsed_time_over_clock_changes(spark, around, duration, slide):
+    """In a zone with summer time, batch counts equal those of ``window()``."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(200).selectExpr(
+            f"timestamp_micros(unix_micros(TIMESTAMP '{around}') + (id - 100) * 1500000000) AS published_ts",
+            "concat('k', id % 3) AS keyword",
+            "'c' AS category",
+        )
+        window = F.window("published_ts", duration, slide)
+        want = df.groupBy(window, "category", "keyword").count()
+        epochs = [F.unix_seconds(F.col(f"window.{e}")) for e in ("start", "end")]
+        want = {tuple(r) for r in want.select(*epochs, "category", "keyword", "count").collect()}
+        got = windows.sliding_counts(df, trends.KEYWORD_KEYS, duration, slide)
+        ends = [F.unix_seconds(c) for c in ("window_start", "window_end")]
+        assert {tuple(r) for r in got.select(*ends, "category", "keyword", "n").collect()} == want
+        recent = slide
+        one = windows.position_counts(df, trends.KEYWORD_KEYS, duration, slide, recent)
+        two = trends.pivot_positions(trends.counts_by_position(df, duration, slide, recent))
+        assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.select(*one.columns).collect()}
+        titled = df.withColumns({"title": F.lit("t"), "link": F.lit("l")})
+        alerts = breaking_plans.alerts_of_events(titled, "exact", 1, duration, slide)
+        found = alerts.select(*ends, "category", "keyword", "exact_count")
+        assert {tuple(r) for r in found.collect()} == want
+        assert alerts.filter("size(sample_titles) <> 1").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
