@@ -46,7 +46,13 @@ _NOISE_WORDS = set(
     "newsletter notice notices pager pagination popup promo promotion related replies reply share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Names that begin so, such as "commentlist", mark the same.
+_NOISE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
+#: With these parts, a name that also speaks of a header or the like is a part of the article;
+#: with those, it tells what the element has, as in "has-sidebar".
 _CONTENT_WORDS = set("article content entry main post story text body".split())
+_SOFT_WORDS = {"header", "masthead", "copyright"}
+_STATE_WORDS = set("has no with without is not".split())
 _KEEPERS = {"html", "body", "article", "main"}
 #: What a start tag closes if it is still open, up to the given borders.
 _CLOSES = {
@@ -88,10 +94,12 @@ def _is_noise(tag: str, rest: str, inside: set) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(re.split(r"[-_]+", word))
-                if parts & _NOISE_WORDS and not parts & _CONTENT_WORDS:
-                    return True
-                # such as "article-comments": only what is certain to be around an article
-                if parts & {"ad", "ads", "advert", "comment", "comments", "footer", "nav", "sidebar"}:
+                if parts & _STATE_WORDS:
+                    continue
+                found = parts & _NOISE_WORDS
+                if parts & _CONTENT_WORDS:
+                    found -= _SOFT_WORDS
+                if found or any(p.startswith(_NOISE_STARTS) for p in parts):
                     return True
     return False
 
@@ -101,6 +109,7 @@ def parse(page: str):
     between blocks. Broken nesting is repaired as far as the article needs it."""
     root = _Node("#root", None, False)
     node, at, pieces, size = root, 0, [], len(page)
+    seen_article = False
     open_tags = {"#root": 1}
 
     def leave(until):
@@ -147,8 +156,9 @@ def parse(page: str):
             x = closing({"head"}, ())
             leave(x.parent)
         if tag in ("article", "main"):
-            # an element around articles that was never closed must not swallow one
-            x, outermost = node, None
+            # a menu or the like that was never closed must not swallow the first article
+            x, outermost = (root if seen_article else node), None
+            seen_article = True
             while x.parent is not None:
                 if x.noise:
                     outermost = x

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsflow.llm.common import buffers, chunks, cut, mix, prefix_sums, quoted, ship, span_hash
+from newsflow.llm.common import buffers, chunks, cut, free_name, mix, prefix_sums, quoted, ship, span_hash
 from newsflow.llm.components import components
 from newsflow.llm.decontaminate import words
 
@@ -364,5 +364,6 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **se
     """``docs`` without the rows whose class holds a smaller id. Rows with a null id stay;
     of rows that repeat an id all or none stay."""
     found = near_duplicate_classes(docs, doc_id, text, **settings)
-    dropped = found.where("class_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, quoted(doc_id) == F.col("dropped_id"), "left_anti")
+    gone = free_name(docs, "dropped_id")
+    dropped = found.where("class_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, quoted(doc_id) == F.col(gone), "left_anti")

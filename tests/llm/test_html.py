@@ -40,6 +40,26 @@ def test_odd_pages(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "name, kept",
+    [
+        ("main-menu", False), ("commentlist", False), ("post-comments", False), ("entry-header", True),
+        ("header", False), ("has-sidebar", True), ("article-content", True), ("sponsored_box", False),
+        ("shade", True), ("advertisement", False), ("content footer", False), ("headline", True),
+    ],
+)
+def test_names_of_what_surrounds_an_article(name, kept):
+    page = f"<body><article><p>first text</p><div class='{name}'><p>other text</p></div></article></body>"
+    assert extract(page) == ("first text\nother text" if kept else "first text")
+
+
+def test_an_unclosed_menu_does_not_swallow_the_article():
+    page = "<body><nav><ul><li><a href=x>Home</a><article><h1>T</h1><p>text</p></article>"
+    assert extract(page) == "T\ntext"
+    teaser = "<aside class=related><article><p>teaser text, long enough to count</p></article></aside>"
+    assert extract(f"<body><article><h1>T</h1><p>text</p></article>{teaser}") == "T\ntext"
+
+
 def test_dense_siblings_join_and_links_do_not():
     body = "".join(f"<div><p>{'word ' * 60}{k}</p><p>short</p></div>" for k in range(3))
     links = "<div>" + "".join(f"<a href=x>topic {k}</a> " for k in range(30)) + "</div>"
