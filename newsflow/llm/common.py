@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -89,6 +91,75 @@ def pieces(spark: SparkSession, total: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // each), 1)
 
 
+# Python workers are used again by later tasks, so what one leaves behind stays in memory
+
+_CACHES: list = []
+_WORKING_FOR: list[str] = []
+
+
+def worker_cache(make: Callable) -> Callable:
+    """Keeps the last result of ``make`` until the worker turns to another operator."""
+    kept = functools.lru_cache(maxsize=1)(make)
+    _CACHES.append(kept)
+    return kept
+
+
+def trim() -> None:
+    """Give memory that is not in use back to the system, where it can be done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def _turn_to(operator: str) -> None:
+    if _WORKING_FOR != [operator]:
+        _WORKING_FOR[:] = [operator]
+        for cache in _CACHES:
+            cache.cache_clear()
+        gc.collect()
+
+
+def by_batches(operator: str, run: Callable) -> Callable:
+    """``run``, a function from batches to batches, as a task of ``operator``."""
+
+    def task(batches):
+        _turn_to(operator)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def by_group(operator: str, run: Callable) -> Callable:
+    """``run``, a function from a group's table to a table, as a task of ``operator``."""
+
+    def task(table: pa.Table) -> pa.Table:
+        _turn_to(operator)
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return task
+
+
+def by_two_groups(operator: str, run: Callable) -> Callable:
+    """The same for a function of the tables of two groups."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        _turn_to(operator)
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return task
+
+
 # Arrow
 
 
@@ -162,7 +233,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     out = []

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from newsflow.llm.common import (
     BYTE_VALUES,
     buffers,
+    by_batches,
     chunks,
     free_name,
     prefix_sums,
@@ -391,7 +392,7 @@ def decontaminate(
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    found = source.mapInArrow(run, schema)
+    found = source.mapInArrow(by_batches("decontaminate", run), schema)
     return found.select(*[quoted(c) for c in [*rest, *RESULT.names]])
 
 

@@ -8,13 +8,12 @@ of the counts it falls in. Digests are compared by a bounded difference.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.common import buffers, chunks, free_name, mix, quoted, ship
+from newsflow.llm.common import buffers, by_batches, chunks, free_name, mix, quoted, ship, worker_cache
 
 BUCKETS = 256
 #: Offsets of the bytes of each triplet in the window.
@@ -27,7 +26,7 @@ STEP = np.array([0, 1, 2, 6], np.int64)
 BOUND = BUCKETS * 2
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def _bucket_table() -> np.ndarray:
     """The bucket of a triplet is its entry for two bytes, mixed with that of the third."""
     return (mix(np.arange(len(TRIPLETS) << 16, dtype=np.uint64)) >> np.uint64(40)).astype(np.uint32)
@@ -120,7 +119,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint") -
                 [*columns, pa.array(fingerprints_of(texts), pa.string())], schema.names
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(by_batches("fingerprints", run), schema)
 
 
 # Each document next to the one that follows it
@@ -232,7 +231,7 @@ def neighbour_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                         [r[4] for r in after],
                     )
 
-    return sorted_rows.mapInArrow(run, schema)
+    return sorted_rows.mapInArrow(by_batches("fingerprints", run), schema)
 
 
 def _cuts(rows: DataFrame) -> list[int]:

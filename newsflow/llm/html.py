@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsflow.llm.common import free_name, quoted, ship
+from newsflow.llm.common import by_batches, free_name, quoted, ship
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -317,4 +317,4 @@ def main_text(pages: DataFrame, html_column: str = "html", to: str = "text") ->
             texts = pa.array([extract(h) for h in found], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, texts], schema.names)
 
-    return source.mapInArrow(run, schema).withColumn("n_chars", F.length(to).cast("bigint"))
+    return source.mapInArrow(by_batches("main text", run), schema).withColumn("n_chars", F.length(to).cast("bigint"))

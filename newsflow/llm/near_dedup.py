@@ -15,7 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsflow.llm.common import buffers, chunks, cut, free_name, mix, prefix_sums, quoted, ship, span_hash
+from newsflow.llm.common import (
+    buffers,
+    by_batches,
+    by_group,
+    chunks,
+    cut,
+    free_name,
+    mix,
+    prefix_sums,
+    quoted,
+    ship,
+    span_hash,
+)
 from newsflow.llm.components import components
 from newsflow.llm.decontaminate import words
 
@@ -110,8 +122,8 @@ def idf_table(docs: DataFrame, text: str) -> np.ndarray:
         )
 
     schema = "slice int, counts binary, n long"
-    parts = docs.select(quoted(text)).mapInArrow(count, schema)
-    rows = sorted(parts.groupBy("slice").applyInArrow(add, schema).collect())
+    parts = docs.select(quoted(text)).mapInArrow(by_batches("near dedup", count), schema)
+    rows = sorted(parts.groupBy("slice").applyInArrow(by_group("near dedup", add), schema).collect())
     if not rows:
         return np.ones(1 << CELL_BITS, np.float32)
     df = np.concatenate([np.frombuffer(r.counts, "<i8") for r in rows])
@@ -215,7 +227,9 @@ def signatures(docs: DataFrame, text: str, idf, bands: int, rows: int) -> DataFr
                     names=["doc_id", "k1", "k2", "buckets"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, buckets array<long>")
+    return docs.mapInArrow(
+        by_batches("near dedup", run), "doc_id long, k1 long, k2 long, buckets array<long>"
+    )
 
 
 def contents(docs: DataFrame) -> DataFrame:
@@ -231,7 +245,7 @@ def contents(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "content"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, content binary")
+    return docs.mapInArrow(by_batches("near dedup", run), "doc_id long, content binary")
 
 
 def verified(pairs: DataFrame, content: DataFrame, idf, least: float) -> DataFrame:
@@ -251,7 +265,7 @@ def verified(pairs: DataFrame, content: DataFrame, idf, least: float) -> DataFra
             )
 
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(by_batches("near dedup", run), "a long, b long")
 
 
 def block_links(members: DataFrame, idf, least: float) -> DataFrame:
@@ -299,7 +313,9 @@ def block_links(members: DataFrame, idf, least: float) -> DataFrame:
                     b.append(ids[k])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long")
+    return spread.groupBy("bucket", "p", "q").applyInArrow(
+        by_group("near dedup", compare), "a long, b long"
+    )
 
 
 def near_duplicate_classes(

@@ -15,13 +15,22 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from newsflow.llm.common import buffers, chunks, code_points, free_name, quoted, ranges, ship, split_rows
+from newsflow.llm.common import (
+    buffers,
+    by_batches,
+    chunks,
+    code_points,
+    free_name,
+    quoted,
+    ranges,
+    ship,
+    split_rows,
+    worker_cache,
+)
 from newsflow.llm.pretokens import Store, look_up
 
 MARK = "▁"
@@ -188,7 +197,7 @@ class Pieces:
         return raw.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def _model(path: str, kind: str) -> tuple[Pieces, Store]:
     model = Pieces(path, kind)
     return model, Store(model.encode_words)
@@ -243,7 +252,7 @@ def encode(
                 columns += [split_rows(pa.array(ids), edges), pa.array(counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(by_batches("sentencepiece", run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -263,4 +272,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
             texts = [model.decode(x.as_py() or []) for x in lists]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(by_batches("sentencepiece", run), schema)

@@ -8,20 +8,19 @@ instead of by a regular expression.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
-from newsflow.llm.common import mix, prefix_sums, span_hash
+from newsflow.llm.common import mix, prefix_sums, span_hash, worker_cache
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Entries a worker keeps before it starts its store anew.
 STORE_LIMIT = 1_200_000
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def char_classes() -> np.ndarray:
     """The class of every code point."""
     import regex
@@ -73,7 +72,7 @@ def point_values(points: np.ndarray) -> np.ndarray:
     return table[points]
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def _point_table() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64))
 

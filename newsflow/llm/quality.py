@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.common import buffers, chunks, free_name, mix, quoted, ship
+from newsflow.llm.common import buffers, by_batches, chunks, free_name, mix, quoted, ship
 from newsflow.llm.decontaminate import words
 
 #: At most so many rows of each sample are used for the fit.
@@ -185,7 +185,7 @@ def _sample(texts: DataFrame, ids: DataFrame) -> np.ndarray:
                 )
 
     found = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    data, _ = buffers(found.mapInArrow(run, "x binary").toArrow().column(0))
+    data, _ = buffers(found.mapInArrow(by_batches("quality", run), "x binary").toArrow().column(0))
     return data.view("<f2").reshape(-1, WIDTH)
 
 
@@ -242,7 +242,7 @@ def score_quality(
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(by_batches("quality", run), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

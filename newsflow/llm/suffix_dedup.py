@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from newsflow.llm.common import (
     BYTE_VALUES,
     buffers,
+    by_group,
+    by_two_groups,
     chunks,
     free_name,
     pieces as group_count,
@@ -43,9 +45,9 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes by which suffixes are ordered before the cover's ranks are asked; at least PERIOD.
 PREFIX = 32
 #: Text bytes of a group of documents, and for each suffix bucket.
-GROUP_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+GROUP_BYTES, BUCKET_BYTES = 6 << 20, 6 << 20
 #: Bytes of pieces whose suffixes are sorted at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: An anchor of more documents than this is split by whole strings.
 HOT = 10_000
 _NONE = np.iinfo(np.int64).max
@@ -481,19 +483,23 @@ def suffix_dedup(
         return pa.table({n: columns[n] for n in schema.names})
 
     listed = source.groupBy(group_by).applyInArrow(
-        anchors, "bucket long, group long, anchors binary, counts binary"
+        by_group("suffix dedup", anchors), "bucket long, group long, anchors binary, counts binary"
     )
     alive = listed.groupBy("bucket").applyInArrow(
-        lambda t: living(t, hot), "group long, bucket long, alive binary, split binary"
+        by_group("suffix dedup", lambda t: living(t, hot)),
+        "group long, bucket long, alive binary, split binary",
     )
     sent = source.groupBy(group_by).cogroup(alive.groupBy("group")).applyInArrow(
-        send,
+        by_two_groups("suffix dedup", send),
         "bucket long, group long, keys binary, docs binary, sizes binary, single binary, bytes binary",
     )
     answered = sent.groupBy("bucket").applyInArrow(
-        lambda t: sort_bucket(t, length), "group long, hashes binary, least binary, masks binary, hot binary"
+        by_group("suffix dedup", lambda t: sort_bucket(t, length)),
+        "group long, hashes binary, least binary, masks binary, hot binary",
+    )
+    out = source.groupBy(group_by).cogroup(answered.groupBy("group")).applyInArrow(
+        by_two_groups("suffix dedup", apply), schema
     )
-    out = source.groupBy(group_by).cogroup(answered.groupBy("group")).applyInArrow(apply, schema)
     return out.select(*[quoted(c) for c in [*rest, *RESULT.names]])
 
 

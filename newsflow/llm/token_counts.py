@@ -7,19 +7,27 @@ rest, each distinct pre-token once per worker.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsflow.llm.common import buffers, chunks, code_points, free_name, put, quoted, ship
+from newsflow.llm.common import (
+    buffers,
+    by_batches,
+    chunks,
+    code_points,
+    free_name,
+    put,
+    quoted,
+    ship,
+    worker_cache,
+)
 from newsflow.llm.pretokens import ByteLevel, Store, apply, has_any
 
 LIMIT = 1024
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def _counter(path: str) -> tuple[ByteLevel, Store]:
     model = ByteLevel(path)
     return model, Store(model.encode, counts_only=True)
@@ -80,7 +88,7 @@ def token_counts(
                 [*columns, pa.array(size), pa.array(counts)], [*keep, "n_bytes", count]
             )
 
-    found = source.mapInArrow(run, schema)
+    found = source.mapInArrow(by_batches("token counts", run), schema)
     return put(
         found, n_tokens=quoted(count), over_limit=F.coalesce(quoted(count) > limit, F.lit(False))
     ).drop(count)

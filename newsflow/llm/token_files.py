@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +18,23 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsflow.llm.common import buffers, chunks, code_points, quoted, ranges, scratch, ship
+from newsflow.llm.common import (
+    buffers,
+    by_batches,
+    chunks,
+    code_points,
+    quoted,
+    ranges,
+    scratch,
+    ship,
+    worker_cache,
+)
 from newsflow.llm.pretokens import ByteLevel, Store, apply, has_any
 
 MANIFEST = "shard int, n_docs long, n_ids long, width int, path string"
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def _encoder(path: str) -> tuple[ByteLevel, Store]:
     model = ByteLevel(path)
     return model, Store(model.encode)
@@ -105,7 +114,8 @@ def write_shards(
             [pa.array(v, t) for v, t in zip(row, types)], names=[f.split()[0] for f in MANIFEST.split(", ")]
         )
 
-    return sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: r.shard)
+    written = ordered.mapInArrow(by_batches("token files", run), MANIFEST)
+    return sorted(written.collect(), key=lambda r: r.shard)
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
@@ -151,7 +161,10 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
                     )
 
     frame = spark.createDataFrame(shards, schema).repartition(max(1, len(shards)))
-    return frame.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return frame.mapInArrow(
+        by_batches("token files", run),
+        "doc_id long, start long, n_tokens long, ids_crc32 long",
+    )
 
 
 def token_files(
