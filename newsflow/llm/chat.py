@@ -79,9 +79,10 @@ def visit(part: Column) -> Column:
 
 def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation from rows of ``conv_id``, ``turn``, ``role`` and ``parts``
-    (an array of ``PART``): ``formatted``, ``loss_spans`` (start and length in code points
-    of ``formatted``, and in which turn), ``attachments`` (turn, part, type, ref, expanded
-    tokens), ``n_turns``, ``n_expanded`` and ``formatted_chars``.
+    (an array of ``PART``): ``formatted``, ``spans`` (of the content of every turn: start in
+    ``formatted`` and in the turn, length, all in code points, and whether it counts for the
+    loss), ``loss_spans`` (start and length of those that do), ``attachments`` (turn, part,
+    type, ref, expanded tokens), ``n_turns``, ``n_expanded`` and ``formatted_chars``.
 
     Turns are ordered by ``turn`` (null first), ties by role and content; repeated rows stay.
     A null role or text is empty, a null id is a conversation of its own, a part list that is
@@ -129,15 +130,18 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
             )
         ).alias("turns")
     )
-    span = F.transform(
-        F.filter("turns", lambda t: t["in_loss"]),
+    spans = F.transform(
+        "turns",
         lambda t: F.struct(
-            (t["nth"] - 1).alias("turn"),
             (t["at"] + F.length(t["head"])).alias("start"),
             F.length(t["head"]).alias("start_in_turn"),
             F.length(t["body"]).alias("length"),
+            t["in_loss"].alias("in_loss"),
         ),
     )
+    loss_spans = F.transform(
+        F.filter(spans, lambda s: s["in_loss"]), lambda s: F.struct(s["start"], s["length"])
+    )
     attached = F.flatten(
         F.transform(
             "turns",
@@ -158,7 +162,8 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.array_join(text, "").alias("formatted"),
-        span.alias("loss_spans"),
+        spans.alias("spans"),
+        loss_spans.alias("loss_spans"),
         attached.alias("attachments"),
         F.aggregate(attached, F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"]).alias(
             "n_expanded"
@@ -188,22 +193,22 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    turns = turns_of(formatted)
-    return F.transform(
-        spans,
-        lambda s: unescape(
-            F.substring(F.get(turns, s["turn"]), s["start_in_turn"] + 1, s["length"])
-        ),
-    )
+    """The unescaped texts under the loss mask, in order; other turns give an empty text.
+    Turns and spans go side by side, so the work grows with the conversation, not its square."""
+
+    def text(turn: Column, span: Column) -> Column:
+        content = F.substring(turn, span["start_in_turn"] + 1, span["length"])
+        return F.when(span["in_loss"], unescape(content)).otherwise(F.lit(""))
+
+    return F.zip_with(turns_of(formatted), spans, text)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, from ``formatted`` and ``loss_spans`` alone."""
+    """Digests of formatted conversations, from ``formatted`` and ``spans`` alone."""
     parsed = formatted.select(
         "conv_id",
         parse_turns(F.col("formatted")).alias("turns"),
-        F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+        F.array_join(loss_texts(F.col("formatted"), F.col("spans")), "").alias("loss"),
         "formatted_chars",
     )
     lines = F.transform(
