@@ -10,9 +10,9 @@ from newsflow.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of the links ``a``-``b``.
 
-    Each round is an aggregate per node and a join back, which Spark may split where a node
-    has very many links; edges are written to the shared folder after each round. Links of a
-    node to itself and repeated links are allowed; no links give no rows.
+    Each round is an aggregate per node and a join back, for which the links of a node are
+    dealt to several places; edges are written to the shared folder after each round. Links
+    of a node to itself and repeated links are allowed; no links give no rows.
     """
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = cut(pairs.where("a < b").distinct(), "links")
@@ -33,19 +33,31 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
+#: Places that the links of one node are dealt to.
+DEALT = 16
+
+
+def _beside(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (u, v) with the smallest node of ``u``, which is sent to every place."""
+    place = F.pmod(F.xxhash64("v"), F.lit(DEALT)).alias("place")
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")).alias("place")
+    return links.select("u", "v", place).join(least.select("u", "m", every), ["u", "place"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node sends its larger neighbours to its smallest one (or itself)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _ordered(both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")))
+    larger = both.where("v > u")
+    return _ordered(_beside(larger, least).select("v", F.col("m").alias("u")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node sends its smaller neighbours and itself to the smallest one."""
     down = edges.where("a < b").select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select("v", F.col("m").alias("u"))
+    moved = _beside(down, least).select("v", F.col("m").alias("u"))
     kept = least.select(F.col("u").alias("v"), F.col("m").alias("u"))
     return _ordered(moved.unionByName(kept))

@@ -367,7 +367,12 @@ def near_duplicate_classes(
     )
     unsettled = labelled.join(open_buckets.where("low < high").select("bucket"), "bucket", "left_semi")
     more = cut(block_links(unsettled.join(content, "doc_id"), idf, similarity), "links")
-    label = components(links.unionByName(more))
+    if not more.isEmpty():
+        # the stars found so far stand for their links
+        stars = label.where("node <> component").select(
+            F.col("component").alias("a"), F.col("node").alias("b")
+        )
+        label = components(stars.unionByName(more))
     class_of = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("class_id")
     )
