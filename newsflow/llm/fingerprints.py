@@ -13,7 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsflow.llm.common import buffers, by_batches, chunks, free_name, mix, quoted, ship, worker_cache
+from newsflow.llm.common import (
+    buffers,
+    by_batches,
+    chunks,
+    free_name,
+    mix,
+    quoted,
+    ship,
+    worker_cache,
+)
 
 BUCKETS = 256
 #: Offsets of the bytes of each triplet in the window.

@@ -67,7 +67,17 @@ _CLOSES = {
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "links", "density")
+    __slots__ = (
+        "tag",
+        "parent",
+        "children",
+        "noise",
+        "chars",
+        "tags",
+        "link_chars",
+        "links",
+        "density",
+    )
 
     def __init__(self, tag, parent, noise):
         self.tag, self.parent, self.noise = tag, parent, noise
@@ -258,9 +268,8 @@ def main_node(root: _Node, nodes: list[_Node]) -> _Node:
     for up in path[1:]:
         if up.tag in ("#root", "html", "body"):
             break
-        joins = any(
-            c not in path and not c.noise and c.chars and c.density >= threshold for c in up.children
-        )
+        beside = [c for c in up.children if c not in path and not c.noise and c.chars]
+        joins = any(c.density >= threshold for c in beside)
         if joins or up.tag in ("article", "main"):
             lowest = up
     return lowest
@@ -317,4 +326,5 @@ def main_text(pages: DataFrame, html_column: str = "html", to: str = "text") ->
             texts = pa.array([extract(h) for h in found], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, texts], schema.names)
 
-    return source.mapInArrow(by_batches("main text", run), schema).withColumn("n_chars", F.length(to).cast("bigint"))
+    found = source.mapInArrow(by_batches("main text", run), schema)
+    return found.withColumn("n_chars", F.length(to).cast("bigint"))

@@ -78,7 +78,8 @@ class Pieces:
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _TABLE_BITS)
+        mixed = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))
+        return mixed >> np.uint32(32 - _TABLE_BITS)
 
     def word_starts(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where words start: at texts and between characters that no piece joins."""
@@ -244,12 +245,16 @@ def encode(
             row = 0
             for counts, ids in encode_texts(texts, path, kind):
                 edges = np.append(0, np.cumsum(counts))
-                raw = ids.astype("<u4").view("u1").data
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip((edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist())]
+                raw, at = ids.astype("<u4").view("u1").data, (edges * 4).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
                 part = batch.slice(row, len(counts))
                 row += len(counts)
                 columns = [part.column(part.schema.get_field_index(c)) for c in rest]
-                columns += [split_rows(pa.array(ids), edges), pa.array(counts), pa.array(crc, pa.int64())]
+                columns += [
+                    split_rows(pa.array(ids), edges),
+                    pa.array(counts),
+                    pa.array(crc, pa.int64()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(by_batches("sentencepiece", run), schema)

@@ -148,7 +148,12 @@ def fit_nnpu(
         else:
             grad = np.concatenate([prior * gp, -gu])
         dh = grad[:, None] * params[2] * (z > 0)
-        grads = [x.T @ dh + decay * params[0], dh.sum(0), h.T @ grad + decay * params[2], grad.sum()[None]]
+        grads = [
+            x.T @ dh + decay * params[0],
+            dh.sum(0),
+            h.T @ grad + decay * params[2],
+            grad.sum()[None],
+        ]
         for a, g, m, v in zip(params, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)

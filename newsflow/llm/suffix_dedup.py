@@ -213,7 +213,9 @@ def _shared_bytes(words: list[np.ndarray], length: int) -> np.ndarray:
     return shared
 
 
-def earliest(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def earliest(
+    text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int = LENGTH
+) -> np.ndarray:
     """For each start the smallest of ``docs`` among the starts of equal strings."""
     best = docs.copy()
     if not len(starts):
@@ -271,11 +273,15 @@ def earliest(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int
 def sort_bucket(table: pa.Table, length: int) -> pa.Table:
     """Answers to the groups for the pieces of one bucket: the smallest document that holds
     the whole piece, and the strings of it that a still smaller one holds (as bits)."""
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")]
-    docs = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("docs")])
-    sizes = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("sizes")]).astype(np.int64)
-    single = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in table.column("single")]) > 0
-    text = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in table.column("bytes")])
+
+    def arrays(name: str, dtype: str) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
+
+    keys = arrays("keys", "<u8")
+    docs = np.concatenate(arrays("docs", "<i8"))
+    sizes = np.concatenate(arrays("sizes", "<u2")).astype(np.int64)
+    single = np.concatenate(arrays("single", "u1")) > 0
+    text = np.concatenate(arrays("bytes", "u1"))
     edges = np.append(0, np.cumsum([len(k) for k in keys]))
     key = np.concatenate(keys)
     at = np.append(0, np.cumsum(sizes))
@@ -331,11 +337,12 @@ def sort_bucket(table: pa.Table, length: int) -> pa.Table:
 
 # The steps on groups of documents
 
+_SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end")])
 RESULT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     + [
         T.StructField("kept_sha256", T.StringType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end")]))),
+        T.StructField("spans", T.ArrayType(_SPAN)),
     ]
 )
 
@@ -387,13 +394,16 @@ def suffix_dedup(
         bucket = (numbers >> _U(32)).astype(np.int64)
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         edge = np.append(at, len(bucket))
-        low = numbers.astype("<u4")
+
+        def parts(values: np.ndarray) -> pa.Array:
+            return pa.array([values[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+
         return pa.table(
             {
                 "bucket": pa.array(bucket[at], pa.int64()),
                 "group": pa.array([column(table, group_by)[0].as_py()] * len(at), pa.int64()),
-                "anchors": pa.array([low[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
-                "counts": pa.array([counts[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
+                "anchors": parts(numbers.astype("<u4")),
+                "counts": parts(counts),
             }
         )
 
@@ -411,7 +421,8 @@ def suffix_dedup(
                 for b, x, y in zip(*(answers.column(n) for n in ("bucket", "alive", "split")))
             )
             alive, split = np.zeros(len(numbers), bool), np.zeros(len(numbers), bool)
-            edge = np.searchsorted(numbers, np.array([[b, b + 1] for b, _, _ in bits], _U) << _U(32))
+            borders = np.array([[b, b + 1] for b, _, _ in bits], _U) << _U(32)
+            edge = np.searchsorted(numbers, borders)
             for (_, x, y), (a, b) in zip(bits, edge.tolist()):
                 alive[a:b] = np.unpackbits(np.frombuffer(x, "u1"), count=b - a)
                 split[a:b] = np.unpackbits(np.frombuffer(y, "u1"), count=b - a)
@@ -422,7 +433,8 @@ def suffix_dedup(
             order, first = _distinct(found.hash[kept], ids[found.row[kept]])
             kept = kept[order[first]]
             single = _found(found.key[kept], parted)
-            bucket = np.where(single, found.hash[kept] % _U(buckets), found.key[kept] >> _U(32)).astype(np.int64)
+            bucket = np.where(single, found.hash[kept] % _U(buckets), found.key[kept] >> _U(32))
+            bucket = bucket.astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             kept, single, bucket = kept[order], single[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -463,22 +475,22 @@ def suffix_dedup(
         kept_at = offsets - sums[offsets]
         parts = [kept_bytes[a:b] for a, b in zip(kept_at.tolist(), kept_at[1:].tolist())]
         base = np.repeat(offsets[:-1], np.diff(of))
+        places = [pa.array(starts - base), pa.array(ends - base)]
         spans = pa.ListArray.from_arrays(
-            pa.array(of.astype(np.int32)),
-            pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["start", "end"]),
+            pa.array(of.astype(np.int32)), pa.StructArray.from_arrays(places, ["start", "end"])
         )
         columns = {c: column(table, c) for c in carried}
         if keep_text:
             known = texts.is_valid().to_pylist()
-            columns[text] = pa.array(
-                [p.decode("utf-8", "ignore") if k else None for p, k in zip(parts, known)], pa.string()
-            )
+            kept = [p.decode("utf-8", "ignore") if k else None for p, k in zip(parts, known)]
+            columns[text] = pa.array(kept, pa.string())
         elif text in rest:
             columns[text] = texts
         columns["n_bytes"] = pa.array(np.diff(offsets))
         columns["n_removed"] = pa.array(np.diff(sums[offsets]))
         columns["n_spans"] = pa.array(np.diff(of))
-        columns["kept_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
+        digests = [hashlib.sha256(p).hexdigest() for p in parts]
+        columns["kept_sha256"] = pa.array(digests, pa.string())
         columns["spans"] = spans
         return pa.table({n: columns[n] for n in schema.names})
 
@@ -491,7 +503,8 @@ def suffix_dedup(
     )
     sent = source.groupBy(group_by).cogroup(alive.groupBy("group")).applyInArrow(
         by_two_groups("suffix dedup", send),
-        "bucket long, group long, keys binary, docs binary, sizes binary, single binary, bytes binary",
+        "bucket long, group long, keys binary, docs binary, sizes binary, single binary, "
+        "bytes binary",
     )
     answered = sent.groupBy("bucket").applyInArrow(
         by_group("suffix dedup", lambda t: sort_bucket(t, length)),

@@ -68,7 +68,9 @@ def with_end(counts: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 def _filesystem(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    if "://" not in uri and not uri.startswith("file:"):
+        uri = f"file://{uri}"
+    return pyarrow.fs.FileSystem.from_uri(uri)
 
 
 def write_shards(
@@ -111,7 +113,8 @@ def write_shards(
         row = [context.partitionId()], [sum(map(len, keys))], [total], [width], [name]
         types = pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(row, types)], names=[f.split()[0] for f in MANIFEST.split(", ")]
+            [pa.array(v, t) for v, t in zip(row, types)],
+            names=[f.split()[0] for f in MANIFEST.split(", ")],
         )
 
     written = ordered.mapInArrow(by_batches("token files", run), MANIFEST)
