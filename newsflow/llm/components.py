@@ -41,7 +41,9 @@ def _beside(links: DataFrame, least: DataFrame) -> DataFrame:
     """Links (u, v) with the smallest node of ``u``, which is sent to every place."""
     place = F.pmod(F.xxhash64("v"), F.lit(DEALT)).alias("place")
     every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")).alias("place")
-    return links.select("u", "v", place).join(least.select("u", "m", every), ["u", "place"])
+    # never a broadcast: the optimizer sees the size of the side before it is multiplied
+    dealt = least.select("u", "m", every).hint("merge")
+    return links.select("u", "v", place).join(dealt, ["u", "place"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
