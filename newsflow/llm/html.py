@@ -2,7 +2,8 @@
 
 Every DOM node gets its characters per tag, adjusted for links. The node whose children's
 densities sum highest is the core; the lowest density on its path from the body is the
-threshold by which other dense subtrees join it. Their lowest common ancestor is read out.
+threshold by which other dense subtrees join it. Their lowest common ancestor is read out;
+where that is the body or what holds it, the core's part of it and all that joins there are.
 """
 
 from __future__ import annotations
@@ -54,6 +55,11 @@ _CONTENT_WORDS = set("article content entry main post story text body".split())
 _SOFT_WORDS = {"header", "masthead", "copyright"}
 _STATE_WORDS = set("has no with without is not".split())
 _KEEPERS = {"html", "body", "article", "main"}
+_TOPS = ("#root", "html", "body")
+#: What lies directly in the body joins if it is so many times as dense as a part of its size
+#: of the sparsest node on the core's path: sections of one article differ in density, while
+#: lists of links have next to none.
+LIKE = 0.5
 #: What a start tag closes if it is still open, up to the given borders.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -235,26 +241,31 @@ def densities(root: _Node, pieces) -> list[_Node]:
     body = root
     share = body.link_chars / max(body.chars, 1)
     for x in nodes:
-        if not x.chars:
-            continue
-        tags, link_chars, links = max(x.tags, 1), max(x.link_chars, 1), max(x.links, 1)
-        plain = max(x.chars - x.link_chars, 1)
-        base = math.log(x.chars / plain * link_chars + share * x.chars + math.e)
-        ratio = x.chars * tags / (link_chars * links)
-        if ratio > 1:
-            x.density = x.chars / tags * math.log(ratio) / math.log(base)
+        x.density = _density(x.chars, x.tags, x.link_chars, x.links, share)
     return nodes
 
 
-def main_node(root: _Node, nodes: list[_Node]) -> _Node:
-    """The lowest node that holds the core and all subtrees dense enough to join it."""
+def _density(chars: float, tags: float, link_chars: float, links: float, share: float) -> float:
+    """``share`` is that of the characters in links in the whole page."""
+    if not chars:
+        return 0.0
+    plain = max(chars - link_chars, 1)
+    tags, link_chars, links = max(tags, 1), max(link_chars, 1), max(links, 1)
+    base = math.log(chars / plain * link_chars + share * chars + math.e)
+    ratio = chars * tags / (link_chars * links)
+    return chars / tags * math.log(ratio) / math.log(base) if ratio > 1 else 0.0
+
+
+def main_node(root: _Node, nodes: list[_Node]) -> tuple[_Node, list[_Node]]:
+    """The lowest node below the body that holds the core and all subtrees dense enough to
+    join it, and the path from the core up."""
 
     def total(x):
         return sum(c.density for c in x.children if not c.noise)
 
     live = [x for x in nodes if x.chars]
     if not live:
-        return root
+        return root, [root]
     core = max(live, key=lambda x: (total(x), x.density))
     path = []
     x = core
@@ -266,13 +277,92 @@ def main_node(root: _Node, nodes: list[_Node]) -> _Node:
     # article element is never cut
     lowest = core
     for up in path[1:]:
-        if up.tag in ("#root", "html", "body"):
+        if up.tag in _TOPS:
             break
         beside = [c for c in up.children if c not in path and not c.noise and c.chars]
         joins = any(c.density >= threshold for c in beside)
         if joins or up.tag in ("article", "main"):
             lowest = up
-    return lowest
+    return lowest, path
+
+
+def beside(root: _Node, pieces, lowest: _Node, path: list[_Node]) -> set[int]:
+    """The pieces outside ``lowest`` that join it directly in the body, or in what holds it.
+
+    Candidates are blocks, and runs of text and inline elements between blocks. Dense ones
+    join, and headings of what is read: those with some of it ahead of the next heading of
+    the same or a higher rank.
+    """
+    tops = {id(x) for x in path[path.index(lowest) + 1 :] if x.tag in _TOPS}
+    under: dict[int, _Node] = {}
+    for x in _walk(root):
+        free = id(x) in tops or x.parent is None or id(x.parent) in tops
+        under[id(x)] = x if free else under[id(x.parent)]
+    blocks = {id(under[id(n)]) for n, text in pieces if text is None}
+    blocks = (blocks | {id(u) for u in under.values() if u.tag in _BLOCK}) - tops
+    # members of each candidate, and where its pieces are
+    units: list[tuple[list[_Node], list[int]]] = []
+    of_block: dict[int, int] = {}
+    run = None
+    for k, (node, text) in enumerate(pieces):
+        u = under[id(node)]
+        if id(u) in blocks:
+            run = None
+            at = of_block.setdefault(id(u), len(units))
+            if at == len(units):
+                units.append(([u], []))
+            units[at][1].append(k)
+        elif text is None:
+            run = None
+        elif not node.noise:
+            if run is None:
+                run = len(units)
+                units.append(([], []))
+            members, places = units[run]
+            places.append(k)
+            if id(u) not in tops and not any(u is m for m in members[-1:]):
+                members.append(u)
+    share = root.link_chars / max(root.chars, 1)
+    threshold = min(x.density for x in path)
+    on_path = {id(x) for x in path}
+
+    def joins(members, places):
+        if any(id(m) in on_path for m in members):
+            return True
+        chars = sum(len("".join((pieces[k][1] or "").split())) for k in places if not pieces[k][0].noise)
+        single = len(members) == 1 and id(members[0]) in blocks
+        tags = sum(m.tags + (not single) for m in members)
+        links = sum(m.links + (not single and m.tag == "a") for m in members)
+        found = _density(chars, tags, sum(m.link_chars for m in members), links, share)
+        size = max(tags, 1)
+        like = min(
+            _density(*(v * size / max(x.tags, 1) for v in (x.chars, x.tags, x.link_chars, x.links)), share)
+            for x in path
+        )
+        return found > 0 and found >= min(threshold, LIKE * like)
+
+    def rank(members):
+        """That of a heading which is all the text of a unit, else 0."""
+        x = members[0] if len(members) == 1 else None
+        while x is not None and not re.fullmatch("h[1-6]", x.tag):
+            x = next((c for c in x.children if not c.noise and c.chars and c.chars == x.chars), None)
+        return int(x.tag[1]) if x is not None and x.chars else 0
+
+    kept = [joins(*u) for u in units]
+    # the least rank of the headings between here and the next that is read; 0 if nothing is
+    reach = 0
+    for k in range(len(units) - 1, -1, -1):
+        if found := rank(units[k][0]):
+            kept[k] = kept[k] or reach > found
+            reach = min(reach, found)
+        elif kept[k]:
+            reach = 7
+    out = set()
+    for (members, places), joined in zip(units, kept):
+        # of the path's own block, only what ``lowest`` holds is read
+        if joined and not (len(members) == 1 and id(members[0]) in on_path and id(members[0]) in blocks):
+            out.update(places)
+    return out
 
 
 def extract(page: str | None) -> str:
@@ -280,7 +370,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root, pieces = parse(page)
-    top = main_node(root, densities(root, pieces))
+    top, path = main_node(root, densities(root, pieces))
+    joined = beside(root, pieces, top, path) if top is not root else set()
     within: dict[int, bool] = {id(top): True}
 
     def inside(x):
@@ -294,12 +385,12 @@ def extract(page: str | None) -> str:
         return found
 
     blocks, current = [], []
-    for node, text in pieces:
+    for k, (node, text) in enumerate(pieces):
         if text is None:
             if current:
                 blocks.append(" ".join("".join(current).split()))
                 current = []
-        elif not node.noise and inside(node):
+        elif not node.noise and (k in joined or inside(node)):
             current.append(text)
     if current:
         blocks.append(" ".join("".join(current).split()))

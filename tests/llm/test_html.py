@@ -67,6 +67,36 @@ def test_dense_siblings_join_and_links_do_not():
     assert got.count("short") == 3 and "topic" not in got
 
 
+def paragraphs(name, n, size):
+    return "".join(f"<p>{name}{k} {'w' * (size - 4)}</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("wrap", ["<html><body>{}</body></html>", "{}"])
+@pytest.mark.parametrize(
+    "sections",
+    [[(3, 200), (3, 200)], [(4, 200), (4, 200)], [(10, 200), (8, 200), (6, 200), (3, 200)], [(10, 220), (9, 160)]],
+)
+def test_an_article_in_sections_directly_under_body(sections, wrap):
+    links = "<div>" + "".join(f"<a href=x>topic {k}</a> " for k in range(30)) + "</div>"
+    body = "".join(f"<section><h2>S{i}</h2>{paragraphs(f's{i}', n, size)}</section>" for i, (n, size) in enumerate(sections))
+    got = extract(wrap.format(f"{links}<h1>Title</h1>{body}{links}"))
+    want = ["Title"]
+    for i, (n, size) in enumerate(sections):
+        want += [f"S{i}", *(f"s{i}{k} {'w' * (size - 4)}" for k in range(n))]
+    assert got == "\n".join(want)
+
+
+def test_headings_and_loose_text_directly_under_body():
+    text = paragraphs("p", 4, 200)
+    lines = [f"p{k} {'w' * 196}" for k in range(4)]
+    page = f"<body><div><h1>Title</h1></div><p>By me</p><h2>Part</h2><div class=content>{text}</div><h2>Links</h2>"
+    page += "<ul><li><a href=x>one</a><li><a href=x>two</a></ul></body>"
+    assert extract(page) == "\n".join(["Title", "Part", *lines])
+    loose = "loose words " * 20
+    page = f"<body><div>{text}</div>{loose}<b>bold</b> <a href=x>link</a> end<div><a href=x>Home</a></div> | </body>"
+    assert extract(page) == "\n".join([*lines, f"{loose}bold link end"])
+
+
 def test_density_of_links_is_lower():
     root, pieces = parse("<body><p>" + "x" * 100 + "</p><p><a>" + "x" * 100 + "</a></p></body>")
     found = [n.density for n in densities(root, pieces) if n.tag == "p"]
