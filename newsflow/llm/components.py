@@ -37,7 +37,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
 DEALT = 16
 
 
-def _beside(links: DataFrame, least: DataFrame) -> DataFrame:
+def beside(links: DataFrame, least: DataFrame) -> DataFrame:
     """Links (u, v) with the smallest node of ``u``, which is sent to every place."""
     place = F.pmod(F.xxhash64("v"), F.lit(DEALT)).alias("place")
     every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")).alias("place")
@@ -53,13 +53,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = both.where("v > u")
-    return _ordered(_beside(larger, least).select("v", F.col("m").alias("u")))
+    return _ordered(beside(larger, least).select("v", F.col("m").alias("u")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node sends its smaller neighbours and itself to the smallest one."""
     down = edges.where("a < b").select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _beside(down, least).select("v", F.col("m").alias("u"))
+    moved = beside(down, least).select("v", F.col("m").alias("u"))
     kept = least.select(F.col("u").alias("v"), F.col("m").alias("u"))
     return _ordered(moved.unionByName(kept))

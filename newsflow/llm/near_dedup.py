@@ -1,10 +1,12 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Texts become sets of word shingles weighted by term frequency times inverse document
-frequency. Document frequencies are counted over all texts in a fixed number of hashed
-cells. Each text is sampled consistently (equal samples with the probability of the weighted
-Jaccard similarity), samples are banded into buckets, and links are verified by the weighted
-Jaccard similarity itself. Classes are the connected components.
+frequency. Document frequencies are counted in a fixed number of hashed cells, once over all
+texts and once over the different word sequences: many exact copies make their own shingles
+common, and near copies of them would be lost by the first weights alone. Each text is sampled
+consistently (equal samples with the probability of the weighted Jaccard similarity), samples
+are banded into buckets, and links are verified by the weighted Jaccard similarity itself, by
+either weights. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from newsflow.llm.common import (
     ship,
     span_hash,
 )
-from newsflow.llm.components import components
+from newsflow.llm.components import beside, components
 from newsflow.llm.decontaminate import words
 
 SHINGLE = 5
@@ -38,6 +40,8 @@ BANDS, ROWS = 12, 3
 #: Document frequencies are kept for so many hashed cells, whatever the number of texts.
 CELL_BITS = 18
 SLICES = 32
+#: Texts that lose a larger share of their weight to copies are sampled by both weights.
+LOSS = 0.02
 #: Members of a bucket that one comparison block holds.
 BLOCK = 48
 _U = np.uint64
@@ -50,8 +54,6 @@ class Shingles:
     first: np.ndarray  # where each text's shingles start, one more than texts
     hashes: np.ndarray
     counts: np.ndarray
-    keys: np.ndarray  # two hashes of each text's word sequence
-    n_words: np.ndarray
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Shingles:
@@ -60,8 +62,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Shin
     _, _, word, n_words = words(data, offsets)
     ends = np.cumsum(n_words)
     starts = ends - n_words
-    sums, other = prefix_sums(word), prefix_sums(mix(word ^ _U(0x5851F42D4C957F2D)))
-    keys = np.stack([span_hash(sums, starts, ends), span_hash(other, starts, ends)], 1)
+    sums = prefix_sums(word)
     per = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
     owner = np.repeat(np.arange(n), per)
     at = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + starts[owner]
@@ -73,7 +74,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Shin
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(value)))
     first = np.searchsorted(owner[at], np.arange(n + 1))
-    return Shingles(first, value[at], counts, keys, n_words)
+    return Shingles(first, value[at], counts)
+
+
+def sequence_keys(data: np.ndarray, offsets: np.ndarray):
+    """Two hashes of each text's word sequence, and whether it has words."""
+    _, _, word, n_words = words(data, offsets)
+    ends = np.cumsum(n_words)
+    starts = ends - n_words
+    each = (prefix_sums(w) for w in (word, mix(word ^ _U(0x5851F42D4C957F2D))))
+    return *(span_hash(sums, starts, ends) for sums in each), n_words > 0
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
@@ -88,7 +98,7 @@ def runs(texts: pa.Array):
 
 
 def idf_table(docs: DataFrame, text: str) -> np.ndarray:
-    """ln(1 + texts / frequency) for each cell, counted over all texts."""
+    """ln(1 + texts / frequency) for each cell, counted over all rows of ``docs``."""
     width = (1 << CELL_BITS) // SLICES
 
     def count(batches):
@@ -205,35 +215,67 @@ def _unpack(raw: bytes):
     return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.float64)
 
 
-def signatures(docs: DataFrame, text: str, idf, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1 and k2 (of the word sequence; null without words), buckets."""
+def keyed(docs: DataFrame, with_text: bool) -> DataFrame:
+    """doc_id, k1 and k2 (of the word sequence; null without words) from doc_id and text."""
+    names = ["doc_id", "k1", "k2"] + ["text"] * with_text
 
     def run(batches):
-        table = idf.value
         for batch in batches:
-            for i, j, s in runs(batch.column(1)):
-                buckets = band_keys(sample(s, table, bands * rows), bands, rows)
-                empty = s.n_words == 0
-                lists = np.arange(j - i + 1) * bands
+            data, offsets = buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                k1, k2, filled = sequence_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                keys = [pa.array(k.view(np.int64), mask=~filled) for k in (k1, k2)]
+                columns = [batch.column(0).slice(i, j - i), *keys, batch.column(1).slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+
+    schema = "doc_id long, k1 long, k2 long" + ", text string" * with_text
+    return docs.mapInArrow(by_batches("near dedup", run), schema)
+
+
+def lighter(s: Shingles, rows: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Whether a text weighs less by ``rows``, the weights over all rows, than by ``texts``, those
+    over the different texts, scaled so that no shingle weighs more by ``rows``. Where one of two
+    texts loses a share of at most LOSS, their similarity falls by at most LOSS."""
+    n, at = len(s.first) - 1, cells(s.hashes)
+    owner = np.repeat(np.arange(n), np.diff(s.first))
+    have = np.bincount(owner, s.counts * rows[at], n)
+    full = np.bincount(owner, s.counts * texts[at], n) * float((rows / texts).max())
+    return have < (1 - LOSS) * full
+
+
+def signatures(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
+    """node, rep and buckets, from node, rep and text."""
+
+    def run(batches):
+        first, *others = idf.value
+        for batch in batches:
+            for i, j, s in runs(batch.column(2)):
+                keys = band_keys(sample(s, first, bands * rows), bands, rows)
+                owner = np.arange(j - i)
+                for table in others:
+                    again = lighter(s, first, table)
+                    per = np.diff(s.first)
+                    part = np.repeat(again, per)
+                    edge = np.append(0, np.cumsum(per[again]))
+                    some = Shingles(edge, s.hashes[part], s.counts[part])
+                    more = band_keys(sample(some, table, bands * rows), bands, rows)
+                    owner = np.append(owner, np.flatnonzero(again))
+                    keys = np.concatenate([keys, more])
+                order = np.argsort(owner, kind="stable")
+                edges = np.append(0, np.cumsum(np.bincount(owner, minlength=j - i))) * bands
+                values = pa.array(keys[order].reshape(-1).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        pa.array(s.keys[:, 0].view(np.int64), mask=empty),
-                        pa.array(s.keys[:, 1].copy().view(np.int64), mask=empty),
-                        pa.ListArray.from_arrays(
-                            pa.array(lists.astype(np.int32)), pa.array(buckets.reshape(-1).view(np.int64))
-                        ),
-                    ],
-                    names=["doc_id", "k1", "k2", "buckets"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists],
+                    names=["node", "rep", "buckets"],
                 )
 
-    return docs.mapInArrow(
-        by_batches("near dedup", run), "doc_id long, k1 long, k2 long, buckets array<long>"
-    )
+    found = texts.mapInArrow(by_batches("near dedup", run), "node long, rep long, buckets array<long>")
+    return found.withColumn("buckets", F.array_distinct("buckets"))
 
 
-def contents(docs: DataFrame) -> DataFrame:
-    """doc_id and its packed shingles, from doc_id and text."""
+def contents(texts: DataFrame) -> DataFrame:
+    """node and its packed shingles, from node and text."""
 
     def run(batches):
         for batch in batches:
@@ -242,23 +284,27 @@ def contents(docs: DataFrame) -> DataFrame:
                 packed = [_pack(s.hashes[a:b], s.counts[a:b]) for a, b in zip(f[:-1], f[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())],
-                    names=["doc_id", "content"],
+                    names=["node", "content"],
                 )
 
-    return docs.mapInArrow(by_batches("near dedup", run), "doc_id long, content binary")
+    return texts.mapInArrow(by_batches("near dedup", run), "node long, content binary")
 
 
 def verified(pairs: DataFrame, content: DataFrame, idf, least: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose weighted Jaccard similarity is at least ``least``."""
-    left = content.select(F.col("doc_id").alias("a"), F.col("content").alias("left"))
-    right = content.select(F.col("doc_id").alias("b"), F.col("content").alias("right"))
+    """The pairs ``a``, ``b`` whose weighted Jaccard similarity is at least ``least`` by one of
+    the weights."""
+    left = content.select(F.col("node").alias("a"), F.col("content").alias("left"))
+    right = content.select(F.col("node").alias("b"), F.col("content").alias("right"))
 
     def run(batches):
-        table = idf.value
+        tables = idf.value
         for batch in batches:
             near = [
-                weighted_jaccard(_unpack(x.as_py()), _unpack(y.as_py()), table) >= least
-                for x, y in zip(batch.column(2), batch.column(3))
+                any(weighted_jaccard(*both, t) >= least for t in tables)
+                for both in (
+                    (_unpack(x.as_py()), _unpack(y.as_py()))
+                    for x, y in zip(batch.column(2), batch.column(3))
+                )
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(near, pa.bool_())
@@ -270,10 +316,10 @@ def verified(pairs: DataFrame, content: DataFrame, idf, least: float) -> DataFra
 
 def block_links(members: DataFrame, idf, least: float) -> DataFrame:
     """Links between members of a bucket that are in different components. ``members`` has
-    bucket, n (members of the bucket), doc_id, component and content. A bucket is compared
-    block by block; only links come out."""
+    bucket, n (members of the bucket), node, component and content. A bucket is compared
+    block by block; only links come out, and none between members that others already join."""
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("own", own)
     # every block meets every other one, and itself, in one place
     meets = F.transform(
@@ -281,36 +327,38 @@ def block_links(members: DataFrame, idf, least: float) -> DataFrame:
         lambda k: F.struct(F.least(k, F.col("own")).alias("p"), F.greatest(k, F.col("own")).alias("q")),
     )
     spread = placed.withColumn("at", F.explode(meets)).select(
-        "bucket", "at.p", "at.q", "own", "doc_id", "component", "content"
+        "bucket", "at.p", "at.q", "own", "node", "component", "content"
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        idf_of = idf.value
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        own = table.column("own").to_numpy()
-        ids = table.column("doc_id").to_numpy()
-        label = table.column("component").to_numpy()
-        sets = [_unpack(c.as_py()) for c in table.column("content")]
+    def compare(group: pa.Table) -> pa.Table:
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        own = group.column("own").to_numpy()
+        nodes = group.column("node").to_numpy()
+        label = group.column("component").to_numpy()
+        sets = [_unpack(c.as_py()) for c in group.column("content")]
         distinct, where = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
-        weight = np.zeros((len(sets), len(distinct)), np.float32)
+        counts = np.zeros((len(sets), len(distinct)), np.float32)
         row = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-        weight[row, where] = np.concatenate([s[1] for s in sets])
-        weight *= idf_of[cells(distinct)]
-        size = weight.sum(1, dtype=np.float64)
+        counts[row, where] = np.concatenate([s[1] for s in sets])
+        label = label.copy()
         a, b = [], []
-        for i in range(len(sets)):
-            if p != q and own[i] != p:
-                continue
-            others = np.flatnonzero((label != label[i]) & (own == q) & ((ids > ids[i]) | (p != q)))
-            if not len(others):
-                continue
-            mine = weight[i] > 0
-            shared = np.minimum(weight[others][:, mine], weight[i, mine]).sum(1, dtype=np.float64)
-            near = shared >= (least - 1e-6) * (size[others] + size[i] - shared)
-            for k in others[near]:
-                if weighted_jaccard(sets[i], sets[k], idf_of) >= least:
-                    a.append(ids[i])
-                    b.append(ids[k])
+        for table in idf.value:
+            weight = counts * table[cells(distinct)]
+            size = weight.sum(1, dtype=np.float64)
+            for i in range(len(sets)):
+                if p != q and own[i] != p:
+                    continue
+                others = np.flatnonzero((label != label[i]) & (own == q) & ((nodes > nodes[i]) | (p != q)))
+                if not len(others):
+                    continue
+                mine = weight[i] > 0
+                shared = np.minimum(weight[others][:, mine], weight[i, mine]).sum(1, dtype=np.float64)
+                near = shared >= (least - 1e-6) * (size[others] + size[i] - shared)
+                for k in others[near]:
+                    if label[k] != label[i] and weighted_jaccard(sets[i], sets[k], table) >= least:
+                        a.append(nodes[i])
+                        b.append(nodes[k])
+                        label[label == label[k]] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.groupBy("bucket", "p", "q").applyInArrow(
@@ -318,69 +366,80 @@ def block_links(members: DataFrame, idf, least: float) -> DataFrame:
     )
 
 
-def near_duplicate_classes(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    similarity: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """``doc_id`` and ``class_id`` (the smallest id of its class) for every row.
-
-    Two texts are linked if their words are the same, or if they meet in a bucket and the
-    weighted Jaccard similarity of their shingles is at least ``similarity``; classes are
-    connected components. In a bucket everyone is compared with the smallest id first; where
-    more than one component is left, members of different ones are compared with each other.
-
-    Texts without words (null, empty, signs only) are linked to nothing. A null id is a class
-    of its own, whose class_id is null; rows that share an id are in one class. An empty
-    table gives no rows.
-    """
+def text_classes(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """``doc_id`` and ``class_id`` of every row by its text alone, from doc_id and text."""
     spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(source, "text"))
-    signed = cut(signatures(source, "text", idf, bands, rows), "signatures")
-    worded = signed.where("doc_id is not null and k1 is not null")
-    # one representative for each word sequence
-    shortest = worded.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.min_by("buckets", "doc_id").alias("buckets")
-    )
-    reps = cut(shortest, "representatives")
-    met = reps.select("rep", F.explode("buckets").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"))
-    shared = shared.where("n > 1")
-    members = cut(met.join(shared, "bucket").select("bucket", "n", "pivot", "rep"), "buckets")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = source.join(involved, "doc_id", "left_semi")
-    content = cut(contents(texts.dropDuplicates(["doc_id"])), "shingles")
-    pairs = members.where("pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    keys = cut(keyed(docs, with_text=False), "keys")
+    # one node for each word sequence, whatever the ids of its rows
+    unique = keyed(docs, with_text=True).where("k1 is not null").groupBy("k1", "k2")
+    unique = unique.agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
+    unique = cut(unique.withColumn("node", F.monotonically_increasing_id()), "texts")
+    weights = [idf_table(docs, "text")]
+    if keys.count() > unique.count():
+        weights.append(idf_table(unique, "text"))
+    idf = spark.sparkContext.broadcast(weights)
+    unique = unique.where("rep is not null")
+    met = cut(signatures(unique.select("node", "rep", "text"), idf, bands, rows), "signatures")
+    met = met.select("node", "rep", F.explode("buckets").alias("bucket"))
+    smallest = F.min(F.struct("rep", "node"))["node"].alias("pivot")
+    shared = met.groupBy("bucket").agg(smallest, F.count("*").alias("n")).where("n > 1")
+    members = cut(met.join(shared, "bucket").select("bucket", "n", "pivot", "node"), "buckets")
+    texts = unique.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    content = cut(contents(texts), "shingles")
+    pairs = members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = cut(verified(pairs.distinct(), content, idf, similarity), "links")
     # buckets with more than one component left
     label = components(links)
-    labelled = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "n", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component")
+    labelled = members.join(label, "node", "left").select(
+        "bucket", "n", "node", F.coalesce("component", "node").alias("component")
     )
     open_buckets = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
     unsettled = labelled.join(open_buckets.where("low < high").select("bucket"), "bucket", "left_semi")
-    more = cut(block_links(unsettled.join(content, "doc_id"), idf, similarity), "links")
+    more = cut(block_links(unsettled.join(content, "node"), idf, similarity), "links")
     if not more.isEmpty():
         # the stars found so far stand for their links
         stars = label.where("node <> component").select(
             F.col("component").alias("a"), F.col("node").alias("b")
         )
         label = components(stars.unionByName(more))
-    class_of = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("class_id")
+    reps = unique.select("k1", "k2", "node", "rep")
+    least = label.join(reps, "node").groupBy(F.col("component").alias("u")).agg(F.min("rep").alias("m"))
+    found = beside(label.select(F.col("component").alias("u"), F.col("node").alias("v")), least)
+    class_of = reps.join(found.select(F.col("v").alias("node"), "m"), "node", "left").select(
+        "k1", "k2", F.coalesce("m", "rep").alias("class_id")
     )
-    return signed.join(class_of, ["k1", "k2"], "left").select(
+    return keys.join(class_of, ["k1", "k2"], "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
     )
 
 
+def near_duplicate_classes(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``doc_id`` and ``class_id`` (the smallest id of its class) for every row.
+
+    Two texts are linked if their words are the same, or if they meet in a bucket and the
+    weighted Jaccard similarity of their shingles is at least ``similarity``, with frequencies
+    counted over all rows or over the different texts; classes are connected components. In a
+    bucket everyone is compared with the smallest id first; where more than one component is
+    left, members of different ones are compared with each other.
+
+    Texts without words (null, empty, signs only) are linked to nothing. A null id is a class
+    of its own, whose class_id is null; rows that share an id are in one class. An empty
+    table gives no rows.
+    """
+    ship(docs.sparkSession)
+    source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    return text_classes(source, similarity, bands, rows)
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` without the rows whose class holds a smaller id. Rows with a null id stay;
     of rows that repeat an id all or none stay."""

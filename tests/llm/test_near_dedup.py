@@ -148,6 +148,21 @@ def test_exact_copies_in_great_number(spark):
     assert {r.class_id: r["count"] for r in got} == {0: 3000, 9000: 1}
 
 
+@pytest.mark.parametrize("edits, share", [(1, 3), (1, 5)])
+def test_near_copies_of_a_text_that_many_rows_repeat(spark, edits, share):
+    rnd = random.Random(share)
+    words = [f"wort{i}" for i in range(5000)]
+    hot = [rnd.choice(words) for _ in range(100)]
+    near = list(hot)
+    for k in range(edits):
+        near[30 + 40 * k] = f"other{k}"
+    rows = [(k, " ".join(hot if k % share == 0 else rnd.choices(words, k=100))) for k in range(1500)]
+    rows.append((9000, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()}
+    assert got == {k: 0 if k % share == 0 else k for k in range(1500)} | {9000: 0}
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     rnd = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(500, k) for k in range(501, 560)]
