@@ -359,7 +359,8 @@ def decontaminate(
     and empty texts have no words and are not contaminated, items without words give no
     window, a null item id counts as the empty string, and equal items are all reported.
     Rows are independent of each other. Columns of ``docs`` named like a result are
-    replaced. The benchmark passes through the driver in blocks of ``BLOCK_BYTES``.
+    replaced. The benchmark passes through the driver in blocks of ``BLOCK_BYTES``,
+    and each worker holds all blocks: it must fit the memory of both.
     """
     ship(docs.sparkSession)
     blocks = list(benchmark_blocks(benchmark, item_id, item_text, window))
