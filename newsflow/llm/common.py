@@ -63,7 +63,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which ends its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._newsflow_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df`` (its own result), once nothing will read it again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._newsflow_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -6,15 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsflow.llm.chat import format_chats, read_back, text_part
+from newsflow.llm.code_compression import compress
 from newsflow.llm.decontaminate import decontaminate
 from newsflow.llm.fingerprints import neighbour_likeness
 from newsflow.llm.html import main_text
 from newsflow.llm.near_dedup import near_duplicate_classes
+from newsflow.llm.packing import Limits, cut_pieces, place
 from newsflow.llm.pieces import decode, encode
 from newsflow.llm.quality import quality
 from newsflow.llm.suffix_dedup import suffix_dedup
 from newsflow.llm.token_counts import token_counts
 from newsflow.llm.token_files import token_files
+from newsflow.llm.whitening import whiten
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -93,6 +96,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = Limits()
+    pieces = cut_pieces(table(spark, sf_dir, "documents"), BYTE_BPE, longest=limits.longest)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return place(digests, limits)
+
+
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,11 +124,66 @@ QUERIES = {
         op8_main_text,
         op9_token_files,
         op10_quality,
+        op11_whitening,
+        op12_packing,
+        op13_code_compression,
     )
 }
 
+
+def _ball_k_means_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Rounds of comparing every part with every entry, as one CTE after another."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+            a{t} AS MATERIALIZED (
+                SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+                FROM (
+                    SELECT v.vec_id, v.part, e.entry, sum((v.x - e.x) * (v.x - e.x)) AS d
+                    FROM v JOIN e{t} e USING (part, place) GROUP BY ALL
+                ) GROUP BY ALL
+            )""")
+        if t < rounds:
+            steps.append(f"""
+            e{t + 1} AS MATERIALIZED (
+                SELECT part, entry, place, coalesce((s - ((s % n) + n) % n) // n, e.x) AS x
+                FROM e{t} e LEFT JOIN (
+                    SELECT part, entry, place, sum(x) AS s, count(*) AS n
+                    FROM v JOIN a{t} USING (vec_id, part) GROUP BY ALL
+                ) USING (part, entry, place)
+            )""")
+    return f"""
+        WITH k AS (
+            SELECT vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), w AS (SELECT DISTINCT len(embedding) // {parts} AS w FROM k
+        ), v AS MATERIALIZED (
+            SELECT vec_id, i // w AS part, i % w AS place,
+                CAST(floor(4096 * CAST(embedding[i + 1] AS DOUBLE)) AS HUGEINT) AS x
+            FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM k), w
+        ), e0 AS MATERIALIZED (
+            SELECT part, entry, place, x FROM v JOIN (
+                SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry
+                FROM k ORDER BY vec_id LIMIT {entries}
+            ) USING (vec_id)
+        ), {','.join(steps)}, book AS (
+            SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS sha
+            FROM e{rounds}
+        ), coded AS (
+            SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INT)), '' ORDER BY part) AS code,
+                CAST(sum(d) AS BIGINT) AS error
+            FROM a{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            sha AS codebooks_sha256
+        FROM coded JOIN k USING (vec_id), book
+    """
+
+
 #: SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op13_code_compression": _ball_k_means_sql(),
     "op2_suffix_dedup": r"""
         WITH d AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
