@@ -35,8 +35,88 @@ from newsflow.llm.pretokens import Store, look_up
 
 MARK = "▁"
 _TABLE_BITS = 22
-#: Pairs of pieces whose merging a worker remembers.
+#: Pairs of pieces whose merging a worker remembers: about 170 bytes each.
 FITS_LIMIT = 200_000
+#: Bytes of encoded words that a worker keeps before it starts its store anew.
+STORE_BYTES = 32 << 20
+#: What the model format calls a piece that is found before all others.
+USER_DEFINED = 4
+
+
+def message_fields(raw: bytes):
+    """(number, value) of the fields of a message in the format that model files are in."""
+    at = 0
+
+    def number():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or number()
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+def refuse_unknown_rules(model: bytes) -> None:
+    """A ValueError for models with rules that are not applied here."""
+    normalizer = {}
+    for field, value in message_fields(model):
+        if field == 1 and dict(message_fields(value)).get(3) == USER_DEFINED:
+            raise ValueError("models with user-defined pieces cannot be used")
+        if field == 3:
+            normalizer = dict(message_fields(value))
+    if normalizer.get(2) or normalizer.get(6):
+        raise ValueError("models with normalisation rules cannot be used")
+    if normalizer.get(4, 1) or not normalizer.get(5, 1):
+        raise ValueError("models that remove or keep spaces as such cannot be used")
+
+
+class Decoder:
+    """The bytes that each id stands for, one after another: all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.prefix = m.encode("a", out_type=str)[:1] != ["a"]
+        out = [_bytes_of(m, i) for i in range(m.vocab_size())]
+        self.at = np.append(0, np.cumsum([len(b) for b in out]))
+        self.data = np.frombuffer(b"".join(out), np.uint8)
+
+    def texts(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """The text of each run of ids; numbers outside the vocabulary are left out."""
+        known = (ids >= 0) & (ids < len(self.at) - 1)
+        place = np.where(known, ids, 0)
+        size = np.where(known, self.at[place + 1] - self.at[place], 0)
+        raw = self.data[ranges(self.at[place], size)]
+        sums = np.append(0, np.cumsum(size))[edges]
+        starts, ends = sums[:-1], sums[1:]
+        if self.prefix and len(raw):
+            starts = starts + ((ends > starts) & (raw[np.minimum(starts, len(raw) - 1)] == 32))
+        whole = raw.tobytes()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _bytes_of(m, i: int) -> bytes:
+    if m.is_byte(i):
+        return bytes([int(m.id_to_piece(i)[1:-1], 16)])
+    if m.is_unknown(i):
+        return " ⁇ ".encode()
+    if m.is_control(i) or m.is_unused(i):
+        return b""
+    return m.id_to_piece(i).replace(MARK, " ").encode()
 
 
 class Pieces:
@@ -46,6 +126,7 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
+        refuse_unknown_rules(m.serialized_model_proto())
         self.kind = kind
         self.size = m.vocab_size()
         self.unknown = m.unk_id()
@@ -55,20 +136,12 @@ class Pieces:
             if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))
         ]
         self.ids = {m.id_to_piece(i): i for i in plain}
+        self.names = {i: p for p, i in self.ids.items()}
         self.score = {m.id_to_piece(i): m.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids), default=1)
         self.prefix = m.encode("a", out_type=str)[:1] != ["a"]
         byte_ids = {m.id_to_piece(i): i for i in range(self.size) if m.is_byte(i)}
         self.bytes = [byte_ids.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
-        #: What each id is when decoded.
-        self.out = [b""] * self.size
-        for piece, i in self.ids.items():
-            self.out[i] = piece.replace(MARK, " ").encode()
-        for b, i in enumerate(self.bytes):
-            if i != self.unknown:
-                self.out[i] = bytes([b])
-        if 0 <= self.unknown < self.size:
-            self.out[self.unknown] = " ⁇ ".encode()
         self.joined = np.zeros(1 << _TABLE_BITS, bool)
         pairs = sorted({(a, b) for p in self.ids for a, b in zip(p, p[1:])})
         if pairs:
@@ -122,15 +195,19 @@ class Pieces:
     def fits(self, left: str, right: str) -> bool:
         """Whether two pieces next to each other stay as they are. No left piece: whether
         the right one is what its own text merges to."""
-        key = left, right
-        found = self._fits.get(key)
+        found = self._fits.get((left, right))
         if found is None:
+            # the model's own strings, not the slices of words
+            key = self._own(left), self._own(right)
             if len(self._fits) > FITS_LIMIT:
                 self._fits.clear()
             found = self.merge(left + right) == ([left, right] if left else [right])
             self._fits[key] = found
         return found
 
+    def _own(self, piece: str) -> str:
+        return self.names.get(self.ids.get(piece), piece)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ids of each word: one pass over the sorted words, forward states kept
         for the prefix that a word shares with the one before."""
@@ -190,18 +267,16 @@ class Pieces:
             end -= len(piece)
         return out[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        out = self.out
-        raw = b"".join([out[i] if 0 <= i < self.size else b"" for i in ids])
-        if self.prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
-
 
 @worker_cache
 def _model(path: str, kind: str) -> tuple[Pieces, Store]:
     model = Pieces(path, kind)
-    return model, Store(model.encode_words)
+    return model, Store(model.encode_words, limit_bytes=STORE_BYTES)
+
+
+@worker_cache
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode_texts(texts: pa.Array, path: str, kind: str):
@@ -223,21 +298,30 @@ def encode_texts(texts: pa.Array, path: str, kind: str):
 
 
 def encode(
-    docs: DataFrame, path: str, text: str = "text", to: str = "ids", kind: str = "bpe"
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    to: str = "ids",
+    kind: str = "bpe",
+    decoded: str | None = None,
 ) -> DataFrame:
     """``docs`` with the ids of each whole text in ``to``, ``n_tokens``, and ``ids_crc32``
-    (of the ids as little-endian 32-bit integers); columns of these names are replaced.
+    (of the ids as little-endian 32-bit integers); columns of these names are replaced. With
+    ``decoded`` the ids are decoded in the same pass, into a column of that name.
 
     The ids are those of the sentencepiece library without begin or end. Characters outside
     the vocabulary become their bytes. A null or empty text has no ids. Rows are independent
-    of each other: repeated rows and null ids need nothing special.
+    of each other: repeated rows and null ids need nothing special. Words are known by a
+    64-bit hash. Models with normalisation rules or user-defined pieces are refused.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c.lower() not in (to.lower(), "n_tokens", "ids_crc32")]
+    added = [to, "n_tokens", "ids_crc32", *([decoded] if decoded else [])]
+    rest = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     hidden = free_name(docs, "text_encoded")
     source = docs.select(*[quoted(c) for c in rest], quoted(text).alias(hidden))
     schema = T.StructType([*source.schema.fields[:-1]]).add(to, T.ArrayType(T.IntegerType()))
     schema = schema.add("n_tokens", "long").add("ids_crc32", "long")
+    schema = schema.add(decoded, "string") if decoded else schema
 
     def run(batches):
         for batch in batches:
@@ -255,6 +339,8 @@ def encode(
                     pa.array(counts),
                     pa.array(crc, pa.int64()),
                 ]
+                if decoded:
+                    columns.append(pa.array(_decoder(path).texts(ids, edges), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(by_batches("sentencepiece", run), schema)
@@ -270,11 +356,15 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     schema = T.StructType([*source.schema.fields[:-1]]).add(to, "string")
 
     def run(batches):
-        model, _ = _model(path, "bpe")
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(hidden))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            texts = [model.decode(x.as_py() or []) for x in lists]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema.names)
+            counts = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            flat = lists.flatten().fill_null(-1).to_numpy()
+            edges = np.append(0, np.cumsum(counts))
+            for i, j in chunks(edges):
+                part = batch.slice(i, j - i)
+                columns = [part.column(part.schema.get_field_index(c)) for c in rest]
+                texts = _decoder(path).texts(flat[edges[i] : edges[j]], edges[i : j + 1] - edges[i])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema.names)
 
     return source.mapInArrow(by_batches("sentencepiece", run), schema)

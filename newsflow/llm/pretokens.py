@@ -97,8 +97,8 @@ class Store:
     """Hash of a piece -> the ids it encodes to, or only how many there are. Sorted keys are
     kept in a large and a small array, so that new ones cost little."""
 
-    def __init__(self, encode, counts_only: bool = False):
-        self.encode, self.counts_only = encode, counts_only
+    def __init__(self, encode, counts_only: bool = False, limit_bytes: int | None = None):
+        self.encode, self.counts_only, self.limit_bytes = encode, counts_only, limit_bytes
         self.clear()
 
     def clear(self):
@@ -109,6 +109,11 @@ class Store:
     def __len__(self):
         return self.count.size
 
+    def full(self) -> bool:
+        # a key, its number, the first id and the count of each, and the ids
+        held = 28 * len(self) + 4 * self.ids.size
+        return len(self) > STORE_LIMIT or (self.limit_bytes is not None and held > self.limit_bytes)
+
     def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Entries for new ``keys`` (sorted); their numbers."""
         slots = self.count.size + np.arange(len(keys))
@@ -130,7 +135,7 @@ class Store:
     def find(self, keys: np.ndarray, text_of) -> np.ndarray:
         """The number of each of the distinct, sorted ``keys``; ``text_of(places)`` gives the
         pieces at those places of ``keys`` that the store lacks."""
-        if len(self) > STORE_LIMIT:
+        if self.full():
             self.clear()
         slots = np.full(len(keys), -1, np.int64)
         for known, numbers in self.levels:

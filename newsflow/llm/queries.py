@@ -12,7 +12,7 @@ from newsflow.llm.fingerprints import neighbour_likeness
 from newsflow.llm.html import main_text
 from newsflow.llm.near_dedup import near_duplicate_classes
 from newsflow.llm.packing import Limits, cut_pieces, place
-from newsflow.llm.pieces import decode, encode
+from newsflow.llm.pieces import encode
 from newsflow.llm.quality import quality
 from newsflow.llm.suffix_dedup import suffix_dedup
 from newsflow.llm.token_counts import token_counts
@@ -56,8 +56,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = decode(encode(docs, PIECE_BPE), PIECE_BPE)
-    return decoded.select(
+    return encode(docs, PIECE_BPE, decoded="decoded").select(
         "doc_id",
         "n_tokens",
         "ids_crc32",

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from newsflow.llm.pieces import Pieces, decode, encode, encode_texts
+from newsflow.llm.common import by_batches
+from newsflow.llm.pieces import Decoder, Pieces, decode, encode, encode_texts, refuse_unknown_rules
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SIGNS = list("abcdefgh   ..,\n\t'éß中文\U0001f642\x00▁<0x>==--  aaaa") + [
@@ -34,9 +35,10 @@ def test_ids_equal_the_library(library):
     texts += ["", " ", " " * 40, "=" * 100, "a" * 77, "-" * 33 + " " + "-" * 19, "x" * 5000]
     got = ids_of(texts)
     assert got == library.encode(texts)
-    model = Pieces(PATH)
-    assert [model.decode(i) for i in got] == [library.decode(i) for i in got]
-    assert all(model.decode(i) == t.replace("▁", " ") for i, t in zip(got, texts))
+    edges = np.append(0, np.cumsum([len(i) for i in got]))
+    back = Decoder(PATH).texts(np.array([i for ids in got for i in ids]), edges)
+    assert back == [library.decode(i) for i in got]
+    assert back == [t.replace("▁", " ") for t in texts]
 
 
 def test_real_texts(spark, sf_dir, library):
@@ -93,3 +95,58 @@ def test_encode_and_decode_frames(spark, library):
     assert decode(encode(df.limit(0), PATH), PATH).count() == 0
     odd = spark.createDataFrame([(None,), ([],), ([-1, 99_999],)], "ids array<int>")
     assert [r.decoded for r in decode(odd, PATH).collect()] == ["", "", ""]
+
+
+def test_one_pass_encodes_and_decodes(spark, library):
+    rows = [(1, "Hello  wörld\n", 5), (None, None, 6), (2, "", 7), (3, "é▁\U0001f642" * 400, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Decoded int").repartition(2)
+    out = encode(df, PATH, decoded="decoded")
+    assert out.columns == ["doc_id", "text", "ids", "n_tokens", "ids_crc32", "decoded"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for r in out.collect():
+        assert r.ids == library.encode(r.text or "") and r.decoded == library.decode(r.ids)
+
+
+def test_any_ids_are_decoded_as_the_library_does(library):
+    rnd = random.Random(4)
+    lists = [[rnd.randrange(3, 32_000) for _ in range(rnd.randint(0, 9))] for _ in range(500)]
+    edges = np.append(0, np.cumsum([len(i) for i in lists]))
+    got = Decoder(PATH).texts(np.array([i for ids in lists for i in ids]), edges)
+    for text, ids in zip(got, lists):
+        if not any(library.is_byte(i) for i in ids):
+            assert text == library.decode(ids)
+
+
+def test_what_a_worker_keeps_is_bounded_by_bytes(monkeypatch):
+    from newsflow.llm import pieces
+
+    monkeypatch.setattr(pieces, "STORE_BYTES", 20_000)
+    by_batches("another operator", lambda batches: batches)(iter(()))
+    pieces._model.cache_clear()
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choices("abcdef", k=9)) for _ in range(30)) for _ in range(400)]
+    want = sentencepiece.SentencePieceProcessor(model_file=PATH).encode(texts)
+    got = []
+    for k in range(0, 400, 20):
+        got += ids_of(texts[k : k + 20])
+        store = pieces._model(PATH, "bpe")[1]
+        # what one run of texts adds comes on top
+        assert 28 * len(store) + 4 * store.ids.size < 20_000 + 20 * 30 * (28 + 4 * 10)
+    assert got == want
+    pieces._model.cache_clear()
+
+
+def test_models_with_other_rules_are_refused(library):
+    def message(field, value):
+        if isinstance(value, int):
+            return bytes([field << 3, value])
+        return bytes([field << 3 | 2, len(value)]) + value
+
+    refuse_unknown_rules(library.serialized_model_proto())
+    rules = {4: 0, 5: 1}
+    for change in ({2: b"map"}, {6: b"rule"}, {4: 1}, {5: 0}):
+        spec = b"".join(message(f, v) for f, v in (rules | change).items())
+        with pytest.raises(ValueError):
+            refuse_unknown_rules(message(3, spec))
+    with pytest.raises(ValueError, match="user-defined"):
+        refuse_unknown_rules(message(1, message(1, b"x") + message(3, 4)))
