@@ -4,6 +4,12 @@ Every DOM node gets its characters per tag, adjusted for links. The node whose c
 densities sum highest is the core; the lowest density on its path from the body is the
 threshold by which other dense subtrees join it. Their lowest common ancestor is read out;
 where that is the body or what holds it, the core's part of it and all that joins there are.
+Inside, parts are left out that links leave next to no density.
+
+Tags, roles and names are weights: the characters of an element that is marked as a menu, an
+advert or the like count as characters in links, nearly all of them. So its density is low,
+and the same thresholds decide. Only what is never shown as text, such as scripts, is left out
+without asking. Reader comments are as dense as an article; nothing but their mark tells them.
 """
 
 from __future__ import annotations
@@ -34,11 +40,13 @@ _BLOCK = set(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p "
     "pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is never main text.
-_NOISE_TAGS = set(
-    "head script style noscript template svg math canvas iframe object embed nav aside footer form "
-    "button select input textarea option label dialog menu title noembed noframes xmp".split()
+#: Elements whose content is never shown as text.
+_UNSEEN_TAGS = set(
+    "head script style noscript template svg math canvas iframe object embed button select input "
+    "textarea option title noembed noframes xmp".split()
 )
+#: Elements that mark what surrounds an article.
+_NOISE_TAGS = set("nav aside footer form label dialog menu".split())
 _NOISE_ROLES = set("navigation banner contentinfo complementary search alert dialog menu".split())
 #: Parts of class or id names that mark what surrounds an article.
 _NOISE_WORDS = set(
@@ -56,10 +64,15 @@ _SOFT_WORDS = {"header", "masthead", "copyright"}
 _STATE_WORDS = set("has no with without is not".split())
 _KEEPERS = {"html", "body", "article", "main"}
 _TOPS = ("#root", "html", "body")
-#: What lies directly in the body joins if it is so many times as dense as a part of its size
-#: of the sparsest node on the core's path: sections of one article differ in density, while
-#: lists of links have next to none.
+#: What lies directly in the body joins if it is so many times as dense as a part of the
+#: sparsest node on the core's path below the body would be, of its size and with its links:
+#: sections of one article differ in density, while lists of links have next to none.
 LIKE = 0.5
+#: The share of a marked element's characters that count as in links.
+MARK = 0.99
+#: A part of the core that links or marks leave less than this share of its density is left
+#: out, if it is marked or a list of at least so many links.
+LEFT, MANY_LINKS = 0.1, 3
 #: What a start tag closes if it is still open, up to the given borders.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -78,6 +91,7 @@ class _Node:
         "parent",
         "children",
         "noise",
+        "marked",
         "chars",
         "tags",
         "link_chars",
@@ -85,26 +99,36 @@ class _Node:
         "density",
     )
 
-    def __init__(self, tag, parent, noise):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag, parent, noise, marked):
+        self.tag, self.parent, self.noise, self.marked = tag, parent, noise, marked
         self.children = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = 0.0
 
 
-def _is_noise(tag: str, rest: str, inside: set) -> bool:
+def _unseen(tag: str, rest: str) -> bool:
+    """Whether an element is never shown as text."""
     if tag in _KEEPERS:
         return False
-    if tag in _NOISE_TAGS or (tag == "header" and not inside & {"article", "main"}):
+    if tag in _UNSEEN_TAGS:
         return True
-    if not rest:
-        return False
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
+    return False
+
+
+def _marked(tag: str, rest: str, inside: set) -> bool:
+    """Whether an element's tag, role or names speak against its being main text."""
+    if tag in _KEEPERS:
+        return False
+    if tag in _NOISE_TAGS or (tag == "header" and not inside & {"article", "main"}):
+        return True
+    for name, value in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in _NOISE_ROLES:
             return True
         if name in ("class", "id"):
@@ -123,7 +147,7 @@ def _is_noise(tag: str, rest: str, inside: set) -> bool:
 def parse(page: str):
     """The root node and, in page order, (node, text) pieces; a text of None is a border
     between blocks. Broken nesting is repaired as far as the article needs it."""
-    root = _Node("#root", None, False)
+    root = _Node("#root", None, False, False)
     node, at, pieces, size = root, 0, [], len(page)
     seen_article = False
     open_tags = {"#root": 1}
@@ -176,7 +200,7 @@ def parse(page: str):
             x, outermost = (root if seen_article else node), None
             seen_article = True
             while x.parent is not None:
-                if x.noise:
+                if x.noise or x.marked:
                     outermost = x
                 x = x.parent
             if outermost:
@@ -191,7 +215,8 @@ def parse(page: str):
                 leave(x.parent)
         rest = m["rest"] or m["broken"] or ""
         inside = {t for t in ("article", "main") if open_tags.get(t)}
-        child = _Node(tag, node, node.noise or _is_noise(tag, rest, inside))
+        noise = node.noise or _unseen(tag, rest)
+        child = _Node(tag, node, noise, node.marked or _marked(tag, rest, inside))
         node.children.append(child)
         if tag in _BLOCK:
             pieces.append((node, None))
@@ -230,6 +255,8 @@ def densities(root: _Node, pieces) -> list[_Node]:
                 x = x.parent
             if x is not None:
                 node.link_chars += n
+            elif node.marked:
+                node.link_chars += MARK * n
     nodes = [x for x in _walk(root) if not x.noise]
     for x in reversed(nodes):
         if x.parent is not None:
@@ -237,9 +264,8 @@ def densities(root: _Node, pieces) -> list[_Node]:
             p.chars += x.chars
             p.link_chars += x.link_chars
             p.tags += x.tags + 1
-            p.links += x.links + (x.tag == "a")
-    body = root
-    share = body.link_chars / max(body.chars, 1)
+            p.links += x.links + (x.tag == "a" or x.marked)
+    share = root.link_chars / max(root.chars, 1)
     for x in nodes:
         x.density = _density(x.chars, x.tags, x.link_chars, x.links, share)
     return nodes
@@ -286,6 +312,25 @@ def main_node(root: _Node, nodes: list[_Node]) -> tuple[_Node, list[_Node]]:
     return lowest, path
 
 
+def sparse(x: _Node, share: float) -> bool:
+    """Whether links and marks take nearly all of a part's density."""
+    if not (x.marked or (x.tag in _BLOCK and x.links >= MANY_LINKS)) or not x.chars:
+        return False
+    return x.density <= LEFT * _density(x.chars, x.tags, 0, 0, share)
+
+
+def _dense_part(top: _Node, share: float) -> float:
+    """Characters per tag of a node without its sparse parts."""
+    chars, tags, stack = top.chars, top.tags, list(top.children)
+    while stack:
+        x = stack.pop()
+        if not x.noise and sparse(x, share):
+            chars, tags = chars - x.chars, tags - x.tags - 1
+        elif not x.noise:
+            stack.extend(x.children)
+    return chars / max(tags, 1)
+
+
 def beside(root: _Node, pieces, lowest: _Node, path: list[_Node]) -> set[int]:
     """The pieces outside ``lowest`` that join it directly in the body, or in what holds it.
 
@@ -323,7 +368,9 @@ def beside(root: _Node, pieces, lowest: _Node, path: list[_Node]) -> set[int]:
             if id(u) not in tops and not any(u is m for m in members[-1:]):
                 members.append(u)
     share = root.link_chars / max(root.chars, 1)
-    threshold = min(x.density for x in path)
+    # what lies in the body beside menus is measured by the path below it
+    inner = [x for x in path if x.tag not in _TOPS] or path[:1]
+    per_tag = min(_dense_part(x, share) for x in inner)
     on_path = {id(x) for x in path}
 
     def joins(members, places):
@@ -333,17 +380,18 @@ def beside(root: _Node, pieces, lowest: _Node, path: list[_Node]) -> set[int]:
         single = len(members) == 1 and id(members[0]) in blocks
         tags = sum(m.tags + (not single) for m in members)
         links = sum(m.links + (not single and m.tag == "a") for m in members)
-        found = _density(chars, tags, sum(m.link_chars for m in members), links, share)
+        linked = sum(m.link_chars for m in members)
+        found = _density(chars, tags, linked, links, share)
         size = max(tags, 1)
-        like = min(
-            _density(*(v * size / max(x.tags, 1) for v in (x.chars, x.tags, x.link_chars, x.links)), share)
-            for x in path
+        # of what is on the path, as many tags, with the links of this unit and without any
+        like, plain = (
+            _density(per_tag * size, size, *has, share) for has in ((linked, links), (0, 0))
         )
-        return found > 0 and found >= min(threshold, LIKE * like)
+        return found > 0 and found >= max(LIKE * like, LEFT * plain)
 
     def rank(members):
         """That of a heading which is all the text of a unit, else 0."""
-        x = members[0] if len(members) == 1 else None
+        x = members[0] if len(members) == 1 and not members[0].marked else None
         while x is not None and not re.fullmatch("h[1-6]", x.tag):
             x = next((c for c in x.children if not c.noise and c.chars and c.chars == x.chars), None)
         return int(x.tag[1]) if x is not None and x.chars else 0
@@ -372,7 +420,9 @@ def extract(page: str | None) -> str:
     root, pieces = parse(page)
     top, path = main_node(root, densities(root, pieces))
     joined = beside(root, pieces, top, path) if top is not root else set()
-    within: dict[int, bool] = {id(top): True}
+    share = root.link_chars / max(root.chars, 1)
+    out = {id(x) for x in _walk(top) if x is not top and not x.noise and sparse(x, share)}
+    within: dict[int, bool] = {id(top): True} | dict.fromkeys(out, False)
 
     def inside(x):
         trail = []

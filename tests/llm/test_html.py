@@ -1,10 +1,12 @@
 import html
+import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsflow.llm.html import densities, extract, main_text, parse
+from newsflow.llm import html as module
+from newsflow.llm.html import densities, extract, main_node, main_text, parse
 
 PAGE = """<html><head><title>T &amp; x</title></head><body><header class="site"><h1>Site</h1></header>
 <nav><a href=1>Home</a><div class="cookie-notice">We use cookies to do long things, more and more</div>
@@ -120,3 +122,92 @@ def test_frame_edges(spark):
     assert got.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted((r.text, r.n_chars) for r in got.collect()) == [("", 0), ("", 0), ("x", 1)]
     assert main_text(df.limit(0)).count() == 0
+
+
+def plain_densities(root, pieces):
+    """Composite text density of each node, counted anew from all pieces and nodes below it."""
+
+    def below(x):
+        return [x] + [y for c in x.children if not c.noise for y in below(c)]
+
+    def characters(x, linked):
+        inside, total = {id(y) for y in below(x)}, 0
+        for node, text in pieces:
+            if not text or node.noise or id(node) not in inside:
+                continue
+            up, link = node, False
+            while up is not None:
+                link, up = link or up.tag == "a", up.parent
+            share = 1 if link else module.MARK if node.marked else 0
+            total += len(re.sub(r"\s", "", text)) * (share if linked else 1)
+        return total
+
+    share = characters(root, True) / max(characters(root, False), 1)
+    out = {}
+    for x in below(root):
+        c, lc = characters(x, False), max(characters(x, True), 1)
+        under = below(x)[1:]
+        t, lt = max(len(under), 1), max(sum(y.tag == "a" or y.marked for y in under), 1)
+        density = 0.0
+        if c and c * t > lc * lt:
+            base = math.log(c / max(c - characters(x, True), 1) * lc + share * c + math.e)
+            density = c / t * math.log(c * t / (lc * lt), base)
+        out[id(x)] = density
+    return out
+
+
+def some_pages(spark, sf_dir, step=7):
+    return [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()][::step]
+
+
+def test_density_and_core_equal_a_plain_version(spark, sf_dir):
+    for page in [PAGE, *some_pages(spark, sf_dir)]:
+        root, pieces = parse(page)
+        nodes = densities(root, pieces)
+        want = plain_densities(root, pieces)
+        assert {id(x) for x in nodes} == set(want)
+        assert all(x.density == pytest.approx(want[id(x)], rel=1e-6, abs=1e-9) for x in nodes)
+        _, path = main_node(root, nodes)
+        total = {id(x): sum(want[id(c)] for c in x.children if not c.noise) for x in nodes}
+        assert total[id(path[0])] == pytest.approx(max(total.values()))
+
+
+def shown(page):
+    """All text that is shown."""
+    root, pieces = parse(page)
+    blocks = [[]]
+    for node, text in pieces:
+        if text is None:
+            blocks.append([])
+        elif not node.noise:
+            blocks[-1].append(text)
+    return "\n".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
+
+
+def test_density_decides_what_is_read(spark, sf_dir):
+    pages = some_pages(spark, sf_dir, 1)
+    assert all(extract(p) != shown(p) for p in pages)
+
+
+def test_pages_without_telling_tags_and_names(spark, sf_dir, monkeypatch):
+    """Every element around the article is a div of a neutral name."""
+    pages = some_pages(spark, sf_dir, 1)
+    want = [extract(p) for p in pages]
+    monkeypatch.setattr(module, "_marked", lambda *a: False)
+    neutral = [re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", p).replace('class="ad"', "") for p in pages]
+    got = [extract(p) for p in neutral]
+    # menus go; a line of advert or footer stays where the article is no denser, and a page with
+    # next to no article has nothing to tell it by
+    lines = [(set(a.split("\n")), set(b.split("\n"))) for a, b in zip(want, got)]
+    assert sum(a <= b and len(b - a) <= 2 for a, b in lines) > 0.95 * len(pages)
+    assert sum(a == b for a, b in zip(want, got)) > 0.35 * len(pages)
+
+
+@pytest.mark.parametrize("name", ["x1", "blk", "zone"])
+def test_neutral_names_around_a_dense_article(name):
+    links = "".join(f"<li><a href=x>Topic {k}</a></li>" for k in range(12))
+    body = "".join(f"<p>{'sentence after sentence ' * 12}{k}</p>" for k in range(5))
+    page = f"<body><div class={name}><ul>{links}</ul></div><div class={name}>Buy one, get one free today.</div>"
+    page += f"<div class={name}><h1>Heading</h1>{body}<ul>{links}</ul></div><div class={name}>Imprint and terms</div></body>"
+    want = ["Heading", *(f"{'sentence after sentence ' * 12}{k}" for k in range(5))]
+    assert extract(page) == "\n".join(want)
