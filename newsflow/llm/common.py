@@ -59,10 +59,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete the shuffle files of a query once the query is over.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which ends its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """``df`` written to the shared folder and read back, which ends its lineage. The shuffle
+    files of the writing query are deleted with its end."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._newsflow_path = path
     return out

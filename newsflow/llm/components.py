@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsflow.llm.common import cut
+from newsflow.llm.common import cut, drop_cut
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,15 +18,18 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(pairs.where("a < b").distinct(), "links")
     before = None
     while True:
-        edges = cut(_small_star(_large_star(edges)).where("a < b").distinct(), "stars")
+        spent, edges = edges, cut(_small_star(_large_star(edges)).where("a < b").distinct(), "stars")
+        drop_cut(spent)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     # every edge now leads from the smallest node to another one of its component
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
+    out._newsflow_path = edges._newsflow_path  # for drop_cut
+    return out
 
 
 def _ordered(rows: DataFrame) -> DataFrame:

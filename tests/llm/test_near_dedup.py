@@ -141,6 +141,71 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4]
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue black white")
+    rows = [(2, a, 1), (5, a, 2), (5, b, 3), (9, c, 4), (5, b, 5), (7, b, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)
+    got = sorted(tuple(r) for r in near_duplicate_classes(df).collect())
+    assert got == [(2, 2), (5, 2), (5, 5), (5, 5), (7, 5), (9, 9)]
+    # no text is lost, and no copy under a larger id stays
+    assert sorted(r.k for r in near_dedup(df).collect()) == [1, 3, 4, 5]
+
+
+def test_packed_shingles_come_back():
+    texts = ["a b c d e f", "", "x y x y x y x y x y x y", None, "one two"]
+    ((_, _, s),) = runs(pa.array(texts))
+    back = module.unpack(*module.pack(s))
+    assert back.first.tolist() == s.first.tolist() and back.hashes.tolist() == s.hashes.tolist()
+    assert back.counts.tolist() == s.counts.tolist() and s.counts.max() > 1
+    part = module.pack(s)[0].slice(2, 2), module.pack(s)[1].slice(2, 2)
+    assert module.unpack(*part).counts.tolist() == s.counts[s.first[2] : s.first[4]].tolist()
+
+
+def test_pairs_side_by_side_equal_one_by_one():
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 30))) for _ in range(200)]
+    others = [t if rnd.random() < 0.3 else t + " w1 w2" * rnd.randint(0, 4) for t in texts]
+    idf = np.random.default_rng(3).uniform(0.5, 8, 1 << CELL_BITS).astype(np.float32)
+    ((_, _, a),), ((_, _, b),) = runs(pa.array(texts)), runs(pa.array(others))
+    for least in (0.5, 0.8):
+        got = module.similar(a, b, [idf], least)
+        want = [weighted_jaccard(x, y, idf) >= least for x, y in zip(sets_of(texts), sets_of(others))]
+        assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_links_across_components_ask_only_the_minority(spark, monkeypatch):
+    """Rows that are sent grow with the bucket, not with its square, while few are asked."""
+    monkeypatch.setattr(module, "BLOCK", 10)
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(words) for _ in range(120)]
+    rows = []
+    for k in range(400):
+        x = list(base)
+        x[rnd.randrange(120)] = rnd.choice(words)
+        rows.append((k, " ".join(x)))
+    sent = []
+    spread = module.by_group
+
+    def spy(name, run):
+        if run.__name__ == "compare":
+            return spread(name, lambda t: pa.table({"a": pa.array([t.num_rows]), "b": pa.array([0])}))
+        return spread(name, run)
+
+    monkeypatch.setattr(module, "by_group", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    unique = module.cut(
+        module.shingled(df).select("names", "more", F.col("doc_id").alias("node")), "texts"
+    )
+    # one bucket: 390 members in a component, 10 alone
+    component = F.when(F.col("node") < 390, 0).otherwise(F.col("node")).cast("long")
+    members = unique.select(F.lit(1).alias("bucket"), "node", component.alias("component"), F.lit(100).alias("bytes"))
+    idf = spark.sparkContext.broadcast([np.ones(1 << CELL_BITS, np.float32)])
+    sent = module.block_links(members, unique, idf, 0.8).agg(F.sum("a")).first()[0]
+    assert sent == 400 * 1 + 10 * 40
+
+
 def test_exact_copies_in_great_number(spark):
     rows = [(k, "the same few words again and again") for k in range(3000)] + [(9000, "something else here")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
