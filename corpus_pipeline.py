@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsflow.llm.common import cut, free_name, quoted
 from newsflow.llm.decontaminate import decontaminate
 from newsflow.llm.near_dedup import near_dedup
-from newsflow.llm.pieces import decode, encode
+from newsflow.llm.pieces import encode
 from newsflow.llm.quality import CUT, score_quality, train
 from newsflow.llm.queries import PIECE_BPE, table
 from newsflow.llm.suffix_dedup import suffix_dedup
@@ -52,7 +52,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
-    rows = decode(encode(docs.select("doc_id", "text"), PIECE_BPE), PIECE_BPE)
+    rows = encode(docs.select("doc_id", "text"), PIECE_BPE, decoded="decoded")
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "text", "ids", "n_tokens", "ids_crc32", exact.alias("exact"))
 
