@@ -60,18 +60,19 @@ def estimate(
     that meets an empty one.
 
     Each sketch row is a lookup of its own in the row, so nothing is multiplied or folded.
-    One sketch is broadcast, up to a size that depends on its parameters alone; sketches
-    by ``by`` grow with the data, and how they are joined is left to the optimizer.
+    Cells are looked up by one number for sketch row and bucket: all lookups read the same
+    relation, so the sketch is built once and its broadcast or shuffle is shared. One sketch
+    is broadcast, up to a size that depends on its parameters alone; sketches by ``by`` grow
+    with the data, and how they are joined is left to the optimizer.
     """
     buckets, cells = [f"_b{r}" for r in range(depth)], [f"_c{r}" for r in range(depth)]
     out = add_buckets(df, key, buckets, width)
+    place = F.col("sketch_row") * F.lit(width).cast("bigint") + F.col("bucket")
     for row, (bucket, cell) in enumerate(zip(buckets, cells)):
-        part = sketch.filter(F.col("sketch_row") == row).select(
-            *by, F.col("bucket").alias(bucket), F.col("cell").alias(cell)
-        )
+        part = sketch.select(*by, place.alias(bucket), F.col("cell").alias(cell))
         if not by and depth * width <= MAX_BROADCAST_CELLS:
             part = F.broadcast(part)
-        out = out.join(part, [*by, bucket], "left")
+        out = out.withColumn(bucket, F.col(bucket) + row * width).join(part, [*by, bucket], "left")
     found = [F.coalesce(c, F.lit(0).cast("bigint")) for c in cells]
     least = F.least(*found) if depth > 1 else found[0]
     return out.select(*df.columns, least.alias("approx_count"))
@@ -90,35 +91,61 @@ def running_estimates(
     sketch is empty again at each new :func:`reset_key`; without one, a long history fills
     it and estimates say little.
 
-    The estimate is a running sum per sketch cell. One cell may see a large share of
-    the rows, so each cell is cut into ``chunk``-long pieces of time: the pieces' totals
-    are aggregated and summed up first, and each piece then starts from its offset.
+    The estimate is the least of the running sums in the row's cells. One cell may see a large
+    share of the rows, so each cell is cut into ``chunk``-long pieces of time, which start from
+    the sum of the pieces before. These sums travel along as rows of their own, ahead of the
+    piece. Rows pass one window for each sketch row: they are never multiplied, and joined
+    with nothing. A reset that is no coarser than ``chunk`` needs no pieces.
     """
-    cell = ["_reset", "sketch_row", "bucket"]
-    piece = cell + ["_chunk"]
-    chunked = counts.withColumns(
-        {"_chunk": F.date_trunc(chunk, "window_start"), "_reset": reset_key(reset)}
-    )
-    placed = place_keys(chunked, "keyword", [*ALERT_KEYS, n, "_chunk", "_reset"], depth, width)
-    earlier = (
-        Window.partitionBy(*cell)
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        placed.groupBy(*piece)
-        .agg(F.sum(n).alias("_total"))
-        .select(*piece, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    so_far = (
-        Window.partitionBy(*piece)
-        .orderBy(*ALERT_KEYS)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = placed.join(offsets, piece).withColumn(
-        "_running", F.col("_offset") + F.sum(n).over(so_far)
+    buckets = [f"_b{r}" for r in range(depth)]
+    running = [f"_r{r}" for r in range(depth)]
+    cut = reset is None or not _within(reset, chunk)
+    piece = F.date_trunc(chunk, "window_start") if cut else F.lit(None).cast("timestamp_ntz")
+    columns = {"_reset": reset_key(reset), "_chunk": piece, "_own": F.lit(None).cast("int")}
+    rows = add_buckets(counts.select(*ALERT_KEYS, n).withColumns(columns), "keyword", buckets, width)
+    if cut:
+        before = _sums_before(rows, n, buckets)
+        rows = rows.unionByName(before, allowMissingColumns=True)
+    for row, (bucket, so_far) in enumerate(zip(buckets, running)):
+        in_order = (
+            Window.partitionBy("_reset", bucket, "_chunk")
+            # the sum of the pieces before comes first
+            .orderBy(F.col("_own").asc_nulls_last(), *ALERT_KEYS)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        counted = F.when(F.coalesce(F.col("_own"), F.lit(row)) == row, F.col(n)).otherwise(0)
+        rows = rows.withColumn(so_far, F.sum(counted).over(in_order))
+    least = F.least(*running) if depth > 1 else F.col(running[0])
+    return rows.filter("_own IS NULL").select(*ALERT_KEYS, n, least.alias("approx_count"))
+
+
+_UNITS = ("microsecond", "millisecond", "second", "minute", "hour", "day", "week", "month", "quarter", "year")
+
+
+def _within(reset: str, chunk: str) -> bool:
+    """Whether the resets of a cell cut it at least as finely as ``chunk`` does."""
+    if reset == "window":
+        return True
+    units = [u.lower() for u in (reset, chunk)]
+    return all(u in _UNITS for u in units) and _UNITS.index(units[0]) <= _UNITS.index(units[1])
+
+
+def _sums_before(rows: DataFrame, n: str, buckets) -> DataFrame:
+    """For each piece of a cell (``_own`` is its sketch row) what all pieces before it hold, as
+    a row with only that cell's bucket. Aggregated before anything is shuffled."""
+    cells = F.inline(
+        F.array(*[F.struct(F.lit(r).alias("_own"), F.col(b).alias("_b")) for r, b in enumerate(buckets)])
     )
-    return running.groupBy(*ALERT_KEYS, n).agg(F.min("_running").alias("approx_count"))
+    cell = ["_reset", "_own", "_b"]
+    pieces = rows.select("_reset", "_chunk", n, cells).groupBy(*cell, "_chunk")
+    pieces = pieces.agg(F.sum(n).alias("_total"))
+    earlier = Window.partitionBy(*cell).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = pieces.select(*cell, "_chunk", F.sum("_total").over(earlier).alias(n))
+    before = before.filter(F.col(n).isNotNull())
+    # spread where it is not counted
+    place = F.xxhash64("_b", "_chunk")
+    columns = [F.when(F.col("_own") == r, F.col("_b")).otherwise(place).alias(b) for r, b in enumerate(buckets)]
+    return before.select("_reset", "_chunk", "_own", n, *columns)
 
 
 def tally(rows: DataFrame, keys, n: str | None = None) -> DataFrame:

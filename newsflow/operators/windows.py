@@ -1,9 +1,14 @@
 """Counts over sliding windows.
 
-A batch count is taken once per slide-wide slot and the slots are then summed into
-the windows that cover them: events are aggregated before they are multiplied, so the
-large shuffle carries each (slot, key) once instead of once per window. Streams use
-``window()`` in a single stateful aggregation.
+A count is taken once per slide-wide slot and the slots are then summed into the windows
+that cover them: events are aggregated before they are multiplied, so the large shuffle
+carries each (slot, key) once instead of once per window. Streams do the same in two
+stateful aggregations, the second over the event time of the slots that the first has
+closed: of open slots they keep one row per key, not one for every covering window.
+
+A stream counts every row within its watermark. A row behind it is lost with its slot;
+``late_rows=True`` counts it in those of its windows that are still open, at the price of one
+aggregation that keeps a row for every window.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from newsflow.functions.times import seconds, shift
 
 
-def _window(ts: str, duration: int, slide: int):
+def _window(ts, duration: int, slide: int):
     return F.window(ts, f"{duration} seconds", f"{slide} seconds")
 
 
@@ -37,15 +42,33 @@ def sliding_counts(
     slide: str,
     ts: str = "published_ts",
     name: str = "n",
+    late_rows: bool = False,
 ) -> DataFrame:
     """(window_start, window_end, keys, ``name``): rows per sliding window."""
     d, s = seconds(duration), seconds(slide)
+    if df.isStreaming and not late_rows and d % s == 0 and d > s:
+        slots = closed_slots(df, keys, d, s, ts)
+        counts = slots.groupBy("window", *keys).agg(F.sum("n").alias(name))
+        return flatten_window(counts, keys, name)
     if df.isStreaming or d % s:
         counts = df.groupBy(_window(ts, d, s), *keys).agg(F.count(F.lit(1)).alias(name))
         return flatten_window(counts, keys, name)
     return windows_of_slots(slot_counts(df, keys, slide, ts), keys, d, s, name)
 
 
+def closed_slots(df: DataFrame, keys, duration: int, slide: int, ts: str) -> DataFrame:
+    """(window, slot, keys, n): rows per slide-wide slot of a stream, once for each window that
+    covers it, as soon as the watermark has passed the slot."""
+    counts = df.groupBy(_window(ts, slide, slide).alias("slots"), *keys)
+    counts = counts.agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        _window(F.window_time("slots"), duration, slide).alias("window"),
+        F.col("slots.start").alias("slot"),
+        *keys,
+        "n",
+    )
+
+
 def windows_of_slots(slots: DataFrame, keys, duration: int, slide: int, name: str) -> DataFrame:
     """(window_start, window_end, keys, ``name``) of (slot, keys, n)."""
     starts = slots.select(
@@ -87,9 +110,17 @@ def position_counts(
     slide: str,
     recent: str,
     ts: str = "published_ts",
+    late_rows: bool = False,
 ) -> DataFrame:
     """(window_start, window_end, keys, current_count, previous_count)."""
     d, s, r = seconds(duration), seconds(slide), seconds(recent)
+    if df.isStreaming and not late_rows and not (d % s or r % s) and d > s:
+        is_current = F.col("slot") >= shift(F.col("window.end"), -r)
+        counts = closed_slots(df, keys, d, s, ts).groupBy("window", *keys).agg(
+            F.sum(F.when(is_current, F.col("n")).otherwise(0)).alias("current_count"),
+            F.sum(F.when(is_current, 0).otherwise(F.col("n"))).alias("previous_count"),
+        )
+        return flatten_window(counts, keys, "current_count", "previous_count")
     if df.isStreaming or d % s or r % s:
         placed = window_positions(df, duration, slide, recent, ts)
         position = F.col("window_position")

@@ -34,10 +34,13 @@ def burst_counts(
     duration: str = "5 minutes",
     slide: str = "1 minute",
     delay: str | None = "5 minutes",
+    late_rows: bool = False,
 ) -> DataFrame:
     """(window_start, window_end, category, keyword, exact_count)."""
     events = with_delay(events, delay)
-    return sliding_counts(events, KEYWORD_KEYS, duration, slide, name="exact_count")
+    return sliding_counts(
+        events, KEYWORD_KEYS, duration, slide, name="exact_count", late_rows=late_rows
+    )
 
 
 def estimated_counts(
@@ -105,7 +108,9 @@ def alerts_of_events(
     alerts = estimated_counts(counts, mode, depth, width, reset).filter(
         F.col("approx_count") >= threshold
     )
-    evidence = window_evidence(smallest_values(slotted, slot_keys), alerts, duration, slide)
+    # every alert; asking for its count keeps what is below the same as for the estimates
+    wanted = alerts.filter(F.col("exact_count") > 0)
+    evidence = window_evidence(smallest_values(slotted, slot_keys), wanted, duration, slide)
     return label_alerts(join_on_keys(alerts, evidence, ALERT_KEYS, "left"), duration)
 
 

@@ -34,11 +34,13 @@ def keyword_events(
     bounded_state: bool | None = None,
     delay: str = "5 minutes",
     unique_titles: bool = False,
+    split: int = 1,
 ) -> DataFrame:
     """(title, category, keyword, published_ts, *extra), one row per first three.
 
     Streams say what the state of that may hold: every key ever seen, or, with
     ``bounded_state``, those within the watermark, which ``delay`` then sets ahead of it.
+    ``split`` reduces the copies of a key in so many places first.
     Batch articles whose titles are unique and whose keywords differ within the row, as the
     clean plan writes them, need no de-duplication: ``unique_titles`` leaves it out.
     """
@@ -48,7 +50,8 @@ def keyword_events(
     events = filter_keywords(explode_keywords(narrow), noise_words)
     if unique_titles and not events.isStreaming:
         return events
-    return dedup_events(with_delay(events, delay if bounded_state else None), bounded_state)
+    events = with_delay(events, delay if bounded_state else None)
+    return dedup_events(events, bounded_state, split)
 
 
 def trends_of_events(
@@ -58,10 +61,12 @@ def trends_of_events(
     recent: str = "10 minutes",
     min_support: int = 3,
     delay: str | None = "5 minutes",
+    late_rows: bool = False,
 ) -> DataFrame:
-    """Trend rows of (published_ts, category, keyword) events."""
+    """Trend rows of (published_ts, category, keyword) events. ``late_rows`` is for streams,
+    see :mod:`newsflow.operators.windows`."""
     events = with_delay(events, delay)
-    counts = position_counts(events, KEYWORD_KEYS, duration, slide, recent)
+    counts = position_counts(events, KEYWORD_KEYS, duration, slide, recent, late_rows=late_rows)
     return score_trends(counts, min_support).select(*TREND_COLUMNS)
 
 
@@ -84,11 +89,14 @@ def keyword_trends(
     delay: str = "5 minutes",
     bounded_state: bool | None = None,
     unique_titles: bool = False,
+    split: int = 1,
     **windows,
 ) -> DataFrame:
     """Trending keywords of cleaned articles; the options are those of
     :func:`keyword_events` and :func:`trends_of_events`."""
-    events = keyword_events(articles, (), noise_words, bounded_state, delay, unique_titles)
+    events = keyword_events(
+        articles, (), noise_words, bounded_state, delay, unique_titles, split
+    )
     return trends_of_events(events, delay=None if bounded_state else delay, **windows)
 
 
@@ -97,10 +105,13 @@ def activity_of_events(
     duration: str = "20 minutes",
     slide: str = "5 minutes",
     delay: str | None = "10 minutes",
+    late_rows: bool = False,
 ) -> DataFrame:
-    """Activity rows of (published_ts, category) events."""
+    """Activity rows of (published_ts, category) events; ``late_rows`` as for trends."""
     events = with_delay(events, delay)
-    counts = sliding_counts(events, ["category"], duration, slide, name="category_count")
+    counts = sliding_counts(
+        events, ["category"], duration, slide, name="category_count", late_rows=late_rows
+    )
     return label_activity(counts).select(*ACTIVITY_COLUMNS)
 
 

@@ -5,9 +5,11 @@ import re
 import pytest
 
 from newsflow.checks.queries import QUERIES
+from newsflow.functions.sketch import DEPTH
+from newsflow.operators.breaking import ALERT_KEYS, build_sketch, estimate, running_estimates
 from newsflow.operators.dedup import dedup_links
 from newsflow.plans.articles import cleaned_articles
-from newsflow.plans.breaking import breaking_alerts
+from newsflow.plans.breaking import breaking_alerts, burst_counts
 from newsflow.plans.trends import category_activity, keyword_events, keyword_trends
 from newsflow.sources.tables import raw_records, table
 from tests.helpers import final_plan_text, plan_text
@@ -66,6 +68,32 @@ def test_alerts_read_the_input_once(articles):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("mode", ["table", "exact"])
+@pytest.mark.parametrize("reset", [None, "day"])
+def test_alerts_of_every_mode_read_the_input_once(articles, mode, reset):
+    plan = final_plan_text(breaking_alerts(articles, mode=mode, threshold=1, reset=reset))
+    assert plan.count("FileScan") == 1
+
+
+def test_running_sums_are_neither_multiplied_nor_joined(articles):
+    events = keyword_events(articles, ["link"])
+    counts = burst_counts(events).select(*ALERT_KEYS, "exact_count")
+    plan = plan_text(running_estimates(counts, reset="window"))
+    only_counts = plan_text(counts)
+    assert "Join" not in plan and plan.count("Generate") == only_counts.count("Generate")
+    assert plan.count("Exchange") == only_counts.count("Exchange") + DEPTH
+    # without a reset only the sums of pieces are multiplied, and summed before they are sent
+    plan = plan_text(running_estimates(counts))
+    assert "Join" not in plan
+
+
+def test_a_sketch_is_built_once_for_all_lookups(spark):
+    rows = spark.range(5000).selectExpr("concat('k', id % 700) AS keyword", "id % 7 AS n")
+    plan = final_plan_text(estimate(rows, build_sketch(rows)))
+    assert plan.count("Generate") == 1 and plan.count("BroadcastExchange") == DEPTH
+    assert plan.count("ReusedExchange") == DEPTH - 1
+
+
 @pytest.mark.parametrize("name", BATCH)
 def test_whole_texts_are_not_dealt_out(spark, sf_dir, name):
     assert "RoundRobin" not in plan_text(QUERIES[name](spark, sf_dir))
