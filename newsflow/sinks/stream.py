@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsflow.operators.parse import to_json_value
 from newsflow.sinks.batch import Target, write_batch
+from newsflow.sources.segments import FORMAT, register_segments
 
 
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -16,6 +17,10 @@ def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
 
 def _append(df: DataFrame, target: Target, checkpoint: str, trigger) -> StreamingQuery:
     options = dict(target.options, **({"path": target.path} if target.path else {}))
+    if target.fmt == FORMAT:
+        # a query is known by its checkpoint, also after a restart
+        register_segments(df.sparkSession)
+        options.setdefault("query", checkpoint)
     return _start(df.writeStream.format(target.fmt).options(**options), checkpoint, trigger)
 
 

@@ -58,6 +58,15 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     return parse_feeds(spark.read.text(path, wholetext=True), "value")
 
 
+def read_feed_stream(
+    spark: SparkSession, path: str, options: dict[str, str] | None = None
+) -> DataFrame:
+    """The feed files that arrive in the folder ``path``, each as a whole in ``xml``. ``options``
+    may limit a micro-batch (``maxFilesPerTrigger``)."""
+    reader = spark.readStream.format("text").options(wholetext="true", **(options or {}))
+    return reader.load(path).withColumnRenamed("value", "xml")
+
+
 def parse_feeds(df: DataFrame, column: str = "xml") -> DataFrame:
     """Items of the feeds held as text in ``column``, whatever their dialect; a lone
     <channel> is read too. A document that is not well-formed gives no items."""
