@@ -300,6 +300,32 @@ FEED_ROWS = f"""{ART}, feed AS (
     published_ts + INTERVAL 1 SECOND FROM art)"""
 FEED_TIME = "strftime(published_ts, '%a %b %d %H:%M:%S UTC %Y') AS published"
 
+EVENT_LINKS = """el AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'http://events.example.com/hot'
+      WHEN event_id % 2 = 0 THEN 'http://events.example.com/' || (props ->> '$.k')
+      ELSE ' ' || upper('http://events.example.com/' || (props ->> '$.k')) END AS link,
+    event_id, ts AS published_ts
+  FROM events)"""
+
+
+def _sessions(source: str, gap: int, delay: int, order: str) -> str:
+    """first_of: the first row of each session of a link that the watermark has passed; gap and
+    delay in minutes."""
+    return f"""gaps AS (
+  SELECT *, published_ts >= lag(published_ts) OVER (
+      PARTITION BY lower(trim(link)) ORDER BY published_ts) + INTERVAL '{gap} minutes' AS fresh
+  FROM {source} WHERE trim(link) <> ''),
+numbered AS (
+  SELECT *, count(*) FILTER (fresh) OVER (
+      PARTITION BY lower(trim(link)) ORDER BY published_ts RANGE UNBOUNDED PRECEDING) AS session
+  FROM gaps),
+first_of AS (
+  SELECT * FROM numbered QUALIFY row_number() OVER (
+      PARTITION BY lower(trim(link)), session ORDER BY {order}) = 1
+    AND max(published_ts) OVER (PARTITION BY lower(trim(link)), session) + INTERVAL '{gap} minutes'
+      <= (SELECT max(published_ts) FROM {source}) - INTERVAL '{delay} minutes')"""
+
+
 ORACLES = {
     "json_parse": """SELECT CASE WHEN role = 'user' THEN role END AS source,
   CASE WHEN role = 'user' THEN text END AS title,
@@ -461,6 +487,19 @@ one AS (
 SELECT to_json(struct_pack(source := source, title := title, content := content, link := link,
   published := published))::VARCHAR AS value
 FROM one""",
+    "stream_feeds": f"""WITH {FEED_ROWS}, f AS (
+  SELECT translate(source, '"' || chr(10) || chr(13), '''  ') AS source,
+    translate(title, '"' || chr(10) || chr(13), '''  ') AS title,
+    translate(content, '"' || chr(10) || chr(13), '''  ') AS content, link, published_ts, {FEED_TIME}
+  FROM feed),
+{_sessions('f', 60, 10, 'published, title, content, source')}
+SELECT to_json(struct_pack(source := source, title := title, content := content, link := link,
+  published := published))::VARCHAR AS value
+FROM first_of""",
+    "stream_links": f"WITH {EVENT_LINKS} SELECT DISTINCT lower(trim(link)) AS link_key FROM el",
+    "stream_earliest": f"""WITH {EVENT_LINKS}, {_sessions('el', 10, 5, 'published_ts, event_id')}
+SELECT link, event_id, published_ts FROM first_of""",
+    "topic_latest": f"WITH {ART} SELECT doc_id, source, title, link FROM art WHERE doc_id % 2 = 1",
     "stream_cleaning": f"""WITH cl AS (
   SELECT DISTINCT {_clean('text')} AS title, '' AS content FROM documents),
 {_top_keywords('cl', 'title', _tokens(TEXT, 3, STOP_WORDS))}

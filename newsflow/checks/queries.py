@@ -23,7 +23,7 @@ from newsflow.plans import breaking as breaking_plans
 from newsflow.plans import trends as trend_plans
 from newsflow.plans.sentiment import article_sentiment
 from newsflow.schemas import RAW_ARTICLE
-from newsflow.sinks.batch import Target
+from newsflow.sinks.batch import Target, write_batch
 from newsflow.sinks.stream import run_available, write_collection, write_topic
 from newsflow.plans.feeds import feed_records
 from newsflow.sources.feeds import parse_feeds
@@ -35,7 +35,8 @@ from newsflow.sources.tables import (
     raw_records,
     table,
 )
-from newsflow.sources.topics import read_table_stream, read_topic
+from newsflow.sources.segments import FORMAT
+from newsflow.sources.topics import read_cleaned_topic, read_table_stream, read_topic
 from newsflow.streaming import jobs
 
 # Words common in the test tables, whose text is invented.
@@ -523,9 +524,9 @@ def _item(title, content, link, ts, dialect: str):
     return F.concat(F.lit("<item>"), *parts, when, F.lit("</item>"))
 
 
-def _feeds(spark, sf) -> DataFrame:
+def _feeds(spark, sf, documents: DataFrame | None = None) -> DataFrame:
     """Every document as a feed of two items with one link, in three dialects by turns."""
-    articles = article_view(_documents(spark, sf))
+    articles = article_view(_documents(spark, sf) if documents is None else documents)
     text = F.concat("title", F.lit("\n"), "content")
     xml = F.lit(None).cast("string")
     for n, dialect in enumerate(("rss", "rdf", "atom")):
@@ -672,7 +673,7 @@ def stream_late(spark, sf):
         part.coalesce(1).write.mode("append").parquet(f"{base}/late.parquet")
     once = {"maxFilesPerTrigger": "1"}
     records = _event_records(spark, sf, read_table_stream(spark, base, "late.parquet", once))
-    out, _ = _run(spark, jobs.start_activity, records, ACTIVITY_ROWS)
+    out, _ = _run(spark, jobs.start_activity, records, ACTIVITY_ROWS, late_rows=True)
     return _utc(out, "window_start", "window_end")
 
 
@@ -712,6 +713,72 @@ def topic_roundtrip(spark, sf):
     return spark.read.parquet(collection.path)
 
 
+def stream_feeds(spark, sf):
+    """Feeds to a raw topic: of the items of a link the earliest, once no earlier can come."""
+    base = _scratch(spark)
+    feeds = _feeds(spark, sf, read_table_stream(spark, sf, "documents.parquet"))
+    topic = Target("json", f"{base}/raw")
+    options = {"bounded_state": True, "within": "1 hour", "delay": "10 minutes"}
+    run_available(
+        jobs.start_feeds(feeds, topic, f"{base}/checkpoint", trigger=NOW, **options)
+    )
+    return _written(spark, topic, "value string")
+
+
+def _event_links(events: DataFrame) -> DataFrame:
+    """A third of all events share a link; others have that of their key, written in two ways."""
+    k = F.concat(F.lit("http://events.example.com/"), F.get_json_object("props", "$.k"))
+    link = F.when(F.col("event_id") % 3 == 0, "http://events.example.com/hot")
+    link = link.otherwise(F.when(F.col("event_id") % 2 == 0, k).otherwise(F.concat(F.lit(" "), F.upper(k))))
+    at = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    return events.select(link.alias("link"), "event_id", at.alias("published_ts"))
+
+
+def stream_links(spark, sf):
+    """Links of a stream, each once whatever its case: copies of the hot one are reduced in
+    eight places, and links behind the watermark are forgotten."""
+    base = _scratch(spark)
+    rows = _event_links(read_table_stream(spark, sf, "events.parquet"))
+    kept = dedup.dedup_links(rows, delay="400 days", bounded_state=True, split=8)
+    found = Target("parquet", f"{base}/links")
+    run_available(write_collection(kept, found, f"{base}/checkpoint", NOW))
+    written = _written(spark, found, "link string")
+    return written.select(F.lower(F.trim("link")).alias("link_key"))
+
+
+def stream_earliest(spark, sf):
+    """Of the events of a link, the earliest of those that follow each other within ten
+    minutes, whatever their order of arrival."""
+    base = _scratch(spark)
+    rows = _event_links(read_table_stream(spark, sf, "events.parquet"))
+    kept = dedup.dedup_links(
+        rows, delay="5 minutes", within="10 minutes", order_by=("published_ts", "event_id")
+    )
+    found = Target("parquet", f"{base}/links")
+    run_available(write_collection(kept, found, f"{base}/checkpoint", NOW))
+    return _utc(_written(spark, found, "link string, event_id bigint, published_ts timestamp"), "published_ts")
+
+
+def topic_latest(spark, sf):
+    """A reader of cleaned records that starts when half of them are in the topic gets the
+    other half; the collection is committed batch by batch."""
+    base = _scratch(spark)
+    articles = article_view(_documents(spark, sf)).select("doc_id", "source", "title", "link")
+    for half in range(2):
+        message = parse.to_json_value(articles.where(F.col("doc_id") % 2 == half))
+        if half:
+            records = read_cleaned_topic(spark, base, "cleaned", fmt=FORMAT)
+            rows = parse.parse_json(records, articles.schema)
+            collection = Target(FORMAT, f"{base}/collection")
+            query = write_collection(rows, collection, f"{base}/checkpoint")
+            query.processAllAvailable()
+        write_batch(message, Target(FORMAT, f"{base}/cleaned"), "sending", half)
+    query.processAllAvailable()
+    query.stop()
+    found = spark.read.format(FORMAT).load(f"{base}/collection")
+    return found.select(*articles.columns)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -780,5 +847,9 @@ QUERIES = {
         stream_breaking_running,
         stream_sentiment,
         topic_roundtrip,
+        topic_latest,
+        stream_feeds,
+        stream_links,
+        stream_earliest,
     )
 }

@@ -19,12 +19,13 @@ def cleaned_articles(
     delay: str = "1 minute",
     bounded_state: bool | None = None,
     split: int = 1,
+    within: str | None = None,
     enrich_first: bool = True,
 ) -> DataFrame:
     """JSON records (``value``) to cleaned articles in the written column order.
 
-    Streams drop repeated titles first and enrich what is left; ``bounded_state`` and
-    ``split`` are those of :func:`dedup_titles`. Batch input is enriched first by default:
+    Streams drop repeated titles first and enrich what is left; ``bounded_state``,
+    ``split`` and ``within`` are those of :func:`dedup_titles`. Batch input is enriched first by default:
     the enrichment is row-local, and the shuffle on the title then leaves the text behind
     whenever the caller does not use it. Without ``enrich_first`` only the rows that are
     kept are enriched, which pays where titles have many copies or the text is used.
@@ -33,6 +34,8 @@ def cleaned_articles(
     if enrich_first and not records.isStreaming:
         articles = dedup_titles(enrich(timed))
     else:
-        kept = dedup_titles(timed, delay=delay, bounded_state=bounded_state, split=split)
+        kept = dedup_titles(
+            timed, delay=delay, bounded_state=bounded_state, split=split, within=within
+        )
         articles = enrich(kept)
     return published_from_ts(articles).select(*CLEANED_COLUMNS)

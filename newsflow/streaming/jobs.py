@@ -13,11 +13,34 @@ from newsflow.operators.parse import parse_json
 from newsflow.operators.trends import stamp
 from newsflow.plans.articles import cleaned_articles
 from newsflow.plans.breaking import THRESHOLD, alerts_of_windows, windowed_titles
+from newsflow.plans.feeds import feed_records
 from newsflow.plans.sentiment import article_sentiment
 from newsflow.plans.trends import category_activity, keyword_events, keyword_trends
 from newsflow.schemas import CLEANED_ARTICLE
 from newsflow.sinks.batch import Target
-from newsflow.sinks.stream import fan_out
+from newsflow.sinks.stream import fan_out, write_collection
+
+
+def start_feeds(
+    feeds: DataFrame,
+    topic: Target,
+    checkpoint: str,
+    *,
+    bounded_state: bool,
+    delay: str = "10 minutes",
+    within: str | None = None,
+    split: int = 1,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Feed texts (``xml``) to the raw topic: items escaped, one per link.
+
+    The first item of a link that arrives is sent at once. With ``within`` the earliest is
+    sent instead, when ``delay`` has shown that no earlier one comes.
+    """
+    records = feed_records(
+        feeds, delay=delay, within=within, bounded_state=bounded_state, split=split
+    )
+    return write_collection(records, topic, checkpoint, trigger)
 
 
 def start_cleaning(
@@ -29,11 +52,13 @@ def start_cleaning(
     *,
     bounded_state: bool,
     split: int = 1,
+    within: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Raw records to the collection of cleaned articles and the cleaned topic, which
-    carries no key. One query feeds both, so articles are de-duplicated once."""
-    articles = cleaned_articles(records, delay, bounded_state, split)
+    carries no key. One query feeds both, so articles are de-duplicated once. The first copy of
+    a title that arrives is kept; with ``within`` the earliest, see :func:`dedup_titles`."""
+    articles = cleaned_articles(records, delay, bounded_state, split, within)
     return fan_out(articles, collection, topic, checkpoint, key=None, trigger=trigger)
 
 

@@ -23,6 +23,7 @@ from newsflow.schemas import (
 )
 from newsflow.sinks import Target, fan_out, run_available, write_batch
 from newsflow.sinks import write_collection, write_topic
+from newsflow.sources.feeds import read_feed_stream
 from newsflow.sources.topics import (
     read_cleaned_topic,
     read_raw_topic,
@@ -458,3 +459,134 @@ def test_scratch_folders_are_in_the_shared_one(spark):
     first, second = _scratch(spark), _scratch(spark)
     assert first != second
     assert first.startswith(spark.conf.get("spark.checkpoint.dir") + "/run-")
+
+
+def state_rows(query):
+    """The most rows that all state of a finished query held at once."""
+    return max(
+        (sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in map(dict, query.recentProgress)),
+        default=0,
+    )
+
+
+def spread_events(spark, folder, files=6):
+    """Events of one category, each in a minute of its own, in the order of time."""
+    for n in range(files):
+        rows = spark.range(n * 40, n * 40 + 40).selectExpr(
+            "timestamp '2024-01-01 10:00:00' + make_dt_interval(0, 0, id, 30) AS published_ts",
+            "concat('k', id % 10) AS keyword",
+            "concat('c', id % 2) AS category",
+        )
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        for f in sorted(os.listdir(folder)):
+            if f.endswith(".parquet") and not os.path.exists(f"{folder}/../{f}.seen"):
+                os.utime(f"{folder}/{f}", (n + 1, n + 1))
+                open(f"{folder}/../{f}.seen", "w").close()
+
+
+@pytest.mark.parametrize("plan", ["activity", "trends", "bursts"])
+def test_streams_keep_a_slot_once_not_once_per_window(spark, tmp_path, plan):
+    folder = str(tmp_path / "events")
+    spread_events(spark, folder)
+    schema = spark.read.parquet(folder).schema
+
+    def run(late_rows):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
+        if plan == "activity":
+            # windows of 20 slots
+            events = trend_plans.activity_of_events(stream, "20 minutes", "1 minute", "5 minutes", late_rows)
+        elif plan == "trends":
+            events = trend_plans.trends_of_events(
+                stream, "20 minutes", "1 minute", "10 minutes", 1, "5 minutes", late_rows
+            )
+        else:
+            events = breaking_plans.burst_counts(stream, "20 minutes", "1 minute", "5 minutes", late_rows)
+        out = Target("parquet", str(tmp_path / f"out-{late_rows}"))
+        query = write_collection(events, out, str(tmp_path / f"checkpoint-{late_rows}"), NOW)
+        run_available(query)
+        first = max(
+            sum(op["numRowsTotal"] for op in list(dict(p)["stateOperators"])[-1:]) for p in query.recentProgress
+        )
+        return sorted(map(str, spark.read.parquet(out.path).collect())), first, state_rows(query)
+
+    slotted, open_slots, _ = run(False)
+    single, all_windows, _ = run(True)
+    assert slotted == single and len(slotted) > 100
+    # 40 events a micro-batch, a slot each, within the watermark of 5 minutes; windows by 20
+    assert open_slots <= 50 and all_windows >= 2 * open_slots
+
+
+@pytest.mark.parametrize("options", [{"bounded_state": True}, {"bounded_state": True, "split": 8}, {"within": "10 minutes"}])
+def test_link_state_ends_by_time(topic, spark, tmp_path, options):
+    """A hot link and one of its own in each of 12 hours: what is remembered does not grow."""
+    for hour in range(12):
+        topic.add([raw(f"t{hour}-{k}", 60 * hour, k, link="http://hot" if k % 2 else f"http://{hour}/{k}") for k in range(20)])
+    records = parse_json(topic.stream(), "title string, link string, published string")
+    at = F.to_timestamp(F.substring("published", 5, 99), "MMM dd HH:mm:ss z yyyy")
+    rows_ = records.select("title", "link", at.alias("published_ts"))
+    kept = dedup_links(rows_, delay="5 minutes", **options)
+    out = Target("parquet", str(tmp_path / "links"))
+    query = write_collection(kept, out, str(tmp_path / "checkpoint"), NOW)
+    run_available(query)
+    held = [sum(op["numRowsTotal"] for op in dict(p)["stateOperators"]) for p in query.recentProgress]
+    assert max(held) <= 2 * (11 + 11 + 8) + 4
+    found = [r.link for r in spark.read.parquet(out.path).collect()]
+    # each hour's copies of the hot link are one, and sessions of the last hour may still be open;
+    # a link that is remembered is forgotten no earlier than it may be
+    assert found.count("http://hot") in ((11, 12) if "within" in options else range(2, 13))
+    assert len(found) - found.count("http://hot") in (110, 120)
+
+
+def test_the_earliest_copy_wins_whatever_comes_first(topic, spark, tmp_path):
+    topic.add([raw("a", 5, link="http://x"), raw("b", 0, link="http://y")])
+    topic.add([raw("early", 1, link="HTTP://X "), raw("late", 9, link="http://y")])
+    topic.add([raw("end", 60)])
+    topic.add([raw("end2", 61)])
+    records = parse_json(topic.stream(), "title string, link string, published string")
+    at = F.to_timestamp(F.substring("published", 5, 99), "MMM dd HH:mm:ss z yyyy")
+    rows_ = records.select("title", "link", at.alias("published_ts"))
+    kept = dedup_links(rows_, delay="20 minutes", within="10 minutes")
+    out = Target("parquet", str(tmp_path / "links"))
+    run_available(write_collection(kept, out, str(tmp_path / "checkpoint"), NOW))
+    assert {r.title for r in spark.read.parquet(out.path).collect()} == {"early", "b"}
+
+
+def test_cleaning_may_keep_the_earliest_title(topic, outputs):
+    topic.add([raw("same", 3, link="http://b"), raw("other", 0)])
+    topic.add([raw("same", 2, link="http://a"), raw("last", 90)])
+    topic.add([raw("very last", 91)])
+    got = outputs.run(
+        jobs.start_cleaning, topic.stream(), delay="30 minutes", bounded_state=True, within="20 minutes"
+    )
+    assert sorted((r.title, r.link) for r in got.collect()) == [("other", "http://a/other"), ("same", "http://a")]
+
+
+def test_feeds_become_raw_records(spark, tmp_path):
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+
+    def feed(n, *items):
+        body = "".join(
+            f"<item><title>{t}</title><link>{link}</link><pubDate>Mon, 01 Jan 2024 {at} GMT</pubDate></item>"
+            for t, link, at in items
+        )
+        (folder / f"{n}.xml").write_text(f"<rss><channel><title>F</title>{body}</channel></rss>")
+        os.utime(folder / f"{n}.xml", (n, n))
+
+    feed(1, ('say "hi"', "http://a", "10:05:00"), ("b", "http://b", "10:00:00"), ("no link", "", "10:00:00"))
+    feed(2, ("again", " HTTP://A", "10:01:00"), ("c", "http://c", "10:00:00"))
+    feed(3, ("end", "http://end", "13:00:00"))
+    feed(4, ("end2", "http://end2", "13:01:00"))
+    one = {"maxFilesPerTrigger": "1"}
+    titles = {}
+    for name, options in {"first": {}, "earliest": {"within": "1 hour"}}.items():
+        topic = Target("segments", str(tmp_path / name))
+        feeds = read_feed_stream(spark, str(folder), one)
+        run_available(
+            jobs.start_feeds(feeds, topic, str(tmp_path / f"{name}-c"), bounded_state=True, trigger=NOW, **options)
+        )
+        sent = [json.loads(r.value) for r in spark.read.format("segments").load(topic.path).collect()]
+        titles[name] = sorted(r["title"] for r in sent)
+        assert {r["source"] for r in sent} == {"F"}
+    assert titles["first"] == ["b", "c", "end", "end2", "say 'hi'"]
+    assert titles["earliest"] == ["again", "b", "c"]
