@@ -159,18 +159,22 @@ def neighbour_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.coalesce(quoted(text), F.lit("")).alias("text"),
     ).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    # null ids count as 0 that is not known, so that keys of rows can be compared anywhere
     key = F.struct(
-        F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("tie")
+        F.col("doc_id").isNotNull().alias("known"),
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"),
+        F.col("tie"),
     )
-    cuts = _cuts(source)
-    group = _group_of(F.col("doc_id"), cuts)
+    cuts = _cuts(source, key)
+    group = _group_of(key, cuts)
     keyed = source.withColumn("group", group)
     # the first row of each group also goes to the group before it; a row per group
     firsts = sorted(
         keyed.groupBy("group").agg(F.min(key).alias("first")).collect(), key=lambda r: r[0]
     )
     before = [
-        (r.group, r.first.doc_id, r.first.tie, firsts[i - 1].group) for i, r in enumerate(firsts)
+        (r.group, r.first.doc_id if r.first.known else None, r.first.tie, firsts[i - 1].group)
+        for i, r in enumerate(firsts)
     ]
     leading = spark.createDataFrame(before, "group long, doc_id long, tie long, guest_of long")
     same = (
@@ -243,26 +247,41 @@ def neighbour_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return sorted_rows.mapInArrow(by_batches("fingerprints", run), schema)
 
 
-def _cuts(rows: DataFrame) -> list[int]:
-    """Ids that cut the rows into about as many groups as there are shuffle partitions."""
+#: Rows that are looked at to cut the table into groups, for each group.
+LOOKED_AT = 64
+
+
+def _cuts(rows: DataFrame, key: Column) -> list:
+    """Keys that cut the rows into about as many groups as there are shuffle partitions, from
+    a bounded number of rows. They only say where groups end: of many rows with one id, each
+    goes to a group by its tie."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / parts for i in range(1, parts)]
-    if not shares:
-        return []
-    return sorted({int(c) for c in rows.stat.approxQuantile("doc_id", shares, 0.2 / parts)})
+    seen = rows.select(key.alias("key"), F.rand(7).alias("place")).orderBy("place")
+    seen = sorted(tuple(r.key) for r in seen.limit(parts * LOOKED_AT).collect())
+    return sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
 
 
-def _group_of(key: Column, cuts: list[int], step: int = 256) -> Column:
-    """How many cuts are at or below the id; null ids are in group 0. Every 256th cut is
-    compared first, then those up to the next of these."""
+def _group_of(key: Column, cuts: list, step: int = 256) -> Column:
+    """How many cuts are at or below the key. Every 256th cut is compared first, then those up
+    to the next of these."""
     if not cuts:
         return F.lit(0).cast("long")
 
     def below(values: Column) -> Column:
         return F.size(F.filter(values, lambda c: c <= key))
 
-    def array(values: list[int]) -> Column:
-        return F.array(*[F.lit(c).cast("long") for c in values])
+    def literal(cut) -> Column:
+        if not isinstance(cut, tuple):
+            return F.lit(cut).cast("long")
+        known, doc_id, tie = cut
+        return F.struct(
+            F.lit(known).alias("known"),
+            F.lit(doc_id).cast("long").alias("doc_id"),
+            F.lit(tie).cast("long").alias("tie"),
+        )
+
+    def array(values: list) -> Column:
+        return F.array(*map(literal, values))
 
     skip = F.greatest(below(array(cuts[::step])) - 1, F.lit(0)) * step
     return F.coalesce(skip + below(F.slice(array(cuts), skip + 1, step)), F.lit(0)).cast("long")

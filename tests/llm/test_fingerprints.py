@@ -101,3 +101,22 @@ def test_groups_by_cuts(spark):
     df = spark.range(-10, 6100)
     got = df.select("id", module._group_of(F.col("id"), cuts).alias("g")).collect()
     assert all(r.g == sum(c <= r.id for c in cuts) for r in got)
+
+
+def test_rows_of_one_id_are_in_many_groups(spark):
+    """A third of all rows have no id, another third share one."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id"))
+    rows = spark.range(600).select(ids.cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    source = rows.withColumn("tie", F.xxhash64("text"))
+    key = F.struct(
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "tie"
+    )
+    cuts = module._cuts(source, key)
+    group = module._group_of(key, cuts).alias("group")
+    sizes = source.groupBy(group, F.coalesce("doc_id", F.lit(-1)).isin(-1).alias("null"), (F.col("doc_id") == 7).alias("hot")).count().collect()
+    assert len({r.group for r in sizes if r.null}) > 1 and max(r["count"] for r in sizes) < 300
+    plain = sorted(rows.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    got = neighbour_likeness(rows).collect()
+    assert len(got) == 600 and sorted(r.doc_id or -1 for r in got) == sorted(r.doc_id or -1 for r in plain)
+    # every text is followed by one: all next texts differ from their own here
+    assert all(r.near_next < 1 for r in got)
