@@ -180,7 +180,8 @@ def _chosen(ids: DataFrame, limit: int) -> DataFrame:
 
 
 def _sample(texts: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features, in halves of the usual width, of the texts of a bounded list of ids."""
+    """Features, in halves of the usual width, of a bounded list of ids: of rows that share an
+    id the one with the smallest text, so that there are as many as ids."""
 
     def run(batches):
         for batch in batches:
@@ -189,7 +190,8 @@ def _sample(texts: DataFrame, ids: DataFrame) -> np.ndarray:
                     [pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["x"]
                 )
 
-    found = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    found = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     data, _ = buffers(found.mapInArrow(by_batches("quality", run), "x binary").toArrow().column(0))
     return data.view("<f2").reshape(-1, WIDTH)
 

@@ -81,3 +81,12 @@ def test_nothing_to_learn_from(spark):
     got = quality(docs, labels).collect()
     assert [(r.score, r.predicted) for r in got] == [(0.5, 1)] * 2
     assert quality(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_an_id_that_many_rows_repeat_is_sampled_once(spark):
+    from newsflow.llm import quality as module
+
+    rows = [(k, f"text number {k}") for k in range(30)] + [(5, f"another text {k % 50}") for k in range(2000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = spark.createDataFrame([(k,) for k in range(30)], "doc_id long")
+    assert len(module._sample(texts, ids)) == 30
