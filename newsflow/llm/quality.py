@@ -211,7 +211,11 @@ def train(
 ) -> Model | None:
     """Fit on at most ``positives`` labelled good rows and ``unlabelled`` rows of all
     documents, both outside the held-out fold; the prior is the share of good rows among all
-    labelled rows outside it. None if there is no labelled good row or no document."""
+    labelled rows outside it. None if there is no labelled good row or no document.
+
+    Samples are chosen by id; rows that repeat an id are one text, the smallest. An id with
+    labels that contradict each other counts as good here, and as both in the prior. Very long
+    texts are read whole."""
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
     known = known.where(~held_out(F.col("doc_id")))
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]

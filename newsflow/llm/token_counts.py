@@ -67,7 +67,8 @@ def token_counts(
     strings of special tokens inside a text count as the library counts them by default.
     A null or empty text has 0 bytes and 0 tokens. Rows are independent: repeated rows,
     null ids and an empty table need nothing special. Files whose split is not the
-    byte-level one are counted by encoding whole texts.
+    byte-level one are counted by encoding whole texts. Pre-tokens are known by a 64-bit hash,
+    which two of a million mistake for each other with a chance of 3 in 100 million.
     """
     ship(docs.sparkSession)
     whole = ByteLevel(path).whole_tokens()

@@ -179,6 +179,7 @@ def token_files(
     Null and empty texts are the end id alone. Null ids come first; rows of one id are in
     the order of a hash of their text. An empty table gives no rows. Only the manifest, a
     row per shard, passes through the driver. A retried task writes files of its own name.
+    Pre-tokens are known by a 64-bit hash.
     """
     folder = folder or scratch(docs.sparkSession, "token-files")
     return read_shards(docs.sparkSession, folder, write_shards(docs, folder, path, end, **columns))

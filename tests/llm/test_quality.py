@@ -1,4 +1,6 @@
+import math
 import os
+import re
 import zlib
 from pathlib import Path
 
@@ -90,3 +92,78 @@ def test_an_id_that_many_rows_repeat_is_sampled_once(spark):
     texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     ids = spark.createDataFrame([(k,) for k in range(30)], "doc_id long")
     assert len(module._sample(texts, ids)) == 30
+
+
+def plain_features(text):
+    """The shares of class pairs and repeated words of one text, counted one by one."""
+    from newsflow.llm import quality as module
+
+    raw = text.encode()
+    kinds = [int(module._KINDS[b]) for b in raw]
+    out = np.zeros(WIDTH)
+    fine = module.CLASSES**2
+    for a, b in zip(kinds, kinds[1:]):
+        out[a * module.CLASSES + b] += 1
+        out[fine + int(module._COARSE[a]) * module.COARSE + int(module._COARSE[b])] += 1
+    out[:-3] /= max(len(raw) - 1, 1)
+    found = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    out[-3] = sum(a == b for a, b in zip(found, found[1:]))
+    out[-2] = sum(a == b for a, b in zip(found, found[2:]))
+    out[-1] = len(found) - len(set(found))
+    out[-3:] /= max(len(found), 1)
+    return np.sqrt(out)
+
+
+TEXTS = ["", "a", "Ab 1! the the cat the", "$$$ %%%", "ÄÖ\n\nx x x", "One. Two, three; four?\t" * 9]
+
+
+def test_features_and_scores_equal_a_plain_version():
+    want = np.array([plain_features(t) for t in TEXTS])
+    assert np.allclose(features(*buffers(pa.array(TEXTS))), want, atol=1e-6)
+    rng = np.random.default_rng(1)
+    model = fit_nnpu(rng.random((40, WIDTH), np.float32), rng.random((60, WIDTH), np.float32), 0.4, steps=3)
+    for text, got in zip(TEXTS, model.score(pa.array(TEXTS))):
+        x = plain_features(text)
+        hidden = [
+            max(0.0, sum((x[i] - model.mean[i]) * model.scale[i] * model.w1[i, j] for i in range(WIDTH)) + model.b1[j])
+            for j in range(len(model.b1))
+        ]
+        margin = sum(h * w for h, w in zip(hidden, model.w2)) + model.b2
+        assert got == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-4)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_a_step_goes_down_the_non_negative_risk(prior):
+    """Numeric derivatives of the risk as it is written: the first step of the fit moves every
+    weight against its sign, or along that of the negative part where it is below zero."""
+    rng = np.random.default_rng(5)
+    p = rng.normal(0.6, 1, (64, 3)).astype(np.float32)
+    u = rng.normal(0.0, 1, (64, 3)).astype(np.float32)
+    settings = {"prior": prior, "hidden": 2, "batch": 64, "decay": 0.0, "seed": 3, "rate": 1e-3}
+    start, after = (fit_nnpu(p, u, steps=n, **settings) for n in (0, 1))
+    draws = np.random.default_rng(3)
+    draws.normal(0, 1, (3, 2)), draws.normal(0, 1, 2)
+    xu, xp = u[draws.integers(0, 64, 64)], p[draws.integers(0, 64, 64)]
+
+    def margins(x, w1):
+        h = np.maximum(((x - start.mean) * start.scale).astype(float) @ w1 + start.b1, 0)
+        return h @ start.w2 + start.b2
+
+    def risks(w1):
+        of = {k: margins(x, w1) for k, x in (("p", xp), ("u", xu))}
+        positive = prior * np.log1p(np.exp(-of["p"])).mean()
+        negative = np.log1p(np.exp(of["u"])).mean() - prior * np.log1p(np.exp(of["p"])).mean()
+        return positive, negative
+
+    below = risks(start.w1.astype(float))[1] < 0
+    for i in range(3):
+        for j in range(2):
+            ends = []
+            for way in (1e-5, -1e-5):
+                w1 = start.w1.astype(float).copy()
+                w1[i, j] += way
+                positive, negative = risks(w1)
+                ends.append(-negative if below else positive + negative)
+            slope = (ends[0] - ends[1]) / 2e-5
+            if abs(slope) > 1e-4:
+                assert np.sign(after.w1[i, j] - start.w1[i, j]) == -np.sign(slope)
