@@ -423,6 +423,11 @@ SELECT doc_id, {_sentiment(ANALYSIS_TOKENS, FREQUENT_POSITIVE, FREQUENT_NEGATIVE
   {_hits(_tokens('lower(trim(text))', 2), POSITIVE_WORDS + FREQUENT_POSITIVE)} AS positive_count,
   {_hits(_tokens('lower(trim(text))', 2), NEGATIVE_WORDS + FREQUENT_NEGATIVE)} AS negative_count
 FROM conversations""",
+    "lexicon_table": f"""WITH h AS (SELECT conv_id, turn,
+  {_hits(_tokens('lower(trim(text))', 2), POSITIVE_WORDS + FREQUENT_POSITIVE)}::BIGINT AS positive_count,
+  {_hits(_tokens('lower(trim(text))', 2), NEGATIVE_WORDS + FREQUENT_NEGATIVE)}::BIGINT AS negative_count
+FROM conversations)
+SELECT *, positive_count - 2 * negative_count AS weight FROM h""",
     "keyword_events": f"""WITH {CATEGORISED}, {KEYWORD_EVENTS}
 SELECT title, category, keyword, published_ts FROM ke""",
     "window_positions": f"""WITH {EVENTS}, {_windows('ev', 240, 120)}
@@ -514,13 +519,15 @@ FROM cl LEFT JOIN kw USING (title)""",
     "stream_activity": f"""WITH {EVENTS},
 {_activity('ev', 'window_end <= ' + LAST_WATERMARK.format(delay=10))}""",
     "stream_late": f"""WITH {EVENTS}, mark AS (
-  SELECT max(ts) FILTER (event_id % 3 = 0) - INTERVAL '10 minutes' AS first_mark FROM events),
+  SELECT max(ts) FILTER (event_id % 3 = 0) - INTERVAL '10 minutes' AS first_mark,
+    max(ts) FILTER (event_id % 3 < 2) - INTERVAL '10 minutes' AS second_mark FROM events),
 {_windows('ev', 20, 5)}
 SELECT window_start, window_end, category, count(*) AS category_count,
   CASE WHEN count(*) >= 5 THEN 'SPIKE' WHEN count(*) >= 3 THEN 'ACTIVE' ELSE 'NORMAL' END
     AS activity_level
 FROM w, mark WHERE window_end <= {LAST_WATERMARK.format(delay=10)}
-  AND (event_id % 3 < 2 OR window_end > first_mark)
+  AND (event_id % 3 <> 1 OR window_end > first_mark)
+  AND (event_id % 3 <> 2 OR window_end > second_mark)
 GROUP BY window_start, window_end, category""",
     "stream_breaking": f"""WITH ev AS (
   SELECT ts AS published_ts, event_type AS keyword,

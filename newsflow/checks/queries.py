@@ -17,7 +17,7 @@ from newsflow.lexicons import NEGATIVE_WORDS, POSITIVE_WORDS, TOPIC_TERMS
 from newsflow.operators import breaking, clean, dedup, enrich, parse, windows
 from newsflow.operators import trends as trend_operators
 from newsflow.operators.rows import explode_present
-from newsflow.operators.sentiment import add_sentiment
+from newsflow.operators.sentiment import add_sentiment, lexicon_totals
 from newsflow.plans import articles as article_plans
 from newsflow.plans import breaking as breaking_plans
 from newsflow.plans import trends as trend_plans
@@ -342,6 +342,19 @@ def lexicon_counts(spark, sf):
     )
 
 
+def lexicon_table(spark, sf):
+    """The same hits by a lexicon that is a table of weighted words, and their weight."""
+    words = [
+        *((w, "positive", 1) for w in POSITIVE_WORDS + FREQUENT_POSITIVE),
+        *((w, "negative", -2) for w in NEGATIVE_WORDS + FREQUENT_NEGATIVE),
+    ]
+    lexicon = spark.createDataFrame(sorted(set(words)), "word string, side string, weight int")
+    turns = _conversations(spark, sf).select(
+        "conv_id", "turn", tokenize(F.lower(F.trim("text")), 2).alias("tokens")
+    )
+    return lexicon_totals(turns, lexicon, ["conv_id", "turn"], sides=("positive", "negative"))
+
+
 # --- keyword trends and category activity ------------------------------------------
 
 
@@ -662,19 +675,22 @@ def stream_trend_messages(spark, sf):
 
 
 def stream_late(spark, sf):
-    """Activity of a table that comes in three parts, all over the same time. A row is late
-    for a micro-batch if the one before last has closed its windows: the second part still
-    counts, of the third only rows of windows that the first leaves open."""
+    """Activity of a table that comes in three parts, all over the same time, each in a run of
+    its own on one checkpoint. When a part comes, the parts before have closed their windows:
+    of the later parts only rows of windows that are still open count."""
     base = _scratch(spark)
+    collection, topic = Target("parquet", f"{base}/collection"), Target("json", f"{base}/topic")
     events = table(spark, sf, "events")
     for n in range(3):
-        # one file each, so that a part is a micro-batch
         part = events.where(F.col("event_id") % 3 == n)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/late.parquet")
-    once = {"maxFilesPerTrigger": "1"}
-    records = _event_records(spark, sf, read_table_stream(spark, base, "late.parquet", once))
-    out, _ = _run(spark, jobs.start_activity, records, ACTIVITY_ROWS, late_rows=True)
-    return _utc(out, "window_start", "window_end")
+        part.write.mode("append").parquet(f"{base}/late.parquet")
+        records = _event_records(spark, sf, read_table_stream(spark, base, "late.parquet"))
+        run_available(
+            jobs.start_activity(
+                records, collection, topic, f"{base}/checkpoint", trigger=NOW, late_rows=True
+            )
+        )
+    return _utc(_written(spark, collection, ACTIVITY_ROWS), "window_start", "window_end")
 
 
 def _stream_alerts(spark, sf, **options) -> DataFrame:
@@ -816,6 +832,7 @@ QUERIES = {
         sentiment,
         sentiment_frequent,
         lexicon_counts,
+        lexicon_table,
         keyword_events,
         window_positions,
         counts_by_position,

@@ -1,11 +1,17 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as registry
 import check
 from newsflow.checks.oracles import ORACLES
 from newsflow.checks.queries import QUERIES
+from newsflow.operators import sentiment
+from tests.helpers import plan_text
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +41,51 @@ def test_rare_outcomes_occur_in_the_rows_that_sql_checks(spark, sf_dir):
     assert levels == {"BREAKING", "HOT", "WARM", "NORMAL"}
     categories = {r.category for r in QUERIES["category_frequent"](spark, sf_dir).collect()}
     assert {"politics", "tech", "sports", "business"} <= categories
+
+
+@pytest.mark.parametrize(
+    "error, absent",
+    [
+        (ModuleNotFoundError("x", name="newsflow.llm"), True),
+        (ModuleNotFoundError("x", name="newsflow.llm.queries"), True),
+        (ModuleNotFoundError("x", name="tokenizers"), True),
+        (ModuleNotFoundError("x", name="newsflow.lexicons"), False),
+        (ImportError("cannot import name", name="newsflow.llm.common"), False),
+    ],
+)
+def test_only_absent_packages_are_passed_over(error, absent):
+    assert registry._absent(error) is absent
+
+
+def test_the_library_works_without_the_training_text_package():
+    code = (
+        "import sys\n"
+        "class Absent:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name.startswith(('newsflow.llm', 'corpus_pipeline')):\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Absent())\n"
+        "import __spark_entry__ as e\n"
+        "assert set(e.queries()) == set(e.oracle_sql()) == set(e.QUERIES)\n"
+    )
+    root = Path(registry.__file__).parent
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_a_lexicon_table_of_any_size_counts_the_same(spark, monkeypatch):
+    lexicon = spark.createDataFrame(
+        [("good", "up", 1.5), ("bad", "down", -1.0), ("odd", "up", 0.25), ("odd", "down", -0.25)],
+        "word string, side string, weight double",
+    )
+    texts = [["good", "good", "bad"], ["odd", "odd", "none"], [], None, ["good"]]
+    rows = [(k, texts[k % 5]) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>").repartition(3)
+    want = {0: (2, 1, 2.0), 1: (2, 2, 0.0), 2: (0, 0, 0.0), 3: (0, 0, 0.0), 4: (1, 0, 1.5)}
+    for limit in (sentiment.MAX_LEXICON, 0):
+        monkeypatch.setattr(sentiment, "MAX_LEXICON", limit)
+        got = sentiment.lexicon_totals(df, lexicon, ["k"], sides=("up", "down"))
+        assert ("BroadcastHashJoin" in plan_text(got)) == (limit > 0)
+        found = {r.k: (r.up_count, r.down_count, r.weight) for r in got.collect()}
+        assert found == {k: want[k % 5] for k in range(200)}
+    nothing = sentiment.lexicon_totals(df, lexicon.limit(0), ["k"], sides=("up",)).collect()
+    assert {(r.up_count, r.weight) for r in nothing} == {(0, 0.0)} and len(nothing) == 200
