@@ -143,7 +143,7 @@ def cut_pieces(
     ship(docs.sparkSession)
     source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     schema = T.StructType([source.schema["doc_id"]]).add("piece", "integer").add("start", "long")
-    schema = schema.add("length", "integer").add("ids", "binary")
+    schema = schema.add("length", "long").add("ids", "binary")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +166,7 @@ def cut_pieces(
                         batch.column(0).take(pa.array(owner + row)),
                         pa.array(piece.astype(np.int32)),
                         pa.array(start),
-                        pa.array(length.astype(np.int32)),
+                        pa.array(length),
                         whole.cast(pa.binary()),
                     ],
                     schema.names,
@@ -225,7 +225,7 @@ def place(
     keys = [int(s[0]) * top + int(s[1]) for s in segments]
     keys = np.array(keys, np.int64 if top * (longest + 1) < 1 << 62 else object)
     schema = T.StructType([T.StructField(n, pieces.schema[c].dataType) for n, c in zip(names, rest)])
-    schema = schema.add("sequence_id", "long").add("offset", "integer")
+    schema = schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches):
         for batch in batches:
@@ -242,7 +242,7 @@ def place(
                 [
                     *batch.columns[: len(names)],
                     pa.array(sequence, mask=~known),
-                    pa.array(offset.astype(np.int32), mask=~known),
+                    pa.array(offset, mask=~known),
                 ],
                 schema.names,
             )

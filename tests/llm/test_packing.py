@@ -158,3 +158,17 @@ def test_lengths_that_fit_nowhere_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "k int, length int")
     assert place(empty).collect() == []
     assert cut_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_the_query_has_the_columns_of_its_contract(spark, sf_dir):
+    from newsflow.llm.queries import op12_packing
+
+    assert op12_packing(spark, sf_dir).dtypes == [
+        ("doc_id", "bigint"),
+        ("piece", "int"),
+        ("start", "bigint"),
+        ("length", "bigint"),
+        ("ids_crc32", "bigint"),
+        ("sequence_id", "bigint"),
+        ("offset", "bigint"),
+    ]

@@ -124,3 +124,35 @@ def test_squares_of_sums_are_exact():
 def test_the_commonest_size_wins_and_the_greater_of_equals(spark):
     assert common_size(spark.createDataFrame([(2,), (3,), (2,)], "size int")) == 2
     assert common_size(spark.createDataFrame([(2,), (3,)], "size int")) == 3
+
+
+def test_the_query_has_the_columns_of_its_contract(spark, sf_dir):
+    from newsflow.llm.queries import op11_whitening
+
+    got = op11_whitening(spark, sf_dir)
+    assert got.dtypes == [
+        ("vec_id", "bigint"),
+        ("component", "int"),
+        ("n", "bigint"),
+        ("deviation", "bigint"),
+        ("whitened", "double"),
+        ("explained", "double"),
+        ("identity_error", "double"),
+    ]
+    # the real table against plain fractions
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v in rows])
+    n, sums = len(np.unique(x, axis=0)), np.unique(x, axis=0).sum(0)
+    centred = np.unique(x, axis=0) - sums / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    found = got.toPandas()
+    assert len(found) == 16 * len(rows) and (found.n == n).all() and found.identity_error.max() < 1e-9
+    for c in range(16):
+        e, axis = values[-1 - c], vectors[:, -1 - c]
+        part = found[found.component == c + 1].set_index("vec_id")
+        want = (x - sums / n) @ axis / np.sqrt(e)
+        mine = part.loc[[i for i, _ in rows]].whitened.to_numpy()
+        assert np.allclose(np.abs(mine), np.abs(want), atol=1e-6)
+        assert np.allclose(part.explained, e / values.sum(), rtol=1e-9)
+    deviation = ((n * x - sums) ** 2).sum(1)
+    assert found[found.component == 1].set_index("vec_id").loc[[i for i, _ in rows]].deviation.tolist() == deviation.tolist()
