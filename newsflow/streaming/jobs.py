@@ -115,13 +115,17 @@ def start_breaking(
     delay: str = "5 minutes",
     *,
     bounded_state: bool,
+    split: int = 1,
     reset: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """The sketch lives for one micro-batch, or with ``reset`` shorter. Titles and links of
-    open windows are state: once per window that covers an event."""
+    open windows are state: once per window that covers an event. ``split`` reduces the copies
+    of a hot event in so many places first."""
     articles = _cleaned(records, "title", "category", "published", "keywords", "link")
-    events = keyword_events(articles, ["link"], bounded_state=bounded_state, delay=delay)
+    events = keyword_events(
+        articles, ["link"], bounded_state=bounded_state, delay=delay, split=split
+    )
     titles = windowed_titles(events, duration, slide, None if bounded_state else delay)
 
     def alerts(batch: DataFrame) -> DataFrame:
