@@ -22,6 +22,8 @@ from newsflow.llm.common import (
     buffers,
     by_batches,
     chunks,
+    cut,
+    drop_cut,
     free_name,
     prefix_sums,
     quoted,
@@ -31,10 +33,10 @@ from newsflow.llm.common import (
 )
 
 WINDOW = 10
-#: Bytes of benchmark text that are searched for at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text that are searched for at once, and that a worker holds in one pass.
+BLOCK_BYTES, PASS_BYTES = 4 << 20, 8 << 20
 #: Bytes of training text in a shard, or one longer text.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 #: Every so many suffix positions are kept.
 SAMPLE = 8
 
@@ -261,8 +263,9 @@ def find(hashes: np.ndarray, counts: np.ndarray, w: Windows):
     return source[position], w.lengths[found], found
 
 
-def scan(texts: pa.Array, blocks: list[tuple[list[str], Windows]]):
-    """Per text: words, hit words, the items found, and the byte spans to remove."""
+def scan(texts: pa.Array, blocks: list[tuple[list[str], Windows]], known=None):
+    """Per text: words, hit words, the items found, the byte spans to remove, and the runs of
+    hit words. ``known`` has the runs and items that were found in each text before."""
     data, offsets = buffers(texts)
     for i, j in chunks(offsets, SHARD_BYTES):
         part = data[offsets[i] : offsets[j]]
@@ -271,6 +274,12 @@ def scan(texts: pa.Array, blocks: list[tuple[list[str], Windows]]):
         edges = np.append(0, np.cumsum(counts))
         hit = np.zeros(len(hashes) + 1, np.int64)
         names: dict[int, set] = {}
+        for t, (runs, items) in enumerate(known[i:j] if known else ()):
+            for a, b in runs:
+                hit[edges[t] + a] += 1
+                hit[edges[t] + b] -= 1
+            if items:
+                names[t] = set(items)
         for ids, w in blocks:
             first, size, window = find(hashes, counts, w)
             np.add.at(hit, first, 1)
@@ -295,14 +304,19 @@ def scan(texts: pa.Array, blocks: list[tuple[list[str], Windows]]):
         run_end = np.flatnonzero(covered & last)
         of = np.searchsorted(edges, run, side="right") - 1
         spans: dict[int, list] = {}
-        for t, a, b in zip(of.tolist(), starts[run].tolist(), ends[run_end].tolist()):
+        of_words: dict[int, list] = {}
+        for t, a, b, c, d in zip(
+            of.tolist(), starts[run].tolist(), ends[run_end].tolist(), run.tolist(), run_end.tolist()
+        ):
             spans.setdefault(t, []).append((a - int(at[t]), b - int(at[t])))
+            of_words.setdefault(t, []).append((c - int(edges[t]), d + 1 - int(edges[t])))
         for t in range(j - i):
             yield (
                 int(counts[t]),
                 int(sums[edges[t + 1]] - sums[edges[t]]),
                 sorted(names.get(t, ())),
                 spans.get(t, []),
+                of_words.get(t, []),
             )
 
 
@@ -325,20 +339,26 @@ RESULT = T.StructType(
 )
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, size: int):
-    """Windows of the items, block by block of bounded text; a block is what a task holds."""
+def benchmark_passes(benchmark: DataFrame, item_id: str, text: str, size: int):
+    """The windows of the items in blocks of bounded text, as many as a pass holds, and
+    whether the pass is the last one."""
     items = benchmark.select(
         quoted(item_id).cast("string").alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    spark = benchmark.sparkSession
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        block = sorted((r.id or "", r.text) for r in block)
-        found = windows_of(block, size)
-        if found:
-            yield spark.sparkContext.broadcast(([i for i, _ in block], found))
+    each = max(1, PASS_BYTES // BLOCK_BYTES)
+    for first in range(0, n, each):
+        blocks = []
+        for k in range(first, min(first + each, n)):
+            block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
+            block = sorted((r.id or "", r.text) for r in block)
+            if found := windows_of(block, size):
+                blocks.append(([i for i, _ in block], found))
+        yield blocks, first + each >= n
+
+
+SO_FAR = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
 
 
 def decontaminate(
@@ -359,26 +379,72 @@ def decontaminate(
     and empty texts have no words and are not contaminated, items without words give no
     window, a null item id counts as the empty string, and equal items are all reported.
     Rows are independent of each other. Columns of ``docs`` named like a result are
-    replaced. The benchmark passes through the driver in blocks of ``BLOCK_BYTES``,
-    and each worker holds all blocks: it must fit the memory of both.
+    replaced.
+
+    The driver and each worker hold ``PASS_BYTES`` of the benchmark at a time, or one longer
+    item. A larger one takes several passes over ``docs``, and what the passes before have
+    found travels with the rows. Words are known by a 64-bit hash.
     """
-    ship(docs.sparkSession)
-    blocks = list(benchmark_blocks(benchmark, item_id, item_text, window))
+    spark = docs.sparkSession
+    ship(spark)
     rest = [c for c in docs.columns if c.lower() not in {f.name for f in RESULT}]
-    hidden = free_name(docs, "text_searched")
-    source = docs.select(*[quoted(c) for c in rest], quoted(doc_text).alias(hidden))
-    keep = [c for c in rest if not (remove and c == doc_text)]
-    fields = [docs.schema[c] for c in keep]
+    hidden, runs, items = (
+        free_name(docs, n) for n in ("text_searched", "runs_so_far", "items_so_far")
+    )
+    current = docs.select(*[quoted(c) for c in rest], quoted(doc_text).alias(hidden))
+    kept, spent = [docs.schema[c] for c in rest], None
+    for found, last in benchmark_passes(benchmark, item_id, item_text, window):
+        held = spark.sparkContext.broadcast(found)
+        if last:
+            return _finished(current, held, kept, doc_text, remove, hidden, runs, items)
+        noted = T.StructType([*kept, T.StructField(hidden, T.StringType())])
+        noted = noted.add(runs, SO_FAR).add(items, T.ArrayType(T.StringType()))
+        passed = cut(_searched(current, held, noted, hidden, runs, items), "decontaminate")
+        held.unpersist()
+        if spent is not None:
+            drop_cut(spent)
+        current = spent = passed
+
+
+def _known(batch, runs: str, items: str):
+    """What the passes before have found, if there were any."""
+    if runs not in batch.schema.names:
+        return None
+    columns = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (runs, items))
+    return [([(r["first"], r["end"]) for r in a], b) for a, b in zip(*columns)]
+
+
+def _searched(source: DataFrame, blocks, schema: T.StructType, hidden, runs, items) -> DataFrame:
+    """A pass that notes what it finds."""
+    kept = [n for n in schema.names if n not in (runs, items)]
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(hidden))
+            found = list(scan(texts, blocks.value, _known(batch, runs, items)))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            columns.append(pa.array([[{"first": a, "end": b} for a, b in f[4]] for f in found], kind))
+            columns.append(pa.array([f[2] for f in found], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return source.mapInArrow(by_batches("decontaminate", run), schema)
+
+
+def _finished(source, blocks, fields, doc_text, remove, hidden, runs, items) -> DataFrame:
+    """The last pass, with the result."""
+    rest = [f.name for f in fields]
+    fields = [f for f in fields if not (remove and f.name == doc_text)]
+    keep = [f.name for f in fields]
     schema = T.StructType([*fields, *RESULT])
     if remove:
         schema = T.StructType([*fields, T.StructField(doc_text, T.StringType()), *RESULT])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        searched = [b.value for b in blocks]
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(hidden))
-            found = list(scan(texts, searched))
+            found = list(scan(texts, blocks.value, _known(batch, runs, items)))
             ids = [",".join(f[2]) for f in found]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             if remove:

@@ -106,3 +106,31 @@ def test_empty_tables(spark):
     assert [r.n_hit for r in decontaminate(docs, items.limit(0)).collect()] == [0]
     assert decontaminate(docs.limit(0), items).count() == 0
     assert [r.n_hit for r in decontaminate(docs, items).collect()] == [2]
+
+
+def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: rnd.choice(["alpha", "beta", "gamma", "delta", "eps"])
+    items = [(str(i), " ".join(word() for _ in range(rnd.randint(3, 14)))) for i in range(40)]
+    docs = [(i, " ".join(word() for _ in range(120))) for i in range(30)] + [(None, None), (31, "")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    held = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(
+        type(spark.sparkContext), "broadcast", lambda self, v: held.append(v) or broadcast(self, v)
+    )
+    whole = sorted(map(str, decontaminate(df, benchmark, window=5).collect()))
+    assert len(held) == 1
+    held.clear()
+    monkeypatch.setattr(module, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(module, "PASS_BYTES", 600)
+    assert sorted(map(str, decontaminate(df, benchmark, window=5).collect())) == whole
+    sizes = [sum(len(i) for i, _ in blocks) for blocks in held]
+    assert len(held) == 3 and sum(sizes) == 40 and max(sizes) < 40
+    texts = dict(docs)
+    for r in decontaminate(df, benchmark, window=5, remove=True).collect():
+        raw, out, last = (texts[r.doc_id] or "").encode(), b"", 0
+        for s in r.spans:
+            out, last = out + raw[last : s.start], s.end
+        assert (r.text or "") == (out + raw[last:]).decode()
