@@ -253,11 +253,12 @@ LOOKED_AT = 64
 
 def _cuts(rows: DataFrame, key: Column) -> list:
     """Keys that cut the rows into about as many groups as there are shuffle partitions, from
-    a bounded number of rows. They only say where groups end: of many rows with one id, each
-    goes to a group by its tie."""
+    about ``LOOKED_AT`` rows for each, whatever the number of rows. They only say where groups
+    end: of many rows with one id, each goes to a group by its tie."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = rows.select(key.alias("key"), F.rand(7).alias("place")).orderBy("place")
-    seen = sorted(tuple(r.key) for r in seen.limit(parts * LOOKED_AT).collect())
+    share = min(1.0, parts * LOOKED_AT / max(rows.count(), 1))
+    seen = rows.where(F.rand(7) < share).select(key.alias("key")).collect()
+    seen = sorted(tuple(r.key) for r in seen)
     return sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
 
 
