@@ -62,6 +62,9 @@ BURSTS = {"duration": "1 day", "slide": "6 hours"}
 BURST_THRESHOLD = 15
 RUNNING_THRESHOLD, TABLE_THRESHOLD = 40, 280
 
+# Articles whose terms one task counts.
+ARTICLES_PER_PART = 5_000
+
 
 def _documents(spark, sf) -> DataFrame:
     return table(spark, sf, "documents")
@@ -403,12 +406,20 @@ def article_trends_wide(spark, sf):
     return _utc(found, "window_start", "window_end")
 
 
+def _dealt_by_time(articles: DataFrame) -> DataFrame:
+    """The same articles in parts of neighbours in time, as many as their number asks for: a
+    task that counts their terms holds no more of them however large the files are."""
+    parts = 1 + articles.count() // ARTICLES_PER_PART
+    return articles.repartitionByRange(parts, "published_ts", "doc_id")
+
+
 def term_trends(spark, sf):
     """Trends of every term of every article: those of the first hours are all new."""
     terms = F.array_distinct("tokens")
-    found = explode_present(enrich.add_tokens(_articles(spark, sf)), terms, "keyword")
+    articles = clean.clean_fields(_dealt_by_time(article_view(_documents(spark, sf))))
+    found = explode_present(enrich.add_tokens(articles), terms, "keyword")
     events = found.select("published_ts", F.lit("all").alias("category"), "keyword")
-    return trend_plans.trends_of_events(events, **WIDE)
+    return trend_plans.trends_of_events(events, by_slot=False, **WIDE)
 
 
 def category_activity(spark, sf):

@@ -111,8 +111,14 @@ def position_counts(
     recent: str,
     ts: str = "published_ts",
     late_rows: bool = False,
+    by_slot: bool = True,
 ) -> DataFrame:
-    """(window_start, window_end, keys, current_count, previous_count)."""
+    """(window_start, window_end, keys, current_count, previous_count).
+
+    Without ``by_slot`` batch events are counted in their windows at once. Keys that hardly
+    repeat in a slot are not made fewer by counting slots first, which then only keeps each
+    task's keys in memory twice and shuffles them once more.
+    """
     d, s, r = seconds(duration), seconds(slide), seconds(recent)
     if df.isStreaming and not late_rows and not (d % s or r % s) and d > s:
         is_current = F.col("slot") >= shift(F.col("window.end"), -r)
@@ -121,7 +127,7 @@ def position_counts(
             F.sum(F.when(is_current, 0).otherwise(F.col("n"))).alias("previous_count"),
         )
         return flatten_window(counts, keys, "current_count", "previous_count")
-    if df.isStreaming or d % s or r % s:
+    if df.isStreaming or d % s or r % s or not by_slot:
         placed = window_positions(df, duration, slide, recent, ts)
         position = F.col("window_position")
         counts = placed.groupBy("window", *keys).agg(

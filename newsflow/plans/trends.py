@@ -62,11 +62,14 @@ def trends_of_events(
     min_support: int = 3,
     delay: str | None = "5 minutes",
     late_rows: bool = False,
+    by_slot: bool = True,
 ) -> DataFrame:
     """Trend rows of (published_ts, category, keyword) events. ``late_rows`` is for streams,
-    see :mod:`newsflow.operators.windows`."""
+    ``by_slot`` for batches, see :mod:`newsflow.operators.windows`."""
     events = with_delay(events, delay)
-    counts = position_counts(events, KEYWORD_KEYS, duration, slide, recent, late_rows=late_rows)
+    counts = position_counts(
+        events, KEYWORD_KEYS, duration, slide, recent, late_rows=late_rows, by_slot=by_slot
+    )
     return score_trends(counts, min_support).select(*TREND_COLUMNS)
 
 

@@ -1,13 +1,16 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 import check
+from newsflow.checks import queries as checks
 from newsflow.checks.oracles import ORACLES
 from newsflow.checks.queries import QUERIES
 from newsflow.operators import sentiment
@@ -36,6 +39,24 @@ def test_entry_has_rows_and_a_schema(spark, sf_dir):
     assert len(levels) >= 2
 
 
+def test_terms_are_counted_in_parts_of_a_bounded_number_of_articles(spark, tmp_path, monkeypatch):
+    text = F.concat_ws(" ", F.concat(F.lit("word"), F.col("id") % 7), F.lit("\n the many"), F.concat(F.lit("term"), F.col("id") % 11))
+    documents = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    documents.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def run():
+        df = QUERIES["term_trends"](spark, str(tmp_path))
+        return plan_text(df), sorted(map(str, df.collect()))
+
+    _, whole = run()
+    monkeypatch.setattr(checks, "ARTICLES_PER_PART", 50)
+    plan, got = run()
+    assert re.search(r"rangepartitioning\(.*, 9\)", plan)
+    # the parts and one more shuffle
+    assert plan.count("Exchange") == 2
+    assert got == whole and got
+
+
 def test_rare_outcomes_occur_in_the_rows_that_sql_checks(spark, sf_dir):
     levels = {r.trend_level for r in QUERIES["term_trends"](spark, sf_dir).collect()}
     assert levels == {"BREAKING", "HOT", "WARM", "NORMAL"}

@@ -68,6 +68,15 @@ def test_position_counts_equal_the_two_stage_form(events, duration, slide, recen
     assert rows
 
 
+def test_positions_counted_at_once_equal_those_by_slot(events):
+    by_slot = windows.position_counts(events, trends.KEYWORD_KEYS, "20 minutes", "10 minutes", "10 minutes")
+    at_once = windows.position_counts(
+        events, trends.KEYWORD_KEYS, "20 minutes", "10 minutes", "10 minutes", by_slot=False
+    )
+    assert at_once.dtypes == by_slot.dtypes
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, by_slot.collect()))
+
+
 def test_plans_agree(events):
     one = plans.trends_of_events(events, min_support=1)
     two = plans.trends_in_two_stages(events, min_support=1)
