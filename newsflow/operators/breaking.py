@@ -1,5 +1,7 @@
 """Burst counts, the count-min sketch as a relation, and alert evidence."""
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsflow.functions.sketch import DEPTH, WIDTH, add_buckets, place_keys
@@ -211,3 +213,81 @@ def window_evidence(
         .groupBy(*ALERT_KEYS)
         .agg(merged("sample_titles"), merged("sample_links"))
     )
+
+
+# Rows that a task folds at a time.
+FOLDED_ROWS = 100_000
+
+
+def _folding(k: int = 3, at_once: int = FOLDED_ROWS):
+    """What :func:`fold_evidence` runs in each task. Nested, so that it is sent as it is and
+    executors need not have this package."""
+
+    def fold(parts):
+        import pandas as pd
+
+        rows = pd.concat(parts, ignore_index=True)
+        groups = rows.groupby(["slot", "category", "keyword"], dropna=False, sort=False)
+        group = groups.ngroup()
+        kept = set()
+        for column in ("title", "link"):
+            values = rows[[column]].assign(group=group).dropna().drop_duplicates()
+            values = values.sort_values(["group", column])
+            kept.update(values.index[values.groupby("group").cumcount() < k])
+        # a group without titles and links still counts
+        bare = ~group.isin(group[list(kept)])
+        kept.update(rows.index[bare & ~group.duplicated()])
+        kept = sorted(kept)
+        folded = rows.loc[kept].assign(micros=groups["micros"].transform("max").loc[kept])
+        others = rows["n"].where(~rows.index.isin(kept), 0).groupby(group).sum()
+        first = ~group.loc[kept].duplicated()
+        folded["n"] += group.loc[kept].map(others).where(first, 0)
+        return folded
+
+    def fold_task(parts):
+        held, n = [], 0
+        for part in parts:
+            held.append(part)
+            n += len(part)
+            if n >= at_once:
+                held = [fold(held)]
+                n = len(held[0])
+                if n >= at_once // 2:
+                    yield held.pop()
+                    n = 0
+        if n:
+            yield fold(held)
+
+    return fold_task
+
+
+def fold_evidence(events: DataFrame, duration: str, slide: str) -> DataFrame:
+    """(published_ts, category, keyword, title, link, n) of each micro-batch, folded: of all
+    events of a keyword that lie in the same windows, those with the three smallest distinct
+    titles or links. Their ``n`` add up to that of all. They are folded in their tasks first, so
+    a hot keyword sends a few rows of each task to its place; a task holds a bounded number of
+    rows. Events without a time, which have no window, are dropped.
+
+    A watermark is not kept: set it on what this returns, which has the latest time of all
+    events that were folded.
+    """
+    span = math.gcd(seconds(duration), seconds(slide)) * 1_000_000
+    micros = F.unix_micros(F.col("published_ts").cast("timestamp"))
+    rows = events.filter(F.col("published_ts").isNotNull()).select(
+        (micros - F.pmod(micros, F.lit(span))).alias("slot"),
+        "category",
+        "keyword",
+        "title",
+        "link",
+        micros.alias("micros"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
+    columns = (
+        "slot bigint, category string, keyword string, title string, link string, micros bigint,"
+        " n bigint"
+    )
+    fold = _folding()
+    folded = rows.mapInPandas(fold, columns)
+    folded = folded.repartition("slot", "category", "keyword").mapInPandas(fold, columns)
+    published = F.timestamp_micros("micros").alias("published_ts")
+    return folded.select(published, "category", "keyword", "title", "link", "n")

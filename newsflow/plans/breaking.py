@@ -10,6 +10,7 @@ from newsflow.operators.breaking import (
     build_sketch,
     collect_evidence,
     estimate,
+    fold_evidence,
     join_on_keys,
     reset_key,
     running_estimates,
@@ -130,13 +131,20 @@ def windowed_titles(
 ) -> DataFrame:
     """(window_start, window_end, category, keyword, title, link, n) of streaming events.
 
-    State is kept per title, so a hot keyword spreads over all state partitions; the
-    rows of a window leave together and :func:`alerts_of_windows` does the rest.
+    Each micro-batch is folded before its rows are multiplied by their windows: state holds, of
+    a window's keyword, the few titles and links of each micro-batch that may become evidence.
+    The rows of a window leave together and :func:`alerts_of_windows` does the rest.
+
+    Events that have a watermark already (``delay`` is None) would lose it: they are not folded,
+    and state, which is bounded then, is kept per title.
     """
     columns = [*KEYWORD_KEYS, "title", "link"]
     window = F.window("published_ts", f"{seconds(duration)} seconds", f"{seconds(slide)} seconds")
-    marked = with_delay(events, delay)
-    counts = marked.groupBy(window, *columns).agg(F.count(F.lit(1)).alias("n"))
+    if delay is None:
+        counted = events.withColumn("n", F.lit(1).cast("bigint"))
+    else:
+        counted = with_delay(fold_evidence(events, duration, slide), delay)
+    counts = counted.groupBy(window, *columns).agg(F.sum("n").alias("n"))
     return flatten_window(counts, columns, "n")
 
 

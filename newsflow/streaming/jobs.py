@@ -120,8 +120,9 @@ def start_breaking(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """The sketch lives for one micro-batch, or with ``reset`` shorter. Titles and links of
-    open windows are state: once per window that covers an event. ``split`` reduces the copies
-    of a hot event in so many places first."""
+    open windows are state, once per window that covers an event; without ``bounded_state``, of
+    a window's keyword only those that each micro-batch may add to its evidence. ``split``
+    reduces the copies of a hot event in so many places first."""
     articles = _cleaned(records, "title", "category", "published", "keywords", "link")
     events = keyword_events(
         articles, ["link"], bounded_state=bounded_state, delay=delay, split=split

@@ -186,6 +186,50 @@ def test_stream_form_of_alerts_equals_batch_form(spark):
         assert rows(plans.alerts_of_windows(titles, mode=mode)) == rows(batch)
 
 
+def test_folded_events_give_the_same_alerts(spark):
+    events = hot_events(spark).withColumns(
+        {
+            "published_ts": F.col("published_ts").cast("timestamp"),
+            "title": F.expr("if(hash(title) % 5 = 0, NULL, title)"),
+            "link": F.expr("if(hash(link) % 3 = 0, NULL, link)"),
+            "keyword": F.expr("if(hash(title, link) % 7 = 0, NULL, keyword)"),
+        }
+    )
+    events = events.unionByName(events.withColumns({"title": F.lit(None).cast("string"), "link": F.lit(None).cast("string"), "category": F.lit("bare")}))
+    columns = ["category", "keyword", "title", "link"]
+    folded = b.fold_evidence(events, "5 minutes", "1 minute")
+    titles = (
+        folded.groupBy(F.window("published_ts", "5 minutes", "1 minute"), *columns)
+        .agg(F.sum("n").alias("n"))
+        .selectExpr("window.start AS window_start", "window.end AS window_end", *columns, "n")
+    )
+    for threshold in (1, 15):
+        got = plans.alerts_of_windows(titles, mode="exact", threshold=threshold)
+        want = plans.alerts_of_events(events, mode="exact", threshold=threshold)
+        assert Counter(str(r) for r in got.collect()) == Counter(str(r) for r in want.collect())
+    per_key = folded.groupBy(F.window("published_ts", "1 minute"), "category", "keyword").count()
+    assert per_key.agg(F.max("count")).first()[0] <= 6
+    latest = "max(published_ts)"
+    assert folded.selectExpr(latest).first() == events.selectExpr(latest).first()
+
+
+def test_folding_holds_a_bounded_number_of_rows():
+    pd = pytest.importorskip("pandas")
+    columns = ["slot", "category", "keyword", "title", "link", "micros", "n"]
+    rows = [(0, "c", "k" if n % 2 else None, f"t{n:03}", f"l{n % 9}", n, 1) for n in range(200)]
+    parts = [pd.DataFrame(rows[n : n + 10], columns=columns) for n in range(0, 200, 10)]
+    out = list(b._folding(at_once=20)(iter(parts)))
+    found = pd.concat(out)
+    assert len(found) <= 2 * 6
+    assert found["n"].sum() == 200 and found["micros"].max() == 199
+    assert sorted(found[found["keyword"].notna()]["title"])[:3] == ["t001", "t003", "t005"]
+    assert sorted(set(found[found["keyword"].isna()]["link"]))[:3] == ["l0", "l1", "l2"]
+    # keys that do not repeat leave the task in pieces
+    parts = [part.assign(slot=part["micros"]) for part in parts]
+    out = list(b._folding(at_once=20)(iter(parts)))
+    assert len(out) == 10 and sum(map(len, out)) == 200
+
+
 def test_alerts_without_titles_or_links_are_kept(spark):
     events = hot_events(spark).withColumns(
         {"title": F.lit(None).cast("string"), "link": F.lit(None).cast("string")}

@@ -246,6 +246,23 @@ def test_breaking_equals_the_batch_plan_on_closed_windows(topic, outputs, bounde
     assert set(value) == {*ALERT_COLUMNS, "detected_at"}
 
 
+def test_window_state_of_a_hot_keyword_does_not_grow_with_its_titles(topic, outputs):
+    for n in range(2):
+        topic.add([cleaned(f"t{n}-{k:03}", 0, ["quake"]) for k in range(150)])
+    topic.add([cleaned("later", 59, ["quiet"])])
+    query = jobs.start_breaking(
+        topic.stream(), outputs.collection, outputs.topic, outputs.checkpoint,
+        mode="exact", threshold=8, bounded_state=False, trigger=NOW,
+    )
+    run_available(query)
+    # 5 windows, of which each micro-batch may add 3 titles and 3 links
+    windows = max(dict(p)["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+    assert windows <= 5 * 6 * 3
+    got = outputs.spark.read.parquet(outputs.collection.path).collect()
+    assert len(got) == 5 and {r.exact_count for r in got} == {300}
+    assert {tuple(r.sample_titles) for r in got} == {("t0-000", "t0-001", "t0-002")}
+
+
 def test_the_sketch_starts_empty_with_each_micro_batch(topic, outputs):
     for records in keyword_batches():
         topic.add(records)
